@@ -9,6 +9,7 @@ from gaugework.functions.scalars import finite, half_even, safe_div
 from gaugework.operators.cost import cost_projection, with_prices
 from gaugework.operators.derive import throughput_projection
 from gaugework.operators.percentiles import grouped_percentiles, percentile_columns
+from gaugework.session import materialise, small_side
 
 
 def _known(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,7 +161,9 @@ def box_summary(df: DataFrame, key: str = "model_name", value: str = "latency_ms
         df, [key], {"low": (value, 0.0), "q1": (value, 0.25), "median": (value, 0.5),
                     "q3": (value, 0.75), "high": (value, 1.0)}, **kwargs)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = five.select(key, (F.col("q1") - reach).alias("__lo"), (F.col("q3") + reach).alias("__hi"))
+    five = materialise(five, "box")
+    fences = small_side(
+        five.select(key, (F.col("q1") - reach).alias("__lo"), (F.col("q3") + reach).alias("__hi")), written=True)
     inside = (
         df.select(key, finite(value).alias("__v")).join(fences, key)
         .filter((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))

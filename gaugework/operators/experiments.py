@@ -67,10 +67,10 @@ def sla_passing(experiments: DataFrame) -> DataFrame:
 def optimal_batch(experiments: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Highest token throughput among the batch sizes that meet the SLA; no row when none does."""
     passing = sla_passing(experiments)
-    order = [-F.col("throughput_tokens_per_sec"), "batch_size"]
+    order = [-F.col("throughput_tokens_per_sec"), F.col("batch_size")]
     if keys:
         return first_by(passing, list(keys), order)
-    return first_by(passing.withColumn("__all", F.lit(1)), ["__all"], order).drop("__all")
+    return passing.orderBy(*order).limit(1)
 
 
 def quantization_performance(requests: DataFrame, keys: list[str] = ("model_name", "quantization"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugework.operators.picks import first_by
+from gaugework.session import small_side
 
 
 def within_latency(df: DataFrame, max_ms: float | Column, column: str = "p95_latency_ms") -> DataFrame:
@@ -28,7 +28,7 @@ def prefer_self_hosted(df: DataFrame, scope: list[str], wanted: str | None = Non
     With ``wanted``, scopes where that column is false keep all rows. Whether a scope has one is an aggregate of one row per scope; a scope of
     any size is never gathered.
     """
-    own = df.filter("deployment_type = 'self_hosted'").select(*scope).distinct().withColumn(
+    own = small_side(df.filter("deployment_type = 'self_hosted'").select(*scope).distinct()).withColumn(
         "__own", F.lit(True))
     keep = F.col("__own").isNull() | (F.col("deployment_type") == "self_hosted")
     return (
@@ -58,9 +58,8 @@ def api_backends(df: DataFrame) -> DataFrame:
 def realtime_pick(df: DataFrame, limit_ms: float = 200.0, tie: str = "request_id") -> DataFrame:
     """The fastest row below the limit, or one row that says there is none."""
     best = (
-        first_by(df.filter(F.col("latency_ms") < limit_ms).withColumn("__one", F.lit(1)),
-                 ["__one"], ["latency_ms", tie])
-        .select("__one", "model_name", "batch_size", "latency_ms")
+        df.filter(F.col("latency_ms") < limit_ms).orderBy("latency_ms", tie).limit(1)
+        .select(F.lit(1).alias("__one"), "model_name", "batch_size", "latency_ms")
     )
     one = df.sparkSession.range(1).select(F.lit(1).alias("__one"))
     text = F.when(

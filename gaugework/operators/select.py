@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gaugework.functions.scalars import half_even, safe_div, with_defaults
 from gaugework.operators.picks import first_by
 from gaugework.operators.positions import with_position
-from gaugework.session import materialise
+from gaugework.session import materialise, small_side
 
 CHUNK_ROWS = 20_000
 NO_MATCH_HINT = "Consider relaxing constraints"
@@ -31,10 +31,10 @@ POINT_DEFAULTS = {"model_name": "unknown", "quantization": "unknown", "batch_siz
 def best_row(df: DataFrame, metric: str, tie: str, largest: bool = False, keys: list[str] = ()) -> DataFrame:
     """The row with the smallest (or largest) metric, per group or overall; ties by ``tie``."""
     value = F.when(~F.isnan(F.col(metric).cast("double")), F.col(metric).cast("double"))
-    order = [-value if largest else value, tie]
+    value = -value if largest else value
     if keys:
-        return first_by(df, list(keys), order)
-    return first_by(df.withColumn("__all", F.lit(1)), ["__all"], order).drop("__all")
+        return first_by(df, list(keys), [value, tie])
+    return df.filter(value.isNotNull()).orderBy(value, tie).limit(1)
 
 
 def fastest_model(requests: DataFrame) -> DataFrame:
@@ -163,6 +163,9 @@ def select_configs(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_
 
     found = F.col("__best").isNotNull()
     none = F.lit("N/A")
+    # passing the pick through a one-element array keeps later filters on the result
+    # from being pushed below it, where they would repeat the array work
+    picked = picked.withColumn("__best", F.explode(F.array("__best")))
     return (
         picked.withColumn("n_configs", F.lit(n))
         .withColumn("reasoning", _reasoning(found, has_quality))
@@ -232,8 +235,8 @@ def weighted_score(df: DataFrame, scope: list[str], latency_weight: float = 0.6)
 
     The maxima are aggregates joined back, one row per scope.
     """
-    tops = df.groupBy(*scope).agg(
-        F.max("p95_latency_ms").alias("__p95"), F.max("monthly_cost").alias("__cost"))
+    tops = small_side(df.groupBy(*scope).agg(
+        F.max("p95_latency_ms").alias("__p95"), F.max("monthly_cost").alias("__cost")))
     return (
         df.join(tops, scope)
         .withColumn("score", safe_div("p95_latency_ms", "__p95") * latency_weight

@@ -52,7 +52,7 @@ def memory_vs_fp16(estimates: DataFrame, model: str = "model_name") -> DataFrame
                               safe_div("total_memory_gb", "fp16_memory_gb") * 100))
 
 
-def kv_cache_estimate(df: DataFrame, caches: list[tuple] = KV_CACHES) -> DataFrame:
+def kv_cache_estimate(df: DataFrame, caches: list[tuple] = KV_CACHES, pct_digits: int = 1) -> DataFrame:
     """One row per cache setting: room left for the cache beside the model weights."""
     options = F.array(*[
         F.struct(F.lit(c[0]).alias("cache"), F.lit(float(c[1])).alias("gpu_memory_utilization"))
@@ -63,7 +63,7 @@ def kv_cache_estimate(df: DataFrame, caches: list[tuple] = KV_CACHES) -> DataFra
     return spread.withColumns({
         "reserved_gb": half_even(reserved, 2),
         "kv_cache_gb": half_even(room, 2),
-        "kv_cache_pct": half_even(safe_div(room, "gpu_memory_gb") * 100, 1),
+        "kv_cache_pct": half_even(safe_div(room, "gpu_memory_gb") * 100, pct_digits),
     })
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.buckets import coarse_bucket, fine_bucket
 from gaugework.operators.positions import with_position
-from gaugework.session import BROADCAST_ROWS, SMALL_ROWS, materialise
+from gaugework.session import SMALL_ROWS, materialise, small_side
 
 SLAB_ROWS = 50_000      # vectors compared with each other inside one task
 MAX_CELLS = 1 << 20     # size of the grid held by the task that compares cells
@@ -59,9 +59,7 @@ def pareto_frontier(
     known = reduce(lambda a, b: a & b, [F.col(d).isNotNull() & ~F.isnan(d) for d in dims])
     vectors = rows.filter(known).select(*dims)
 
-    front = materialise(_frontier(vectors, dims, small_rows, slab_rows), "frontier")
-    if front.count() <= BROADCAST_ROWS:
-        front = F.broadcast(front)
+    front = small_side(_frontier(vectors, dims, small_rows, slab_rows))
     return (
         rows.join(front.withColumn(flag, F.lit(True)), dims, "left")
         .withColumn(flag, F.coalesce(flag, F.lit(False)))
@@ -105,16 +103,13 @@ def _two_objectives(vectors: DataFrame, small_rows: int) -> DataFrame:
             .filter(_below(y, "__bound")).select(x, y)
         )
     placed = vectors.withColumn("__b1", coarse_bucket(F.col(x)))
-    stairs = materialise(
+    stairs = small_side(
         placed.groupBy("__b1")
         .agg(F.min(y).alias("__low"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
         .withColumn("__bound", _lowest_before("__low", "__b1"))
         .filter(_below("__low", "__bound"))
-        .drop("__low"),
-        "skyline-buckets",
+        .drop("__low")
     )
-    if stairs.count() <= BROADCAST_ROWS:
-        stairs = F.broadcast(stairs)
     left = materialise(
         placed.join(stairs, "__b1").filter(_below(y, "__bound"))
         .withColumn("__b2", fine_bucket(F.col(x), F.col("__lo"), F.col("__hi")))

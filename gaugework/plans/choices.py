@@ -18,12 +18,12 @@ from gaugework.sources import catalog, tables
 
 @query(with_tables("configs", """
 SELECT config_id, p95_latency_ms, cost_per_1m_tok, quality_score FROM configs
-WHERE p95_latency_ms <= 32 AND quality_score >= 0.85 AND cost_per_1m_tok * 100 <= 90"""))
+WHERE p95_latency_ms <= 140 AND quality_score >= 0.85 AND cost_per_1m_tok * 100 <= 12"""))
 def constraint_filters(spark, sf):
-    fast = filters.within_latency(configs(spark, sf), 32.0)
+    fast = filters.within_latency(configs(spark, sf), 140.0)
     good = filters.within_quality(fast, 0.85)
     priced = cost.volume_cost(good, F.lit(100.0))
-    return filters.within_budget(priced, 90.0).select(
+    return filters.within_budget(priced, 12.0).select(
         "config_id", "p95_latency_ms", "cost_per_1m_tok", "quality_score")
 
 
@@ -87,12 +87,14 @@ def realtime_chat_no_match(spark, sf):
 
 
 @query(r"""
-SELECT source, doc_id, n_chars FROM (
-  SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn
-  FROM documents WHERE contains(text, '?')) WHERE rn <= 20""")
+SELECT lang, page_id, url FROM (
+  SELECT lang, page_id, url, row_number() OVER (PARTITION BY lang ORDER BY page_id) AS rn
+  FROM (SELECT *, regexp_extract(url, '/([a-z][a-z])/', 1) AS lang FROM pages) WHERE contains(url, '?'))
+WHERE rn <= 20""")
 def question_prompts(spark, sf):
-    docs = tables.read(spark, sf, "documents").select("source", "doc_id", "n_chars", "text")
-    return filters.question_prompts(docs, ["source"], "doc_id", 20, "text").select("source", "doc_id", "n_chars")
+    pages = tables.read(spark, sf, "pages").select(
+        F.regexp_extract("url", "/([a-z][a-z])/", 1).alias("lang"), "page_id", "url")
+    return filters.question_prompts(pages, ["lang"], "page_id", 20, "url")
 
 
 @query(with_tables("sizes quantizations", """
@@ -288,12 +290,12 @@ def pareto_lines(spark, sf):
 
 
 @query("""
-WITH p AS (SELECT l_partkey, round(avg(l_extendedprice), 4) AS price, round(avg(l_discount), 8) AS discount
+WITH p AS (SELECT l_partkey, round(avg(l_extendedprice), 8) AS price, round(avg(l_discount), 8) AS discount
            FROM lineitem GROUP BY 1)""" + _flag_sql("p", "price", "-discount") + """
 SELECT l_partkey, price, discount FROM p JOIN front ON price = x AND -discount = y""")
 def pareto_parts(spark, sf):
     parts = tables.read(spark, sf, "lineitem").groupBy("l_partkey").agg(
-        F.round(F.avg("l_extendedprice"), 4).alias("price"), F.round(F.avg("l_discount"), 8).alias("discount"))
+        F.round(F.avg("l_extendedprice"), 8).alias("price"), F.round(F.avg("l_discount"), 8).alias("discount"))
     return select.frontier_only(
         pareto_frontier(parts, ["price", "discount"], [True, False])).drop("is_pareto_optimal")
 
@@ -314,44 +316,53 @@ def pareto_lines_four_objectives(spark, sf):
 
 
 _THREE = """
-, good AS (SELECT * FROM configs WHERE quality_score >= 0.85),
-front3 AS (SELECT * FROM good a WHERE NOT EXISTS (
-  SELECT 1 FROM good b WHERE b.latency_ms <= a.latency_ms AND b.cost_per_1m_tok <= a.cost_per_1m_tok
+WITH points AS (
+  SELECT l_partkey AS config_id, CAST(l_partkey AS VARCHAR) AS model_name,
+         round(avg(l_extendedprice), 8) AS latency_ms, round(1 - avg(l_discount), 8) AS cost_per_1m_tok,
+         round(avg(l_quantity), 8) AS throughput FROM lineitem GROUP BY 1),
+front3 AS (SELECT * FROM points a WHERE NOT EXISTS (
+  SELECT 1 FROM points b WHERE b.latency_ms <= a.latency_ms AND b.cost_per_1m_tok <= a.cost_per_1m_tok
     AND b.throughput >= a.throughput AND (b.latency_ms < a.latency_ms OR b.cost_per_1m_tok < a.cost_per_1m_tok
     OR b.throughput > a.throughput)))
 """
 
 
 def _three_way(spark, sf):
+    """One point per part; price and quantity pull against each other, so the frontier is not tiny."""
+    points = tables.read(spark, sf, "lineitem").groupBy("l_partkey").agg(
+        F.round(F.avg("l_extendedprice"), 8).alias("latency_ms"),
+        F.round(1 - F.avg("l_discount"), 8).alias("cost_per_1m_tok"),
+        F.round(F.avg("l_quantity"), 8).alias("throughput"),
+    ).select(F.col("l_partkey").alias("config_id"), F.col("l_partkey").cast("string").alias("model_name"),
+             "latency_ms", "cost_per_1m_tok", "throughput")
     return pareto_frontier(
-        materialise(configs(spark, sf), "configs"),
-        ["latency_ms", "cost_per_1m_tok", "throughput"], [True, True, False])
+        materialise(points, "points"), ["latency_ms", "cost_per_1m_tok", "throughput"], [True, True, False])
 
 
-@query(with_tables("configs", _THREE + """
-SELECT model_name, 'unknown' AS quantization, batch_size, latency_ms, cost_per_1m_tok, throughput, quality_score,
-       config_id IN (SELECT config_id FROM front3) AS is_pareto_optimal FROM good"""))
+@query(_THREE + """
+SELECT model_name, 'unknown' AS quantization, 1 AS batch_size, latency_ms, cost_per_1m_tok, throughput,
+       0.0::DOUBLE AS quality_score, config_id IN (SELECT config_id FROM front3) AS is_pareto_optimal FROM points""")
 def frontier_export(spark, sf):
     return select.frontier_export(_three_way(spark, sf))
 
 
-@query(with_tables("configs", _THREE + """
+@query(_THREE + """
 SELECT config_id, row_number() OVER (ORDER BY latency_ms, config_id) - 1 AS latency_rank,
        row_number() OVER (ORDER BY cost_per_1m_tok, config_id) - 1 AS cost_rank,
-       row_number() OVER (ORDER BY throughput DESC, config_id) - 1 AS throughput_rank FROM front3"""))
+       row_number() OVER (ORDER BY throughput DESC, config_id) - 1 AS throughput_rank FROM front3""")
 def positional_ranks(spark, sf):
     return select.positional_ranks(select.frontier_only(_three_way(spark, sf))).select(
         "config_id", "latency_rank", "cost_rank", "throughput_rank")
 
 
-@query(with_tables("configs", _THREE + """
+@query(_THREE + """
 , ranks AS (SELECT config_id, (row_number() OVER (ORDER BY latency_ms, config_id)
        + row_number() OVER (ORDER BY cost_per_1m_tok, config_id)
        + row_number() OVER (ORDER BY throughput DESC, config_id)) AS s FROM front3)
 (SELECT 'cost' AS priority, config_id FROM front3 ORDER BY cost_per_1m_tok, config_id LIMIT 1)
 UNION ALL (SELECT 'latency', config_id FROM front3 ORDER BY latency_ms, config_id LIMIT 1)
 UNION ALL (SELECT 'throughput', config_id FROM front3 ORDER BY throughput DESC, config_id LIMIT 1)
-UNION ALL (SELECT 'balanced', config_id FROM ranks ORDER BY s, config_id LIMIT 1)"""))
+UNION ALL (SELECT 'balanced', config_id FROM ranks ORDER BY s, config_id LIMIT 1)""")
 def priority_picks(spark, sf):
     flagged = materialise(_three_way(spark, sf), "flagged")
     out = None
@@ -395,12 +406,21 @@ def _text_pairs(spark, sf):
 
 
 _LCS = r"""
-, tok AS (SELECT pair_id, model_name, quantization,
-                 regexp_extract_all(lower(text), '[a-z0-9]+') AS g,
-                 regexp_extract_all(lower(prompt), '[a-z0-9]+') AS r FROM responses),
-cell AS (SELECT pair_id, i, j, g[i] = r[j] AS same FROM tok, LATERAL (SELECT unnest(range(1, len(g) + 1)) AS i),
-         LATERAL (SELECT unnest(range(1, len(r) + 1)) AS j)),
-hits AS (SELECT pair_id, i, list(j ORDER BY j DESC) AS js FROM cell WHERE same GROUP BY ALL)
+, tok AS (SELECT *, len(g) AS n, len(r) AS m FROM (
+    SELECT pair_id, model_name, quantization, regexp_extract_all(lower(text), '[a-z0-9]+') AS g,
+           regexp_extract_all(lower(prompt), '[a-z0-9]+') AS r FROM responses)),
+steps(pair_id, i, j, v) AS (
+  SELECT pair_id, 0, unnest(range(0, m + 1)), 0 FROM tok
+  UNION ALL
+  SELECT pair_id, i + 1, j, max(t) OVER (PARTITION BY pair_id ORDER BY j)
+  FROM (SELECT s.pair_id, s.i, s.j, CASE WHEN s.j > 0 AND tok.g[s.i + 1] = tok.r[s.j]
+               THEN lag(s.v) OVER (PARTITION BY s.pair_id ORDER BY s.j) + 1 ELSE s.v END AS t
+        FROM steps s JOIN tok ON s.pair_id = tok.pair_id WHERE s.i < tok.n)),
+scored AS (
+  SELECT model_name, quantization, l / nullif(n, 0) AS p, l / nullif(m, 0) AS r
+  FROM tok JOIN (SELECT pair_id, max(v) AS l FROM steps GROUP BY 1) USING (pair_id))
+SELECT model_name, quantization, round_even(avg(coalesce(2 * p * r / nullif(p + r, 0), 0)), 4) AS rouge_l_score,
+       count(*) AS num_samples FROM scored GROUP BY ALL
 """
 
 
@@ -410,7 +430,7 @@ def rouge_l(spark, sf):
     return quality.rouge_l(generated, references)
 
 
-@query(None)
+@query(with_tables("responses", _LCS).replace("WITH", "WITH RECURSIVE", 1))
 def rouge_l_unstemmed(spark, sf):
     generated, references = _text_pairs(spark, sf)
     return quality.rouge_l(generated, references, use_stemmer=False)

@@ -118,8 +118,9 @@ _CTES = {
         FROM (SELECT text, string_split_regex(lower(trim(text)), '\s+') AS w
               FROM conversations WHERE role = 'user')""",
     "graded": """
-        SELECT r.*, len(list_filter(k.keywords, x -> contains(lower(r.text), x))) > 0 AS is_correct
-        FROM responses r JOIN keywords k ON r.prompt = k.prompt""",
+        SELECT pair_id, model_name, quantization, bool_or(contains(lower(text), kw)) AS is_correct
+        FROM (SELECT r.*, unnest(k.keywords) AS kw FROM responses r JOIN keywords k ON r.prompt = k.prompt)
+        GROUP BY ALL""",
     "accuracy": """
         SELECT model_name, quantization, round_even(avg(CAST(is_correct AS DOUBLE)), 4) AS task_accuracy,
                count(*) FILTER (is_correct) AS num_correct, count(*) AS num_samples

@@ -42,20 +42,20 @@ def run_throughput(spark, sf):
 
 
 @query(with_tables("samples", """
-SELECT sample_id, round(coalesce(gpu_memory_used_mb / nullif(gpu_memory_total_mb, 0), 0) * 100, 6)
+SELECT sample_id, round(coalesce(gpu_memory_used_mb / nullif(gpu_memory_total_mb, 0), 0) * 100, 9)
          AS gpu_memory_percent,
-       round(ram_used_gb / ram_total_gb * 100, 6) AS ram_percent,
+       round(ram_used_gb / ram_total_gb * 100, 9) AS ram_percent,
        strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp
 FROM samples"""))
 def resource_percentages(spark, sf):
     return derive.resource_projection(tables.resource_samples(spark, sf)).select(
-        "sample_id", r("gpu_memory_percent"), r("ram_percent"), "timestamp")
+        "sample_id", r("gpu_memory_percent", 9), r("ram_percent", 9), "timestamp")
 
 
 @query(with_tables("requests models", """
 SELECT request_id, model_name, deployment_type, round(api, 12) AS api_cost_usd,
        round(infra, 12) AS infrastructure_cost_usd, round(api + infra, 12) AS total_cost_usd,
-       round((api + infra) / (input_tokens + output_tokens) * 1e6, 6) AS cost_per_1m_tok
+       round((api + infra) / (input_tokens + output_tokens) * 1e6, 9) AS cost_per_1m_tok
 FROM (SELECT request_id, r.model_name, deployment_type, input_tokens, output_tokens,
              input_tokens / 1e6 * coalesce(price_in, 0) + output_tokens / 1e6 * coalesce(price_out, 0) AS api,
              latency_ms / 1000 / 3600 * coalesce(cost_per_hour, 0) AS infra
@@ -63,7 +63,7 @@ FROM (SELECT request_id, r.model_name, deployment_type, input_tokens, output_tok
 def request_cost(spark, sf):
     return cost.request_cost(tables.requests(spark, sf), catalog.models(spark)).select(
         "request_id", "model_name", "deployment_type", r("api_cost_usd", 12),
-        r("infrastructure_cost_usd", 12), r("total_cost_usd", 12), r("cost_per_1m_tok"))
+        r("infrastructure_cost_usd", 12), r("total_cost_usd", 12), r("cost_per_1m_tok", 9))
 
 
 @query(with_tables("requests models", """
@@ -171,7 +171,7 @@ def memory_estimate(spark, sf):
 @query(with_tables("memory", """
 SELECT model_id, cache, round_even(gpu_memory_gb * util, 2) AS reserved_gb,
        round_even(greatest(gpu_memory_gb * util - total_memory_gb, 0), 2) AS kv_cache_gb,
-       round_even(greatest(gpu_memory_gb * util - total_memory_gb, 0) / gpu_memory_gb * 100, 1) AS kv_cache_pct
+       round(greatest(gpu_memory_gb * util - total_memory_gb, 0) / gpu_memory_gb * 100, 6) AS kv_cache_pct
 FROM memory CROSS JOIN (VALUES ('default', 0.90::DOUBLE), ('optimized', 0.95::DOUBLE),
                                ('conservative', 0.75::DOUBLE)) AS k(cache, util)
 WHERE quantization = 'int8' AND params_billion IS NOT NULL"""))
@@ -179,7 +179,7 @@ def kv_cache_size(spark, sf):
     estimates = sizing.memory_estimate(sizing.at_each_quantization(tables.model_sizes(spark, sf)))
     fitted = estimates.filter("quantization = 'int8' AND params_billion IS NOT NULL").withColumnRenamed(
         "total_memory_gb", "model_memory_gb")
-    return sizing.kv_cache_estimate(fitted).select(
+    return sizing.kv_cache_estimate(fitted, pct_digits=6).select(
         "model_id", "cache", "reserved_gb", "kv_cache_gb", "kv_cache_pct")
 
 
@@ -225,13 +225,14 @@ timed AS (
 
 
 @query(with_tables("requests", "," + _BATCHED + """
-SELECT request_id, batch_size, batch_no, batch_requests, round(batch_ms / batch_requests, 6) AS amortised_ms
+SELECT request_id, batch_size, batch_no, batch_requests, round(batch_ms / batch_requests, 9) AS amortised_ms
 FROM timed"""))
 def batch_assignment(spark, sf):
-    batched = experiments.assign_batches(tables.requests(spark, sf), ["batch_size"])
+    slim = tables.requests(spark, sf).select("request_id", "batch_size", "latency_ms")
+    batched = experiments.assign_batches(slim, ["batch_size"])
     return experiments.amortised_latency(batched, ["batch_size"]).select(
         "request_id", F.col("batch_size").cast("int").alias("batch_size"), "batch_no", "batch_requests",
-        r("amortised_ms"))
+        r("amortised_ms", 9))
 
 
 @query(with_tables("configs", """
@@ -263,12 +264,12 @@ def prompt_building(spark, sf):
 
 
 @query(with_tables("cost_models", """
-SELECT cost_model_id, scenario, discount, round(gpu_hourly_rate * (1 - discount), 6) AS scenario_rate
+SELECT cost_model_id, scenario, discount, round(gpu_hourly_rate * (1 - discount), 10) AS scenario_rate
 FROM cost_models CROSS JOIN (VALUES ('on_demand', 0.0::DOUBLE), ('spot', 0.7::DOUBLE), ('reserved', 0.4::DOUBLE))
   AS s(scenario, discount)"""))
 def cost_scenarios(spark, sf):
     return cost.cost_scenarios(tables.cost_models(spark, sf)).select(
-        "cost_model_id", "scenario", "discount", r("scenario_rate"))
+        "cost_model_id", "scenario", "discount", r("scenario_rate", 10))
 
 
 @query(with_tables("cost_models monthly models", """

@@ -31,12 +31,12 @@ def stamp(column: str):
 _CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 _HOURLY = f"""
 , hourly AS (
-  SELECT date_trunc('hour', ts) AS window_start, model_name, count(*) AS requests,
+  SELECT window_start, model_name, count(*) AS requests,
          quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95,
          quantile_disc(latency_ms, 0.99) AS p99, avg(CAST(is_error AS DOUBLE)) AS error_rate,
          sum(input_tokens + output_tokens) AS tokens
-  FROM requests GROUP BY ALL
-  HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED})
+  FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM requests) GROUP BY window_start, model_name
+  HAVING window_start + INTERVAL 1 HOUR <= {_CLOSED})
 """
 
 

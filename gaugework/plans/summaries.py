@@ -26,7 +26,7 @@ def config_summary(spark, sf):
 @query(with_tables("requests", """
 SELECT model_name,
 """ + ",\n".join(
-    f"round(quantile_cont({e}, {p / 100}), 4) AS {m}_p{p}"
+    f"round(quantile_cont({e}, {p / 100}), 8) AS {m}_p{p}"
     for m, e in (("ttft_ms", "ttft_ms"), ("end_to_end_ms", "e2e_s * 1000")) for p in (50, 90, 95, 99)) + """
 FROM requests GROUP BY 1"""))
 def latency_percentiles(spark, sf):
@@ -35,7 +35,7 @@ def latency_percentiles(spark, sf):
     timed = latency_projection(tables.requests(spark, sf))
     ranks = aggregates.latency_percentiles(timed, ["model_name"])
     return ranks.select("model_name", *[
-        F.round(F.col(f"{m}.p{p}"), 4).alias(f"{m}_p{p}")
+        F.round(F.col(f"{m}.p{p}"), 8).alias(f"{m}_p{p}")
         for m in ("ttft_ms", "end_to_end_ms") for p in (50, 90, 95, 99)])
 
 
@@ -51,14 +51,14 @@ def model_report(spark, sf):
 
 def _priced_requests(spark, sf):
     priced = cost.request_cost(tables.requests(spark, sf), catalog.models(spark))
-    return priced.withColumn("cost_per_1m_tok", F.round("cost_per_1m_tok", 6))
+    return priced.withColumn("cost_per_1m_tok", F.round("cost_per_1m_tok", 9))
 
 
 _PRICED = """
 , priced AS (
   SELECT r.*, deployment_type, round((input_tokens / 1e6 * coalesce(price_in, 0)
            + output_tokens / 1e6 * coalesce(price_out, 0) + latency_ms / 1000 / 3600 * coalesce(cost_per_hour, 0))
-           / (input_tokens + output_tokens) * 1e6, 6) AS cost_per_1m_tok
+           / (input_tokens + output_tokens) * 1e6, 9) AS cost_per_1m_tok
   FROM requests r LEFT JOIN models m ON r.model_name = m.model_name)
 """
 
@@ -130,7 +130,7 @@ def box_summary(spark, sf):
               quantile_cont(ttft_ms, 0.5) AS t50, quantile_cont(e2e_s * 1000, 0.99) AS e99
             FROM requests GROUP BY 1),
 usage AS (SELECT run_id, avg(gpu_utilization_percent) AS gpu FROM samples GROUP BY 1)
-SELECT run_id, round(t50, 4) AS ttft_p50, round(e99, 4) AS e2e_p99, round(total_tokens / duration, 6)
+SELECT run_id, round(t50, 8) AS ttft_p50, round(e99, 8) AS e2e_p99, round(total_tokens / duration, 6)
          AS tokens_per_second, total_tokens, n AS num_samples, round(gpu, 6) AS gpu_utilization_percent
 FROM rates JOIN usage USING (run_id)"""))
 def composite_summary(spark, sf):
@@ -139,8 +139,8 @@ def composite_summary(spark, sf):
     full = aggregates.composite_summary(
         latency_projection(tables.requests(spark, sf)), tables.resource_samples(spark, sf))
     return full.select(
-        "run_id", F.round("latency.ttft_ms.p50", 4).alias("ttft_p50"),
-        F.round("latency.end_to_end_ms.p99", 4).alias("e2e_p99"),
+        "run_id", F.round("latency.ttft_ms.p50", 8).alias("ttft_p50"),
+        F.round("latency.end_to_end_ms.p99", 8).alias("e2e_p99"),
         F.round("throughput.tokens_per_second", 6).alias("tokens_per_second"),
         F.col("throughput.total_tokens").alias("total_tokens"), "num_samples",
         F.round("resources.gpu_utilization_percent", 6).alias("gpu_utilization_percent"))
@@ -179,7 +179,8 @@ experiment AS (
 
 
 def _experiment(spark, sf, target=40.0):
-    batched = experiments.assign_batches(tables.requests(spark, sf), ["batch_size"])
+    slim = tables.requests(spark, sf).select("request_id", "batch_size", "latency_ms", "output_tokens", "ts")
+    batched = experiments.assign_batches(slim, ["batch_size"])
     return experiments.batch_experiment(batched, sla_target_ms=target)
 
 
@@ -324,14 +325,14 @@ def _stored(spark, sf):
 
 @query(with_tables("runs results", """
 SELECT r.run_id, run_name, model_name, workload_type, batch_size, count(*) AS results,
-       round(sum(latency_ms), 4) AS latency_ms, round(sum(cost_usd), 4) AS cost_usd
+       round(sum(latency_ms), 4) AS latency_ms, round(sum(cost_usd), 9) AS cost_usd
 FROM results r JOIN runs ON r.run_id = runs.id GROUP BY ALL"""))
 def run_result_store(spark, sf):
     runs, results = _stored(spark, sf)
     # one row per run before the join: a run with a third of all results is summed on the map side
     sums = results.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("results"), F.round(F.sum("latency_ms"), 4).alias("latency_ms"),
-        F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+        F.round(F.sum("cost_usd"), 9).alias("cost_usd"))
     return store.results_with_runs(sums, runs).select(
         "run_id", "run_name", "model_name", "workload_type", "batch_size", "results", "latency_ms", "cost_usd")
 

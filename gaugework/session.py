@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -68,3 +69,12 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, written: bool = False) -> DataFrame:
+    """``df`` written down, and marked for broadcast if its rows, counted, are few.
+
+    A larger table is left to a shuffle join.
+    """
+    table = df if written else materialise(df, "side")
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -10,23 +10,24 @@ from gaugework.schemas import BENCHMARK_RESULTS, BENCHMARK_RUNS, REQUEST_RESULT
 FORMATS = ("csv", "json", "parquet")
 
 
+def _options(fmt: str) -> dict[str, str]:
+    """Text formats keep times to the microsecond, as ISO text."""
+    if fmt == "parquet":
+        return {}
+    return {"header": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def save_results(df: DataFrame, path: str, fmt: str = "csv", mode: str = "append") -> None:
     """Write result rows below ``path``, one folder per run."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; use one of {FORMATS}")
-    writer = df.write.mode(mode).partitionBy("run_id").format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.save(path)
+    df.write.mode(mode).partitionBy("run_id").format(fmt).options(**_options(fmt)).save(path)
 
 
 def read_results(spark: SparkSession, path: str, fmt: str = "csv",
                  schema: str = REQUEST_RESULT) -> DataFrame:
     """All stored runs; ``run_id`` is the partition column, so filters on it prune folders."""
-    reader = spark.read.format(fmt).schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.load(path)
+    return spark.read.format(fmt).schema(schema).options(**_options(fmt)).load(path)
 
 
 def latest_run(spark: SparkSession, path: str, fmt: str = "csv",
@@ -45,9 +46,7 @@ def latest_run(spark: SparkSession, path: str, fmt: str = "csv",
 def latest_file(spark: SparkSession, pattern: str, fmt: str = "csv",
                 schema: str = REQUEST_RESULT) -> DataFrame:
     """Of single-file runs matching ``pattern``, the file whose name sorts last."""
-    reader = spark.read.format(fmt).schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True)
+    reader = spark.read.format(fmt).schema(schema).options(**_options(fmt))
     files = reader.load(pattern).inputFiles()
     return reader.load(max(files)) if files else spark.createDataFrame([], schema)
 
