@@ -100,11 +100,11 @@ def build_prompts(docs: DataFrame, templates: list[tuple] = PROMPT_TEMPLATES, te
         F.struct(F.lit(i).alias("template_id"), F.lit(w).alias("workload"), F.lit(t).alias("template"),
                  F.lit(hole).alias("hole"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
         for i, (w, t, hole, lo, hi) in enumerate(templates)])
+    fitting = F.filter(
+        options, lambda t: (F.col("n_tokens") >= t["lo"]) & (F.col("n_tokens") <= t["hi"]))
     return (
-        docs.withColumn("n_tokens", F.size(F.split(F.trim(text), r"\s+")))
-        .withColumn("__fit", F.filter(
-            options, lambda t: (F.col("n_tokens") >= t["lo"]) & (F.col("n_tokens") <= t["hi"])))
-        .withColumn("__t", F.explode("__fit"))
+        docs.withColumn("n_tokens", F.regexp_count(text, F.lit(r"\S+")))
+        .withColumn("__t", F.explode(fitting))
         .withColumn("prompt", F.replace(F.col("__t.template"), F.col("__t.hole"), F.col(text)))
         .select(*docs.columns, "n_tokens", "__t.workload", "__t.template_id", "prompt")
     )

@@ -3,9 +3,9 @@
 Constrained selection answers many requirement sets against one table of
 configurations. The configurations travel as arrays of structs, at most
 ``chunk_rows`` in each, and every requirement row filters the arrays in place:
-no (requirement, configuration) pair is ever a row. One chunk is broadcast, its
-size having been counted; more chunks are joined on the chunk number and the
-partial results of a requirement are merged by an aggregate.
+no (requirement, configuration) pair is ever a row. One chunk, its size having
+been counted, is a scalar subquery; more chunks are joined on the chunk number
+and the partial results of a requirement are merged by an aggregate.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _chunks(configs: DataFrame, chunk_rows: int) -> tuple[DataFrame, int, int, b
 
 def _joined(reqs: DataFrame, packed: DataFrame, chunks: int) -> DataFrame:
     if chunks == 1:
-        return reqs.withColumn("__chunk", F.lit(0)).join(F.broadcast(packed), "__chunk", "left")
+        return reqs.withColumn("__configs", packed.select("__configs").scalar())
     # each chunk meets every requirement, so the chunk number alone would make
     # `chunks` huge partitions; a salt spreads the requirements of one chunk
     salts = max(1, int(reqs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // chunks + 1)

@@ -252,7 +252,7 @@ WITH t AS (SELECT * FROM (VALUES
        || chr(10) || chr(10) || 'Summary:', '{article}', 500, 2000),
   (3, 'code_generation', '# Python function' || chr(10) || '{description}' || chr(10) || chr(10)
        || 'def solution():', '{description}', 100, 500)) AS t(template_id, workload, template, hole, lo, hi)),
-d AS (SELECT doc_id, text, len(string_split_regex(trim(text, chr(32)), '\s+')) AS n_tokens FROM documents)
+d AS (SELECT doc_id, text, len(regexp_extract_all(text, '\S+')) AS n_tokens FROM documents)
 SELECT doc_id, workload, template_id, n_tokens, length(replace(template, hole, text)) AS prompt_chars,
        md5(replace(template, hole, text)) AS prompt_md5
 FROM d JOIN t ON n_tokens BETWEEN lo AND hi""")
