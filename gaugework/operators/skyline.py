@@ -7,14 +7,15 @@ objectives are negated, so everything below minimises.
 Two objectives use running minima: a vector survives when its second value
 lies below the smallest one among all smaller first values. The running
 minimum is taken over coarse buckets, then fine buckets, then rows, so no
-sort ever holds more than one bucket. More objectives use partial skylines:
-dominated vectors are dropped by a handful of strong vectors, then inside each
-partition, and what is left is compared slab by slab (see ``_by_slabs``).
+sort ever holds more than one bucket. More objectives use partial comparisons:
+dominated vectors are dropped by a handful of strong vectors, then by more of
+them inside each task, and what is left is compared slab by slab (see ``_by_slabs``).
 Dominance is transitive, so dropping a dominated vector early is always safe.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,7 +30,8 @@ from gaugework.operators.positions import with_position
 from gaugework.session import SMALL_ROWS, materialise, small_side
 
 SLAB_ROWS = 50_000      # vectors compared with each other inside one task
-MAX_CELLS = 1 << 20     # size of the grid held by the task that compares cells
+MAX_CELLS = 1 << 22     # size of the grid held by the task that compares cells
+PRUNERS = 200           # vectors a task compares its rows with before the exact comparison
 
 
 def pareto_frontier(
@@ -132,12 +134,48 @@ def _two_objectives(vectors: DataFrame, small_rows: int) -> DataFrame:
 
 # ---- three and more objectives ----------------------------------------------
 
+def _dominated(cand: np.ndarray, rivals: np.ndarray) -> np.ndarray:
+    """Which rows of ``cand`` are dominated by a row of ``rivals``."""
+    le = np.ones((len(cand), len(rivals)), dtype=bool)
+    lt = np.zeros_like(le)
+    for d in range(cand.shape[1]):
+        a, b = rivals[None, :, d], cand[:, None, d]
+        le &= a <= b
+        lt |= a < b
+    return (le & lt).any(axis=1)
+
+
+def _sweep_three(points: np.ndarray) -> np.ndarray:
+    """Row numbers of the undominated vectors of three objectives; one copy of equal ones.
+
+    In lexicographic order only earlier vectors can dominate. Those that matter
+    form a staircase: second objective rising, third falling.
+    """
+    order = np.lexsort((points[:, 2], points[:, 1], points[:, 0]))
+    ys: list[float] = []
+    zs: list[float] = []
+    kept = []
+    for i, (_, y, z) in zip(order.tolist(), points[order].tolist()):
+        at = bisect_right(ys, y)
+        if at and zs[at - 1] <= z:
+            continue
+        kept.append(i)
+        start = at - 1 if at and ys[at - 1] == y else at
+        end = at
+        while end < len(ys) and zs[end] >= z:
+            end += 1
+        ys[start:end], zs[start:end] = [y], [z]
+    return np.array(kept, dtype=int)
+
+
 def _keep_undominated(points: np.ndarray, block: int = 256) -> np.ndarray:
     """Row numbers of the distinct vectors not dominated by another row of ``points``.
 
     Sorted by sum, then by the columns: a dominating vector always comes first,
     so each block is compared with the winners so far and with itself only.
     """
+    if points.shape[1] == 3:
+        return _sweep_three(points)
     with np.errstate(invalid="ignore"):
         sums = points.sum(axis=1)
     keys = [points[:, d] for d in reversed(range(points.shape[1]))]
@@ -146,34 +184,44 @@ def _keep_undominated(points: np.ndarray, block: int = 256) -> np.ndarray:
     kept = []
     for start in range(0, len(order), block):
         index = order[start:start + block]
-        for others in (winners, None):
-            cand = points[index]
-            rivals = cand if others is None else others
-            if len(rivals) == 0 or len(cand) == 0:
-                continue
-            le = np.ones((len(cand), len(rivals)), dtype=bool)
-            lt = np.zeros_like(le)
-            for d in range(points.shape[1]):
-                a, b = rivals[None, :, d], cand[:, None, d]
-                le &= a <= b
-                lt |= a < b
-            index = index[~(le & lt).any(axis=1)]
+        index = index[~_dominated(points[index], winners)]
+        index = index[~_dominated(points[index], points[index])]
         winners = np.concatenate([winners, points[index]])
         kept.append(index)
     return np.concatenate(kept) if kept else np.empty(0, dtype=int)
 
 
-def _partition_skylines(vectors: DataFrame, dims: list[str]) -> DataFrame:
+def _prune_partitions(vectors: DataFrame, dims: list[str]) -> DataFrame:
+    """Drop vectors that one of the strongest vectors seen by the same task dominates.
+
+    The task holds ``PRUNERS`` vectors, so memory and work per row are bounded;
+    what it lets through is compared exactly later.
+    """
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.empty((0, len(dims)))
+        strong = np.empty((0, len(dims)))
         for pdf in batches:
-            both = np.concatenate([held, pdf[dims].drop_duplicates().to_numpy(dtype=float)])
-            held = both[_keep_undominated(both)]
-        yield pd.DataFrame(np.unique(held, axis=0), columns=dims)
+            points = np.unique(pdf[dims].to_numpy(dtype=float), axis=0)
+            for start in range(0, len(points), 4096):
+                part = points[start:start + 4096]
+                part = part[~_dominated(part, strong)]
+                yield pd.DataFrame(part, columns=dims)
+                pool = np.concatenate([strong, part])
+                strong = pool[np.argsort(pool.sum(axis=1), kind="stable")[:PRUNERS]]
 
     return vectors.mapInPandas(prune, vectors.select(*dims).schema)
 
 
+def _exact_in_one_task(vectors: DataFrame, dims: list[str]) -> DataFrame:
+    """The frontier of a table that was counted to fit one task."""
+    def frontier(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pdf[dims].to_numpy(dtype=float) for pdf in batches]
+        if parts:
+            points = np.concatenate(parts)
+            yield pd.DataFrame(points[_keep_undominated(points)], columns=dims)
+
+    return vectors.coalesce(1).mapInPandas(frontier, vectors.select(*dims).schema)
+
+
 def _strong_vectors(vectors: DataFrame, dims: list[str]) -> list[tuple[float, ...]]:
     """The best vector along each objective and the best by the sum of signed logarithms."""
     logsum = sum(F.signum(d) * F.log2(F.abs(d) + 1.0) for d in dims)
@@ -191,10 +239,10 @@ def _many_objectives(vectors: DataFrame, dims: list[str], slab_rows: int) -> Dat
         lt = reduce(lambda a, b: a | b, [F.lit(s) < F.col(d) for s, d in zip(strong, dims)])
         undominated = undominated & ~(le & lt)
     left = materialise(
-        _partition_skylines(vectors.filter(undominated), dims).distinct(), "skyline-left")
+        _prune_partitions(vectors.filter(undominated), dims).distinct(), "skyline-left")
     n = left.count()
     if n <= slab_rows:
-        return _partition_skylines(left.coalesce(1), dims)
+        return _exact_in_one_task(left, dims)
     return _by_slabs(left, dims, n, slab_rows)
 
 
