@@ -85,12 +85,15 @@ def _survivors(has_quality: bool) -> tuple[Column, Column, Column, Column]:
         if has_quality else F.col("__fast")
     paid = F.filter(F.col("__good"), lambda c: c["cost_per_1m_tok"] * F.col("monthly_tokens_millions")
                     <= F.col("monthly_budget_usd"))
-    own = F.filter(F.col("__paid"), lambda c: c["deployment_type"] == "self_hosted")
+    own = F.when(F.col("prefer_self_hosted"),
+                 F.filter(F.col("__paid"), lambda c: c["deployment_type"] == "self_hosted"))
     return fast, good, paid, own
 
 
 def _largest(array: str, value) -> Column:
-    return F.array_max(F.transform(F.col(array), value))
+    """The largest value of an array; only the weighted objective needs it."""
+    return F.when(F.col("workload_type") == "interactive_app",
+                  F.array_max(F.transform(F.col(array), value)))
 
 
 def _merge(df: DataFrame, reqs: DataFrame, aggs: list[Column], chunks: int) -> DataFrame:
@@ -124,8 +127,8 @@ def select_configs(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_
         return c["cost_per_1m_tok"] * F.col("monthly_tokens_millions")
 
     counted = narrowed(_joined(reqs, packed, chunks)).withColumns({
-        "n_latency": F.size("__fast"), "n_quality": F.size("__good"),
-        "n_budget": F.size("__paid"), "n_own": F.size("__own"),
+        **{name: F.coalesce(F.size(part), F.lit(0)).cast("long") for name, part in zip(
+            ["n_latency", "n_quality", "n_budget", "n_own"], ["__fast", "__good", "__paid", "__own"])},
         "max_p95": _largest("__paid", lambda c: c["p95_latency_ms"]),
         "max_cost": _largest("__paid", cost),
         "own_p95": _largest("__own", lambda c: c["p95_latency_ms"]),
@@ -223,8 +226,9 @@ def constraint_funnel(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHU
     counted = (
         _joined(reqs, packed, chunks)
         .withColumn("__fast", fast).withColumn("__good", good).withColumn("__paid", paid)
-        .select(*reqs.columns, F.size("__fast").alias("n_latency"), F.size("__good").alias("n_quality"),
-                F.size("__paid").alias("n_budget"))
+        .select(*reqs.columns, F.size("__fast").cast("long").alias("n_latency"),
+                F.size("__good").cast("long").alias("n_quality"),
+                F.size("__paid").cast("long").alias("n_budget"))
     )
     merged = _merge(counted, reqs, [F.sum(c).alias(c) for c in ("n_latency", "n_quality", "n_budget")], chunks)
     return merged.withColumn("n_configs", F.lit(n))

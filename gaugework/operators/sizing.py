@@ -53,17 +53,18 @@ def memory_vs_fp16(estimates: DataFrame, model: str = "model_name") -> DataFrame
 
 
 def kv_cache_estimate(df: DataFrame, caches: list[tuple] = KV_CACHES, pct_digits: int = 1) -> DataFrame:
-    """One row per cache setting: room left for the cache beside the model weights."""
+    """One row per cache setting: room left for the cache beside the model weights, NULL if these are unknown."""
     options = F.array(*[
         F.struct(F.lit(c[0]).alias("cache"), F.lit(float(c[1])).alias("gpu_memory_utilization"))
         for c in caches])
     spread = df.withColumn("__k", F.explode(options)).select(*df.columns, "__k.*")
     reserved = F.col("gpu_memory_gb") * F.col("gpu_memory_utilization")
-    room = F.greatest(reserved - F.col("model_memory_gb"), F.lit(0.0))
+    room = F.when(F.col("model_memory_gb").isNotNull(),
+                  F.greatest(reserved - F.col("model_memory_gb"), F.lit(0.0)))
     return spread.withColumns({
         "reserved_gb": half_even(reserved, 2),
         "kv_cache_gb": half_even(room, 2),
-        "kv_cache_pct": half_even(safe_div(room, "gpu_memory_gb") * 100, pct_digits),
+        "kv_cache_pct": half_even(F.when(F.col("gpu_memory_gb") > 0, room / F.col("gpu_memory_gb")) * 100, pct_digits),
     })
 
 

@@ -436,27 +436,28 @@ def rouge_l_unstemmed(spark, sf):
     return quality.rouge_l(generated, references, use_stemmer=False)
 
 
-@query(r"""
-WITH o AS (SELECT source, lower(split_part(trim(text, chr(32)), ' ', 1)) AS prompt, trim(lang, chr(32)) AS output
-           FROM documents),
-p AS (SELECT source, prompt, count(DISTINCT output) = 1 AS alike FROM o GROUP BY ALL HAVING count(*) >= 2)
-SELECT source, round_even(avg(CAST(alike AS DOUBLE)), 4) AS consistency_score,
-       count(*) FILTER (alike) AS num_consistent, count(*) AS num_samples FROM p GROUP BY 1""")
+@query(with_tables("requests", """
+, o AS (SELECT model_name, user_id || '/' || run_id || '/' || batch_size AS prompt, workload AS output
+        FROM requests JOIN (SELECT event_id AS request_id, user_id FROM events) USING (request_id)),
+p AS (SELECT model_name, prompt, count(DISTINCT output) = 1 AS alike FROM o GROUP BY ALL HAVING count(*) >= 2)
+SELECT model_name, round_even(avg(CAST(alike AS DOUBLE)), 4) AS consistency_score,
+       count(*) FILTER (alike) AS num_consistent, count(*) AS num_samples FROM p GROUP BY 1"""))
 def consistency(spark, sf):
-    outputs = tables.read(spark, sf, "documents").select(
-        "source", F.lower(F.split_part(F.trim("text"), F.lit(" "), F.lit(1))).alias("prompt"),
-        F.col("lang").alias("output"))
-    return quality.consistency(outputs, ["source"], "prompt", "output")
+    users = tables.read(spark, sf, "events").select(F.col("event_id").alias("request_id"), "user_id")
+    asked = tables.requests(spark, sf).join(users, "request_id")
+    return quality.consistency(asked.select(
+        "model_name", F.concat_ws("/", "user_id", "run_id", "batch_size").alias("prompt"),
+        F.col("workload").alias("text")))
 
 
 @query(r"""
-WITH o AS (SELECT lang, md5(substr(trim(text, chr(32)), 1, 60)) AS prompt, trim(text, chr(32)) AS output FROM documents),
+WITH o AS (SELECT lang, split_part(text, '.', 1) AS prompt, trim(text, chr(32)) AS output FROM documents),
 p AS (SELECT lang, prompt, count(DISTINCT output) = 1 AS alike FROM o GROUP BY ALL HAVING count(*) >= 2)
 SELECT lang, round_even(avg(CAST(alike AS DOUBLE)), 4) AS consistency_score,
        count(*) FILTER (alike) AS num_consistent, count(*) AS num_samples FROM p GROUP BY 1""")
 def text_consistency(spark, sf):
     outputs = tables.read(spark, sf, "documents").select(
-        "lang", F.md5(F.substring(F.trim("text"), 1, 60)).alias("prompt"), "text")
+        "lang", F.split_part("text", F.lit("."), F.lit(1)).alias("prompt"), "text")
     return quality.consistency(outputs, ["lang"])
 
 

@@ -48,9 +48,9 @@ _CTES = {
           AS q(quantization, label, dtype, memory_reduction, expected_quality_loss)""",
     "samples": """
         SELECT event_id AS sample_id, strftime(ts, '%Y%m%d') AS run_id, k * 240.0 AS gpu_memory_used_mb,
-               CASE WHEN user_id % 7 = 0 THEN 0.0 ELSE 24000.0 END AS gpu_memory_total_mb,
+               CASE WHEN user_id % 7 = 0 THEN 0.0::DOUBLE ELSE 24000.0::DOUBLE END AS gpu_memory_total_mb,
                CAST(k AS DOUBLE) AS gpu_utilization_percent, CAST(100 - k AS DOUBLE) AS cpu_percent,
-               least(value / 10, 64.0) AS ram_used_gb, 64.0 AS ram_total_gb, ts
+               least(value / 10, 64.0) AS ram_used_gb, 64.0::DOUBLE AS ram_total_gb, ts
         FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""",
     "runs": f"""
         SELECT o_orderkey AS id, 'run-' || o_orderkey AS run_name, {NAMES}[o_custkey % 6 + 1] AS model_name,

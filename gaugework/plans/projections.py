@@ -169,18 +169,18 @@ def memory_estimate(spark, sf):
 
 
 @query(with_tables("memory", """
-SELECT model_id, cache, round_even(gpu_memory_gb * util, 2) AS reserved_gb,
-       round_even(greatest(gpu_memory_gb * util - total_memory_gb, 0), 2) AS kv_cache_gb,
-       round(greatest(gpu_memory_gb * util - total_memory_gb, 0) / gpu_memory_gb * 100, 6) AS kv_cache_pct
+SELECT model_id, quantization, cache, round_even(gpu_memory_gb * util, 2) AS reserved_gb,
+       CASE WHEN total_memory_gb IS NOT NULL
+            THEN round_even(greatest(gpu_memory_gb * util - total_memory_gb, 0), 2) END AS kv_cache_gb,
+       CASE WHEN total_memory_gb IS NOT NULL THEN
+            round(greatest(gpu_memory_gb * util - total_memory_gb, 0) / gpu_memory_gb * 100, 6) END AS kv_cache_pct
 FROM memory CROSS JOIN (VALUES ('default', 0.90::DOUBLE), ('optimized', 0.95::DOUBLE),
-                               ('conservative', 0.75::DOUBLE)) AS k(cache, util)
-WHERE quantization = 'int8' AND params_billion IS NOT NULL"""))
+                               ('conservative', 0.75::DOUBLE)) AS k(cache, util)"""))
 def kv_cache_size(spark, sf):
     estimates = sizing.memory_estimate(sizing.at_each_quantization(tables.model_sizes(spark, sf)))
-    fitted = estimates.filter("quantization = 'int8' AND params_billion IS NOT NULL").withColumnRenamed(
-        "total_memory_gb", "model_memory_gb")
-    return sizing.kv_cache_estimate(fitted, pct_digits=6).select(
-        "model_id", "cache", "reserved_gb", "kv_cache_gb", "kv_cache_pct")
+    sized = estimates.withColumnRenamed("total_memory_gb", "model_memory_gb")
+    return sizing.kv_cache_estimate(sized, pct_digits=6).select(
+        "model_id", "quantization", "cache", "reserved_gb", "kv_cache_gb", "kv_cache_pct")
 
 
 @query(with_tables("configs", """
@@ -259,7 +259,8 @@ FROM d JOIN t ON n_tokens BETWEEN lo AND hi""")
 def prompt_building(spark, sf):
     docs = tables.read(spark, sf, "documents").select("doc_id", "text")
     return quality.build_prompts(docs).select(
-        "doc_id", "workload", "template_id", "n_tokens", F.length("prompt").alias("prompt_chars"),
+        "doc_id", "workload", "template_id", F.col("n_tokens").cast("long").alias("n_tokens"),
+        F.length("prompt").cast("long").alias("prompt_chars"),
         F.md5("prompt").alias("prompt_md5"))
 
 
