@@ -62,11 +62,15 @@ def realtime_pick(df: DataFrame, limit_ms: float = 200.0, tie: str = "request_id
         .select(F.lit(1).alias("__one"), "model_name", "batch_size", "latency_ms")
     )
     one = df.sparkSession.range(1).select(F.lit(1).alias("__one"))
-    text = F.when(
+    return one.join(best, "__one", "left").withColumn("advice", realtime_advice(limit_ms)).drop("__one")
+
+
+def realtime_advice(limit_ms: float) -> Column:
+    """What to say about ``model_name`` and ``batch_size`` of the fastest row, NULL if there is none."""
+    return F.when(
         F.col("model_name").isNull(),
         F.format_string("No models meet <%sms latency requirement", F.lit(f"{limit_ms:g}")),
     ).otherwise(F.format_string("Use %s with batch_size=%d", "model_name", "batch_size"))
-    return one.join(best, "__one", "left").withColumn("advice", text).drop("__one")
 
 
 def question_prompts(df: DataFrame, per: list[str], order: str, limit: int | None = 20,

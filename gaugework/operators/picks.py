@@ -1,7 +1,7 @@
 """First row per group by an order, as an aggregate.
 
-``min(struct(...))`` combines on the map side, so a hot group sends one row
-per task instead of all its rows. Ties end in the columns given last.
+``min_by`` combines on the map side, so a hot group sends one row per task
+instead of all its rows. Ties end in the columns given last.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataF
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     ordered = [o.alias(f"__o{i}") for i, o in enumerate(order)]
     rest = [c for c in df.columns if c not in keys]
-    best = (
-        df.select(*keys, F.struct(*ordered, F.struct(*rest).alias("__row")).alias("__s"))
-        .filter(F.col("__s.__o0").isNotNull())
+    return (
+        df.select(*keys, F.struct(*rest).alias("__row"), F.struct(*ordered).alias("__order"))
+        .filter(F.col("__order.__o0").isNotNull())
         .groupBy(*keys)
-        .agg(F.min("__s").alias("__s"))
+        .agg(F.min_by("__row", "__order").alias("__row"))
+        .select(*keys, "__row.*").select(*df.columns)
     )
-    return best.filter(F.col("__s").isNotNull()).select(*keys, "__s.__row.*").select(*df.columns)

@@ -89,7 +89,7 @@ def alerts(windows: DataFrame, thresholds: DataFrame, keys: list[str] = ("model_
     ])).alias("m")).select(*ids, "m.metric", "m.value")
     breach = F.when(F.col("alert_above"), F.col("value") > F.col("threshold")).otherwise(
         F.col("value") < F.col("threshold"))
-    return long.join(F.broadcast(thresholds), "metric").filter(breach).select(
+    return long.join(thresholds, "metric").filter(breach).select(
         *ids, "metric", "value", "threshold")
 
 
