@@ -300,6 +300,18 @@ def pareto_parts(spark, sf):
         pareto_frontier(parts, ["price", "discount"], [True, False])).drop("is_pareto_optimal")
 
 
+@query("""
+WITH p AS (SELECT l_partkey, round(avg(l_extendedprice), 8) AS price, round(avg(l_quantity), 8) AS quantity
+           FROM lineitem GROUP BY 1)""" + _flag_sql("p", "price", "-quantity") + """
+SELECT l_partkey, price, quantity FROM p JOIN front ON price = x AND -quantity = y""")
+def pareto_parts_by_buckets(spark, sf):
+    """The plan for large tables: running minima over coarse and fine buckets."""
+    parts = tables.read(spark, sf, "lineitem").groupBy("l_partkey").agg(
+        F.round(F.avg("l_extendedprice"), 8).alias("price"), F.round(F.avg("l_quantity"), 8).alias("quantity"))
+    return select.frontier_only(
+        pareto_frontier(parts, ["price", "quantity"], [True, False], small_rows=0)).drop("is_pareto_optimal")
+
+
 @query("""
 WITH v AS (SELECT l_quantity AS q, l_discount AS d, l_tax AS t, min(l_extendedprice) AS p FROM lineitem GROUP BY ALL),
 front AS (SELECT * FROM v a WHERE NOT EXISTS (
@@ -327,7 +339,7 @@ front3 AS (SELECT * FROM points a WHERE NOT EXISTS (
 """
 
 
-def _three_way(spark, sf):
+def _three_way(spark, sf, **kwargs):
     """One point per part; price and quantity pull against each other, so the frontier is not tiny."""
     points = tables.read(spark, sf, "lineitem").groupBy("l_partkey").agg(
         F.round(F.avg("l_extendedprice"), 8).alias("latency_ms"),
@@ -336,7 +348,15 @@ def _three_way(spark, sf):
     ).select(F.col("l_partkey").alias("config_id"), F.col("l_partkey").cast("string").alias("model_name"),
              "latency_ms", "cost_per_1m_tok", "throughput")
     return pareto_frontier(
-        materialise(points, "points"), ["latency_ms", "cost_per_1m_tok", "throughput"], [True, True, False])
+        materialise(points, "points"), ["latency_ms", "cost_per_1m_tok", "throughput"], [True, True, False],
+        **kwargs)
+
+
+@query(_THREE + "SELECT config_id, latency_ms, cost_per_1m_tok, throughput FROM front3")
+def frontier_by_slabs(spark, sf):
+    """The plan for large frontiers: slabs along each objective and the grid of occupied cells."""
+    return select.frontier_only(_three_way(spark, sf, slab_rows=20)).select(
+        "config_id", "latency_ms", "cost_per_1m_tok", "throughput")
 
 
 @query(_THREE + """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugework.operators import aggregates, cost, derive, experiments, quality, select, sizing
 from gaugework.plans.ctes import with_tables
-from gaugework.plans.registry import query
+from gaugework.plans.registry import ORACLE_SQL, query
 from gaugework.sources import catalog, tables
 
 
@@ -55,7 +55,7 @@ def resource_percentages(spark, sf):
 @query(with_tables("requests models", """
 SELECT request_id, model_name, deployment_type, round(api, 12) AS api_cost_usd,
        round(infra, 12) AS infrastructure_cost_usd, round(api + infra, 12) AS total_cost_usd,
-       round((api + infra) / (input_tokens + output_tokens) * 1e6, 9) AS cost_per_1m_tok
+       (api + infra) / (input_tokens + output_tokens) * 1e6 AS cost_per_1m_tok
 FROM (SELECT request_id, r.model_name, deployment_type, input_tokens, output_tokens,
              input_tokens / 1e6 * coalesce(price_in, 0) + output_tokens / 1e6 * coalesce(price_out, 0) AS api,
              latency_ms / 1000 / 3600 * coalesce(cost_per_hour, 0) AS infra
@@ -63,7 +63,7 @@ FROM (SELECT request_id, r.model_name, deployment_type, input_tokens, output_tok
 def request_cost(spark, sf):
     return cost.request_cost(tables.requests(spark, sf), catalog.models(spark)).select(
         "request_id", "model_name", "deployment_type", r("api_cost_usd", 12),
-        r("infrastructure_cost_usd", 12), r("total_cost_usd", 12), r("cost_per_1m_tok", 9))
+        r("infrastructure_cost_usd", 12), r("total_cost_usd", 12), "cost_per_1m_tok")
 
 
 @query(with_tables("requests models", """
@@ -235,6 +235,16 @@ def batch_assignment(spark, sf):
         r("amortised_ms", 9))
 
 
+@query(ORACLE_SQL["batch_assignment"])
+def batch_assignment_by_ranges(spark, sf):
+    """The plan for large logs: positions from range partitions."""
+    slim = tables.requests(spark, sf).select("request_id", "batch_size", "latency_ms")
+    batched = experiments.assign_batches(slim, ["batch_size"], small_rows=0)
+    return experiments.amortised_latency(batched, ["batch_size"]).select(
+        "request_id", F.col("batch_size").cast("int").alias("batch_size"), "batch_no", "batch_requests",
+        r("amortised_ms", 9))
+
+
 @query(with_tables("configs", """
 , tops AS (SELECT workload, max(p95_latency_ms) AS p, max(cost_per_1m_tok * 100) AS c FROM configs GROUP BY 1)
 SELECT config_id, round(p95_latency_ms / p * 0.6::DOUBLE + cost_per_1m_tok * 100 / c * 0.4::DOUBLE, 6) AS score

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugework.operators import aggregates, cost, experiments, filters, quality, report
 from gaugework.plans.ctes import with_tables
 from gaugework.plans.projections import configs, r
-from gaugework.plans.registry import query
+from gaugework.plans.registry import ORACLE_SQL, query
 from gaugework.session import fresh_path, materialise
 from gaugework.sources import catalog, store, tables
 
@@ -23,6 +23,12 @@ def config_summary(spark, sf):
     return aggregates.config_summary(tables.requests(spark, sf), digits=4)
 
 
+@query(ORACLE_SQL["config_summary"])
+def config_summary_by_counting(spark, sf):
+    """The plan for large logs: percentiles by counting, without and with fine buckets alike."""
+    return aggregates.config_summary(tables.requests(spark, sf), digits=4, small_rows=0, bucket_rows=0)
+
+
 @query(with_tables("requests", """
 SELECT model_name,
 """ + ",\n".join(
@@ -51,14 +57,14 @@ def model_report(spark, sf):
 
 def _priced_requests(spark, sf):
     priced = cost.request_cost(tables.requests(spark, sf), catalog.models(spark))
-    return priced.withColumn("cost_per_1m_tok", F.round("cost_per_1m_tok", 9))
+    return priced.withColumn("cost_per_1m_tok", F.round("cost_per_1m_tok", 12))
 
 
 _PRICED = """
 , priced AS (
   SELECT r.*, deployment_type, round((input_tokens / 1e6 * coalesce(price_in, 0)
            + output_tokens / 1e6 * coalesce(price_out, 0) + latency_ms / 1000 / 3600 * coalesce(cost_per_hour, 0))
-           / (input_tokens + output_tokens) * 1e6, 9) AS cost_per_1m_tok
+           / (input_tokens + output_tokens) * 1e6, 12) AS cost_per_1m_tok
   FROM requests r LEFT JOIN models m ON r.model_name = m.model_name)
 """
 
@@ -187,11 +193,11 @@ def _experiment(spark, sf, target=40.0):
 _EXPERIMENT_COLUMNS = ["mean_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms",
                        "throughput_req_per_sec", "throughput_tokens_per_sec"]
 _EXPERIMENT_SELECT = "batch_size, strategy, " + ", ".join(
-    f"round({c}, 6) AS {c}" for c in _EXPERIMENT_COLUMNS) + ", p95_latency_ms <= 40 AS meets_sla, 40.0::DOUBLE AS sla_target_ms"
+    f"round({c}, 9) AS {c}" for c in _EXPERIMENT_COLUMNS) + ", p95_latency_ms <= 40 AS meets_sla, 40.0::DOUBLE AS sla_target_ms"
 
 
 def _rounded_experiment(df):
-    return df.select("batch_size", "strategy", *[r(c) for c in _EXPERIMENT_COLUMNS], "meets_sla", "sla_target_ms")
+    return df.select("batch_size", "strategy", *[r(c, 9) for c in _EXPERIMENT_COLUMNS], "meets_sla", "sla_target_ms")
 
 
 @query(with_tables("requests", f", {_EXPERIMENT} SELECT {_EXPERIMENT_SELECT} FROM experiment"))
