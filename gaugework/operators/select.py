@@ -105,7 +105,7 @@ def _merge(df: DataFrame, reqs: DataFrame, aggs: list[Column], chunks: int) -> D
 
 
 def select_configs(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """One recommendation per requirement set.
+    """One recommendation per requirement set; ``req_id`` must be unique.
 
     Limits on p95 latency, quality (when known) and monthly cost are applied in
     this order; self-hosted rows are preferred where asked for and possible.

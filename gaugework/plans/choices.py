@@ -458,14 +458,12 @@ def rouge_l_unstemmed(spark, sf):
 
 @query(with_tables("requests", """
 , o AS (SELECT model_name, user_id || '/' || run_id || '/' || batch_size AS prompt, workload AS output
-        FROM requests JOIN (SELECT event_id AS request_id, user_id FROM events) USING (request_id)),
+        FROM requests),
 p AS (SELECT model_name, prompt, count(DISTINCT output) = 1 AS alike FROM o GROUP BY ALL HAVING count(*) >= 2)
 SELECT model_name, round_even(avg(CAST(alike AS DOUBLE)), 4) AS consistency_score,
        count(*) FILTER (alike) AS num_consistent, count(*) AS num_samples FROM p GROUP BY 1"""))
 def consistency(spark, sf):
-    users = tables.read(spark, sf, "events").select(F.col("event_id").alias("request_id"), "user_id")
-    asked = tables.requests(spark, sf).join(users, "request_id")
-    return quality.consistency(asked.select(
+    return quality.consistency(tables.requests(spark, sf).select(
         "model_name", F.concat_ws("/", "user_id", "run_id", "batch_size").alias("prompt"),
         F.col("workload").alias("text")))
 

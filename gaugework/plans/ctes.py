@@ -25,7 +25,7 @@ SIZES = sql_list(BATCH_SIZES)
 
 _CTES = {
     "requests": f"""
-        SELECT event_id AS request_id, ts, strftime(ts, '%Y%m%d') AS run_id,
+        SELECT event_id AS request_id, user_id, ts, strftime(ts, '%Y%m%d') AS run_id,
                {NAMES}[user_id % 6 + 1] AS model_name,
                {sql_list([m[1] for m in MODELS])}[user_id % 6 + 1] AS backend,
                {QUANTS}[event_id % 3 + 1] AS quantization,

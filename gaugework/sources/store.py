@@ -18,10 +18,14 @@ def _options(fmt: str) -> dict[str, str]:
 
 
 def save_results(df: DataFrame, path: str, fmt: str = "csv", mode: str = "append") -> None:
-    """Write result rows below ``path``, one folder per run."""
+    """Write result rows below ``path``, one folder per run.
+
+    Rebalancing on the run keeps the number of files per run small; AQE splits
+    a run that holds much of the data over several writers.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; use one of {FORMATS}")
-    df.write.mode(mode).partitionBy("run_id").format(fmt).options(**_options(fmt)).save(path)
+    df.hint("rebalance", F.col("run_id")).write.mode(mode).partitionBy("run_id").format(fmt).options(**_options(fmt)).save(path)
 
 
 def read_results(spark: SparkSession, path: str, fmt: str = "csv",

@@ -36,6 +36,7 @@ def shape_requests(events: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     return events.select(
         F.col("event_id").alias("request_id"),
+        "user_id",
         ts.alias("ts"),
         F.date_format(ts, "yyyyMMdd").alias("run_id"),
         choose(MODEL_NAMES, F.col("user_id")).alias("model_name"),
