@@ -37,6 +37,21 @@ def best_row(df: DataFrame, metric: str, tie: str, largest: bool = False, keys:
     return df.filter(value.isNotNull()).orderBy(value, tie).limit(1)
 
 
+def best_rows(df: DataFrame, findings: dict[str, tuple[str, bool]], tie: str) -> DataFrame:
+    """Several overall best rows from one pass; ``findings`` maps a name to (metric, largest)."""
+    row = F.struct(*df.columns)
+    picks = []
+    for name, (metric, largest) in findings.items():
+        value = F.col(metric).cast("double")
+        order = F.struct((-value if largest else value).alias("value"), F.col(tie).alias("tie"))
+        picks.append(F.min_by(row, F.when(value.isNotNull() & ~F.isnan(value), order)).alias(name))
+    named = F.array(*[F.struct(F.lit(name).alias("finding"), F.col(name).alias("row")) for name in findings])
+    return (
+        df.agg(*picks).select(F.explode(named).alias("f"))
+        .filter("f.row IS NOT NULL").select("f.finding", "f.row.*")
+    )
+
+
 def fastest_model(requests: DataFrame) -> DataFrame:
     """The model with the lowest mean latency."""
     means = requests.groupBy("model_name").agg(F.avg("latency_ms").alias("mean_latency_ms"))

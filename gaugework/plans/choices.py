@@ -125,14 +125,11 @@ UNION ALL (SELECT 'cheapest', model_name, request_id, latency_ms, cost_per_1m_to
 UNION ALL (SELECT 'most_output', model_name, request_id, latency_ms, cost_per_1m_tok FROM priced
  ORDER BY output_tokens DESC, request_id LIMIT 1)"""))
 def best_rows(spark, sf):
-    rows = _priced_requests(spark, sf)
-    out = None
-    for finding, metric, largest in (("fastest", "latency_ms", False), ("cheapest", "cost_per_1m_tok", False),
-                                     ("most_output", "output_tokens", True)):
-        best = select.best_row(rows, metric, "request_id", largest).select(
-            F.lit(finding).alias("finding"), "model_name", "request_id", "latency_ms", "cost_per_1m_tok")
-        out = best if out is None else out.unionByName(best)
-    return out
+    rows = _priced_requests(spark, sf).select(
+        "model_name", "request_id", "latency_ms", "cost_per_1m_tok", "output_tokens")
+    return select.best_rows(rows, {
+        "fastest": ("latency_ms", False), "cheapest": ("cost_per_1m_tok", False),
+        "most_output": ("output_tokens", True)}, "request_id").drop("output_tokens")
 
 
 @query(with_tables("requests", """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gaugework.operators.picks import first_by
 from gaugework.operators.positions import with_position
-from gaugework.operators.select import best_row
+from gaugework.operators.select import best_row, best_rows
 
 
 @pytest.mark.parametrize("small_rows", [10**6, 0])
@@ -38,3 +38,6 @@ def test_best_row_skips_nan(spark):
     assert best_row(df, "v", "id").first()["id"] == 4
     assert best_row(df, "v", "id", largest=True).first()["id"] == 2
     assert best_row(df.filter("id = 1"), "v", "id").count() == 0
+    both = {"low": ("v", False), "high": ("v", True)}
+    assert {(r["finding"], r["id"]) for r in best_rows(df, both, "id").collect()} == {("low", 4), ("high", 2)}
+    assert best_rows(df.filter("id = 1"), both, "id").count() == 0
