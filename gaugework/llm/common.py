@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from gaugework.session import materialise
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Rows of one Arrow batch that carries whole texts: a worker holds one batch at a time.
 TEXT_BATCH_ROWS = 1000
+# Words a worker remembers, in each of two generations.
+MEMO_WORDS = 300_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -58,3 +62,21 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, label: str)
         .withColumn(out, (F.col("__at") + F.col("__shift")).cast("long"))
         .drop("__group", "__run", "__shift", "__part", "__at")
     )
+
+
+class Memo(dict):
+    """Results of ``make`` by key. Holds two generations of at most ``limit`` keys; keys in use stay in the newer one."""
+
+    def __init__(self, make: Callable, limit: int = MEMO_WORDS) -> None:
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -17,21 +17,20 @@ import unicodedata
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm.common import documents, numbered, small_batches
+from gaugework.llm.common import Memo, documents, numbered, small_batches
 from gaugework.llm.registry import query
 from gaugework.session import materialise
 
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-MEMO_WORDS = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -47,24 +46,6 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
 
 
-class Memo(dict):
-    """Results of ``make`` by key. Holds two generations of at most ``limit`` keys; keys in use stay in the newer one."""
-
-    def __init__(self, make: Callable, limit: int = MEMO_WORDS) -> None:
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class WordIds:
     """Ids of whole texts, as little-endian bytes, put together from the ids of their words.
 
