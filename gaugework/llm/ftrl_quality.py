@@ -177,6 +177,20 @@ def score(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_id", text_
     return docs.select(id_column, text_column).mapInArrow(rows, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``."""
+    small_batches(docs.sparkSession)
+    bits, place = int(len(weights)).bit_length() - 1, docs.columns.index(text_column)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (features(t, bits) for t in batch.column(place).to_pylist())
+            keep = [sigmoid(float(weights[places] @ values)) >= threshold for places, values in found]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted; learnt from the labels of rows that are not held out."""
     held = remainder("doc_id", 5) == 0

@@ -23,13 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugework.llm.blocks import Block, joined_bytes, key_classes, members, opened, ranges_for, text_blocks
 from gaugework.llm.common import documents
 from gaugework.llm.links import components
 from gaugework.llm.registry import query
-from gaugework.session import materialise
+from gaugework.session import materialise, small_side
 
 WORDS = 3
 PERCENT = 90
@@ -235,6 +236,25 @@ def similar_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
                .otherwise(F.col("component"))).alias("component_id"), "digest")
 
 
+def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id",
+                text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of its smallest id; of rows that share this id, the least text stays.
+
+    Rows without an id all stay.
+    """
+    found = materialise(similar_documents(docs, n, percent, id_column, text_column).select("doc_id", "component_id"),
+                        "components")
+    gone = small_side(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    kept = docs.join(gone, F.col(id_column) == F.col("__gone"), "left_anti")
+    again = small_side(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__again"))
+                       .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__again"))
+    once = kept.join(again, F.col(id_column) == F.col("__again"), "left_anti")
+    least = W.partitionBy(id_column).orderBy(text_column)
+    first = (kept.join(again, F.col(id_column) == F.col("__again"), "left_semi")
+             .withColumn("__place", F.row_number().over(least)).filter("__place = 1").drop("__place"))
+    return once.unionByName(first)
+
+
 SQL = """
 WITH w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
