@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm.blocks import Block, joined_bytes, key_classes, members, opened, ranges_for, text_blocks, with_parts
+from gaugework.llm.blocks import (
+    BLOCK_BYTES, Block, joined_bytes, key_classes, members, opened, ranges_for, text_blocks, with_parts,
+)
 from gaugework.llm.common import documents
 from gaugework.llm.registry import query
 from gaugework.session import materialise
@@ -122,9 +124,9 @@ def marks_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(held.astype(np.int64), first) if len(first) else first
 
 
-def repeated(totals: np.ndarray) -> np.ndarray:
+def repeated(totals: np.ndarray, hot: int = HOT_DOCUMENTS) -> np.ndarray:
     """0: one document; 1: some; 2: so many that segments are cut into windows."""
-    return np.where(totals <= 1, 0, np.where(totals < HOT_DOCUMENTS, 1, 2))
+    return np.where(totals <= 1, 0, np.where(totals < hot, 1, 2))
 
 
 def matrix(block: Block, s: Segments) -> np.ndarray:
@@ -349,14 +351,16 @@ def cut_texts(blocks: DataFrame, collections: int) -> DataFrame:
     return blocks.mapInArrow(cut, RESULT)
 
 
-def repeats_removed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+def repeats_removed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT_DOCUMENTS,
+                    block_bytes: int = BLOCK_BYTES, collection_bytes: int = COLLECTION_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row. The last three change sizes, not results."""
     rows = members(docs, id_column, text_column)
-    blocks = text_blocks(docs, rows, id_column, text_column)
+    blocks = text_blocks(docs, rows, id_column, text_column, block_bytes)
     # about one mark for sixteen bytes of text, four bytes each
-    marked = materialise(key_classes(blocks, ranges_for(blocks, 4 / 16), marks_of, repeated), "marked")
+    ranges = ranges_for(blocks, 4 / 16)
+    marked = materialise(key_classes(blocks, ranges, marks_of, lambda totals: repeated(totals, hot)), "marked")
     total = marked.agg(F.sum("raw_bytes")).first()[0] or 0
-    collections = 1 << max(0, int(total // COLLECTION_BYTES).bit_length())
+    collections = 1 << max(0, int(total // collection_bytes).bit_length())
     answers = materialise(collection_answers(marked, collections), "answers")
     firsts = cut_texts(with_parts(marked, answers, "answers"), collections).drop("digest")
 

@@ -5,8 +5,8 @@ are dealt by digest to ``shards * grain`` parcels. So at most ``2 * shards * gra
 the table's size. Each weight starts as a partition of itself and zeros; the two partial partitions with the largest
 spread are combined again and again, the largest part of one with the smallest of the other.
 
-Defined cases: null texts form one group and have size 1, empty texts another; repeated rows count each; an empty
-table gives no rows; other columns are ignored.
+Defined cases: null and empty texts have size 1 and form one group; repeated rows count each; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN, id
             F.col(id_column).cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"),
-            F.coalesce(F.unhex(F.md5(raw)), F.lit(b"")).alias("digest"),
+            F.unhex(F.md5(F.coalesce(raw, F.lit(b"")))).alias("digest"),
         ).withColumn("parcel", F.pmod(F.xxhash64("digest"), F.lit(shards * grain))),
         "sizes",
     )

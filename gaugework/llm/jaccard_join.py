@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugework.llm.blocks import Block, joined_bytes, key_classes, members, opened, ranges_for, text_blocks
+from gaugework.llm.blocks import (
+    BLOCK_BYTES, Block, joined_bytes, key_classes, members, opened, ranges_for, text_blocks,
+)
 from gaugework.llm.common import documents
 from gaugework.llm.links import components
 from gaugework.llm.registry import query
@@ -209,10 +211,10 @@ def distinct_pairs(joined: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id",
-                      text_column: str = "text") -> DataFrame:
+                      text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id for every row, and the digest of its text."""
     rows = members(docs, id_column, text_column)
-    sets = prefixed_sets(text_blocks(docs, rows, id_column, text_column), n, percent)
+    sets = prefixed_sets(text_blocks(docs, rows, id_column, text_column, block_bytes), n, percent)
     links = similar_links(sets, percent)
     # rows that share an id are linked by it
     texts = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
