@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.scalars import finite, half_even, safe_div
 from gaugework.operators.cost import cost_projection, with_prices
-from gaugework.operators.derive import throughput_projection
-from gaugework.operators.percentiles import grouped_percentiles, percentile_columns
+from gaugework.operators.derive import resource_shares, throughput_projection
+from gaugework.operators.percentiles import grouped_percentiles, mean_of, percentile_columns
 from gaugework.session import materialise, small_side
 
 
@@ -20,31 +20,35 @@ def _known(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, keys: list[str], percentiles: list[int] = (50, 90, 95, 99),
-                        metrics: list[str] = ("ttft_ms", "end_to_end_ms"), **kwargs) -> DataFrame:
-    """Per group one struct of percentiles for each metric; no rows, no result."""
+                        metrics: list[str] = ("ttft_ms", "end_to_end_ms"),
+                        extras: dict[str, tuple[str, Column]] | None = None, **kwargs) -> DataFrame:
+    """Per group one struct of percentiles for each metric, then the extras; no rows, no result."""
     outputs = {}
     for m in metrics:
         outputs.update(percentile_columns(m, list(percentiles), f"{m}_p"))
-    flat = grouped_percentiles(df, keys, outputs, **kwargs)
+    flat = grouped_percentiles(df, keys, outputs, extras, **kwargs)
     return flat.select(*keys, *[
-        F.struct(*[F.col(f"{m}_p{p}").alias(f"p{p}") for p in percentiles]).alias(m) for m in metrics])
+        F.struct(*[F.col(f"{m}_p{p}").alias(f"p{p}") for p in percentiles]).alias(m) for m in metrics],
+        *(extras or {}))
+
+
+def _latency_extras(column: str = "latency_ms") -> dict[str, tuple[str, Column]]:
+    """What the mean latency and the token totals of a group need."""
+    return {"latency_sum": ("sum", finite(column)), "latency_n": ("count", finite(column)),
+            "input_tokens": ("sum", F.col("input_tokens")), "output_tokens": ("sum", F.col("output_tokens"))}
 
 
 def config_summary(df: DataFrame, keys: list[str] = ("model_name", "workload", "batch_size"),
                    digits: int = 2, **kwargs) -> DataFrame:
     """Mean, median, p95 and p99 latency and token sums per configuration."""
     keys = list(keys)
-    ranks = grouped_percentiles(df, keys, {
+    got = grouped_percentiles(df, keys, {
         "latency_ms_median": ("latency_ms", 0.5), "latency_ms_p95": ("latency_ms", 0.95),
-        "latency_ms_p99": ("latency_ms", 0.99)}, **kwargs)
-    sums = _known(df, keys).groupBy(*keys).agg(
-        F.avg(finite("latency_ms")).alias("latency_ms_mean"),
-        F.sum("input_tokens").alias("input_tokens_sum"),
-        F.sum("output_tokens").alias("output_tokens_sum"),
-    )
+        "latency_ms_p99": ("latency_ms", 0.99)}, _latency_extras(), **kwargs)
     rounded = ["latency_ms_mean", "latency_ms_median", "latency_ms_p95", "latency_ms_p99"]
-    return sums.join(ranks, keys, "left").select(
-        *keys, *[half_even(c, digits).alias(c) for c in rounded], "input_tokens_sum", "output_tokens_sum")
+    return got.withColumn("latency_ms_mean", mean_of("latency_sum", "latency_n")).select(
+        *keys, *[half_even(c, digits).alias(c) for c in rounded],
+        F.col("input_tokens").alias("input_tokens_sum"), F.col("output_tokens").alias("output_tokens_sum"))
 
 
 def config_metrics(requests: DataFrame, models: DataFrame, quality: DataFrame | None = None,
@@ -56,14 +60,10 @@ def config_metrics(requests: DataFrame, models: DataFrame, quality: DataFrame |
     its tokens. ``config_id`` is unique and orders ties.
     """
     keys = list(keys)
-    ranks = grouped_percentiles(requests, keys, {"p95_latency_ms": ("latency_ms", 0.95)}, **kwargs)
-    sums = _known(requests, keys).groupBy(*keys).agg(
-        (F.sum(finite("latency_ms")) / 1000).alias("duration_seconds"),
-        F.avg(finite("latency_ms")).alias("latency_ms"),
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
-    )
-    priced = cost_projection(with_prices(sums, models)).join(ranks, keys)
+    got = grouped_percentiles(requests, keys, {"p95_latency_ms": ("latency_ms", 0.95)}, _latency_extras(), **kwargs)
+    priced = cost_projection(with_prices(got.withColumns({
+        "duration_seconds": F.col("latency_sum") / 1000, "latency_ms": mean_of("latency_sum", "latency_n"),
+    }), models))
     if quality is not None:
         priced = priced.join(quality, "model_name", "left")
     return priced.select(
@@ -80,14 +80,10 @@ def config_metrics(requests: DataFrame, models: DataFrame, quality: DataFrame |
 
 def model_report(df: DataFrame, digits: int = 2, **kwargs) -> DataFrame:
     """Mean and p95 latency and token totals per model."""
-    ranks = grouped_percentiles(df, ["model_name"], {"latency_ms_p95": ("latency_ms", 0.95)}, **kwargs)
-    sums = _known(df, ["model_name"]).groupBy("model_name").agg(
-        F.avg(finite("latency_ms")).alias("latency_ms_mean"),
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
-    )
-    return sums.join(ranks, "model_name", "left").select(
-        "model_name", half_even("latency_ms_mean", digits).alias("latency_ms_mean"),
+    got = grouped_percentiles(
+        df, ["model_name"], {"latency_ms_p95": ("latency_ms", 0.95)}, _latency_extras(), **kwargs)
+    return got.select(
+        "model_name", half_even(mean_of("latency_sum", "latency_n"), digits).alias("latency_ms_mean"),
         half_even("latency_ms_p95", digits).alias("latency_ms_p95"),
         "input_tokens", "output_tokens",
         (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
@@ -125,19 +121,27 @@ def average_resources(df: DataFrame, keys: list[str]) -> DataFrame:
         *[F.min_by(c, first).alias(c) for c in ("gpu_memory_total_mb", "ram_total_gb")])
 
 
+def _run_extras() -> dict[str, tuple[str, Column]]:
+    """What the rates of a run need: its tokens, requests, first start and last answer in microseconds."""
+    start = F.unix_micros("ts")
+    return {"total_tokens": ("sum", F.col("input_tokens") + F.col("output_tokens")),
+            "total_requests": ("count", F.lit(1)), "run_from": ("min", start),
+            "run_to": ("max", start + F.col("latency_ms") * 1000)}
+
+
 def run_throughput(df: DataFrame, keys: list[str] = ("run_id",)) -> DataFrame:
     """Requests, real token totals and wall-clock rates of each run.
 
     A run lasts from its first request until its last one is answered.
     """
-    start = F.unix_micros("ts")
-    end = start + F.col("latency_ms") * 1000
+    kinds = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     totals = _known(df, list(keys)).groupBy(*keys).agg(
-        F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"),
-        F.count(F.lit(1)).alias("total_requests"),
-        ((F.max(end) - F.min(start)) / 1e6).alias("duration_seconds"),
-    )
-    return throughput_projection(totals)
+        *[kinds[kind](value).alias(name) for name, (kind, value) in _run_extras().items()])
+    return throughput_projection(_with_duration(totals))
+
+
+def _with_duration(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("duration_seconds", (F.col("run_to") - F.col("run_from")) / 1e6).drop("run_from", "run_to")
 
 
 def run_cost(df: DataFrame, models: DataFrame, keys: list[str] = ("run_id", "model_name")) -> DataFrame:
@@ -173,17 +177,15 @@ def box_summary(df: DataFrame, key: str = "model_name", value: str = "latency_ms
 
 
 def composite_summary(df: DataFrame, resources: DataFrame, keys: list[str] = ("run_id",), **kwargs) -> DataFrame:
-    """Per run: latency, throughput and resource structs and the number of samples."""
+    """Per run: latency, throughput and resource structs (with percentages) and the number of samples."""
     keys = list(keys)
-    latency = latency_percentiles(df, keys, **kwargs)
-    rates = run_throughput(df, keys)
-    usage = average_resources(resources, keys)
-    rate_cols = [c for c in rates.columns if c not in keys]
+    rates = throughput_projection(_with_duration(latency_percentiles(df, keys, extras=_run_extras(), **kwargs)))
+    usage = average_resources(resources, keys).withColumns(resource_shares())
+    rate_cols = [c for c in rates.columns if c not in [*keys, "ttft_ms", "end_to_end_ms"]]
     usage_cols = [c for c in usage.columns if c not in keys]
     return (
-        latency.select(*keys, F.struct("ttft_ms", "end_to_end_ms").alias("latency"))
-        .join(rates.select(*keys, F.struct(*rate_cols).alias("throughput"),
-                           F.col("total_requests").alias("num_samples")), keys)
+        rates.select(*keys, F.struct("ttft_ms", "end_to_end_ms").alias("latency"),
+                     F.struct(*rate_cols).alias("throughput"), F.col("total_requests").alias("num_samples"))
         .join(usage.select(*keys, F.struct(*usage_cols).alias("resources")), keys, "left")
     )
 

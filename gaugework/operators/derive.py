@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.scalars import (
@@ -28,13 +28,15 @@ def throughput_projection(df: DataFrame) -> DataFrame:
     })
 
 
+def resource_shares() -> dict[str, Column]:
+    """GPU memory and RAM in percent of their totals."""
+    return {"gpu_memory_percent": safe_div("gpu_memory_used_mb", "gpu_memory_total_mb") * 100,
+            "ram_percent": safe_div("ram_used_gb", "ram_total_gb") * 100}
+
+
 def resource_projection(df: DataFrame) -> DataFrame:
     """GPU memory and RAM in percent, and the sample time as ISO text."""
-    return df.withColumns({
-        "gpu_memory_percent": safe_div("gpu_memory_used_mb", "gpu_memory_total_mb") * 100,
-        "ram_percent": safe_div("ram_used_gb", "ram_total_gb") * 100,
-        "timestamp": iso_stamp("ts"),
-    })
+    return df.withColumns({**resource_shares(), "timestamp": iso_stamp("ts")})
 
 
 def quality_degradation(df: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugework.functions.scalars import finite, half_even, safe_div
+from gaugework.functions.scalars import finite, half_even, iso_stamp, safe_div
 from gaugework.operators.derive import sla_flag
-from gaugework.operators.percentiles import grouped_percentiles
+from gaugework.operators.percentiles import grouped_percentiles, mean_of
 from gaugework.operators.picks import first_by
 from gaugework.operators.positions import with_position
 from gaugework.operators.quality import against_baseline
 from gaugework.operators.sizing import memory_estimate
+from gaugework.session import materialise
 
 _RANKS = {"p50_latency_ms": ("latency", 0.50), "p95_latency_ms": ("latency", 0.95),
           "p99_latency_ms": ("latency", 0.99)}
@@ -37,20 +38,23 @@ def amortised_latency(batched: DataFrame, group: list[str]) -> DataFrame:
     }).withColumn("amortised_ms", F.col("batch_ms") / F.col("batch_requests"))
 
 
-def batch_experiment(batched: DataFrame, group: list[str] = ("batch_size",), strategy: str = "static",
-                     sla_target_ms: float = 500.0, **kwargs) -> DataFrame:
-    """Latency statistics, wall-clock rates and the SLA flag per batch size."""
+def batch_experiment(batched: DataFrame, group: list[str] = ("batch_size",), batches: list[str] | None = None,
+                     strategy: str = "static", sla_target_ms: float = 500.0, **kwargs) -> DataFrame:
+    """Latency statistics, wall-clock rates and the SLA flag per batch size.
+
+    ``batches`` are the columns within which batches are numbered, those of ``group`` by default. The amortised rows
+    are written once, as they are read twice.
+    """
     group = list(group)
-    timed = amortised_latency(batched, group).withColumn("latency", F.col("amortised_ms"))
-    ranks = grouped_percentiles(timed, group, _RANKS, **kwargs)
+    timed = materialise(amortised_latency(batched, batches or group).select(
+        *group, F.col("amortised_ms").alias("latency"), "latency_ms", "output_tokens", "ts"), "batches")
     start = F.unix_micros("ts")
-    end = start + F.col("latency_ms") * 1000
-    sums = timed.groupBy(*group).agg(
-        F.avg("latency").alias("mean_latency_ms"),
-        F.count(F.lit(1)).alias("requests"),
-        F.sum("output_tokens").alias("output_tokens"),
-        ((F.max(end) - F.min(start)) / 1e6).alias("duration_seconds"))
-    stats = sums.join(ranks, group).withColumns({
+    got = grouped_percentiles(timed, group, _RANKS, {
+        "latency_sum": ("sum", finite("latency")), "latency_n": ("count", finite("latency")),
+        "requests": ("count", F.lit(1)), "output_tokens": ("sum", F.col("output_tokens")),
+        "run_from": ("min", start), "run_to": ("max", start + F.col("latency_ms") * 1000)}, **kwargs)
+    stats = got.withColumn("duration_seconds", (F.col("run_to") - F.col("run_from")) / 1e6).withColumns({
+        "mean_latency_ms": mean_of("latency_sum", "latency_n"),
         "strategy": F.lit(strategy),
         "throughput_req_per_sec": safe_div("requests", "duration_seconds"),
         "throughput_tokens_per_sec": safe_div("output_tokens", "duration_seconds"),
@@ -74,34 +78,42 @@ def optimal_batch(experiments: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def quantization_performance(requests: DataFrame, keys: list[str] = ("model_name", "quantization"),
-                             digits: int = 2, **kwargs) -> DataFrame:
-    """Latency statistics and tokens per second of summed latency (at least 0.001 s)."""
+                             latency: str = "latency_ms", digits: int = 2, **kwargs) -> DataFrame:
+    """Latency statistics and tokens per second of summed latency (at least 0.001 s).
+
+    ``latency`` is the request's share of its batch's time where requests were sent in batches.
+    """
     keys = list(keys)
-    timed = requests.withColumn("latency", F.col("latency_ms"))
-    ranks = grouped_percentiles(timed, keys, _RANKS, **kwargs)
-    for k in keys:
-        timed = timed.filter(F.col(k).isNotNull())
-    sums = timed.groupBy(*keys).agg(
-        F.avg(finite("latency")).alias("mean_latency_ms"),
-        (F.sum("output_tokens") / F.greatest(F.sum(finite("latency")) / 1000, F.lit(0.001)))
-        .alias("throughput_tok_s"))
+    timed = requests.select(*keys, F.col(latency).alias("latency"), "output_tokens")
+    got = grouped_percentiles(timed, keys, _RANKS, {
+        "latency_sum": ("sum", finite("latency")), "latency_n": ("count", finite("latency")),
+        "tokens": ("sum", F.col("output_tokens"))}, **kwargs).withColumns({
+            "mean_latency_ms": mean_of("latency_sum", "latency_n"),
+            "throughput_tok_s": F.col("tokens") / F.greatest(F.col("latency_sum") / 1000, F.lit(0.001))})
     stats = ["mean_latency_ms", *_RANKS, "throughput_tok_s"]
-    return sums.join(ranks, keys, "left").select(
-        *keys, *[half_even(F.coalesce(c, F.lit(0.0)), digits).alias(c) for c in stats])
+    return got.select(*keys, *[half_even(F.coalesce(c, F.lit(0.0)), digits).alias(c) for c in stats])
 
 
 def experiment_records(performance: DataFrame, accuracy: DataFrame, models: DataFrame,
-                       levels: DataFrame) -> DataFrame:
-    """Performance, accuracy, accuracy delta and estimated memory per model and quantisation."""
+                       levels: DataFrame, runs: DataFrame) -> DataFrame:
+    """Performance, accuracy, accuracy delta and estimated memory per model and quantisation.
+
+    ``runs`` has the run's id and its end as ISO text for each model and quantisation.
+    """
     keys = ["model_name", "quantization"]
     scored = against_baseline(
         performance.join(accuracy.select(*keys, "task_accuracy"), keys, "left"))
     memory = memory_estimate(
         scored.join(models.select("model_name", "parameters"), "model_name", "left")
         .join(levels.select("quantization", "dtype", "memory_reduction"), "quantization", "left"))
-    return memory.select(
-        *keys, "dtype", "mean_latency_ms", *_RANKS, "throughput_tok_s", "task_accuracy",
-        "accuracy_delta", F.col("total_memory_gb").alias("est_memory_gb"), "memory_reduction")
+    return memory.join(runs.select(*keys, "run_id", "timestamp"), keys, "left").select(
+        "run_id", *keys, "dtype", "mean_latency_ms", *_RANKS, "throughput_tok_s", "task_accuracy",
+        "accuracy_delta", F.col("total_memory_gb").alias("est_memory_gb"), "memory_reduction", "timestamp")
+
+
+def experiment_runs(requests: DataFrame, keys: list[str] = ("model_name", "quantization")) -> DataFrame:
+    """The latest run of each experiment and the time of its last request, as ISO text."""
+    return requests.groupBy(*keys).agg(F.max("run_id").alias("run_id"), iso_stamp(F.max("ts")).alias("timestamp"))
 
 
 def coverage_gaps(results: DataFrame, models: DataFrame, workloads: list[str],

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugework.functions.scalars import finite
 from gaugework.session import small_side
 
 
@@ -14,8 +15,8 @@ def within_latency(df: DataFrame, max_ms: float | Column, column: str = "p95_lat
 
 
 def within_quality(df: DataFrame, min_score: float | Column) -> DataFrame:
-    """Skipped when the table has no quality scores."""
-    return df.filter(F.col("quality_score") >= min_score) if "quality_score" in df.columns else df
+    """Skipped when the table has no quality scores; a missing or NaN score does not pass."""
+    return df.filter(finite("quality_score") >= min_score) if "quality_score" in df.columns else df
 
 
 def within_budget(df: DataFrame, budget: float | Column) -> DataFrame:
@@ -25,8 +26,8 @@ def within_budget(df: DataFrame, budget: float | Column) -> DataFrame:
 def prefer_self_hosted(df: DataFrame, scope: list[str], wanted: str | None = None) -> DataFrame:
     """Only self-hosted rows, in each scope that has one; all rows in the others.
 
-    With ``wanted``, scopes where that column is false keep all rows. Whether a scope has one is an aggregate of one row per scope; a scope of
-    any size is never gathered.
+    With ``wanted``, scopes where that column is false keep all rows. Whether a scope has one is an aggregate of one row
+    per scope; a scope of any size is never gathered.
     """
     own = small_side(df.filter("deployment_type = 'self_hosted'").select(*scope).distinct()).withColumn(
         "__own", F.lit(True))
@@ -73,9 +74,9 @@ def realtime_advice(limit_ms: float) -> Column:
     ).otherwise(F.format_string("Use %s with batch_size=%d", "model_name", "batch_size"))
 
 
-def question_prompts(df: DataFrame, per: list[str], order: str, limit: int | None = 20,
+def question_prompts(df: DataFrame, per: list[str], order: str, limit: int | None = None,
                      prompt: str = "prompt") -> DataFrame:
-    """Prompts with a question mark, the first ``limit`` of each group by ``order``.
+    """Prompts with a question mark; with ``limit``, the first of each group by ``order``.
 
     Spark pushes the row-number limit below the shuffle, so a task sends at
     most ``limit`` rows of a group.

@@ -1,23 +1,19 @@
-"""Exact, linearly interpolated percentiles for groups of any size.
-
-The built-in ``percentile`` keeps a value-to-count map of a whole group in one
-task. That is the better plan while the input is small, and the row count of
-the input is checked for it. Beyond that, one model can own a third of the log
-and the map has no bound, so the wanted order statistics are located by
-counting:
-
-1. count rows per (group, coarse bucket); map-side combine leaves a few
-   thousand rows per group, and a running sum names the buckets that hold the
-   wanted ranks. These few rows are written, which also tells their number and
-   the rows behind them;
-2. only rows of those buckets are kept and counted per (group, value). The
-   shuffle key contains the value, so a hot group spreads over all reducers;
-3. the running sum over the distinct values of one bucket gives the values. If
-   a bucket itself is large (values crowd around one point), a second running
-   sum over about a million fine buckets comes first.
-
-No step gathers a group. Several columns are handled together by unpivoting
-them first. Groups with a NULL key are dropped, NULL and NaN values skipped.
+"""Exact, linearly interpolated percentiles for groups of any size, with sums from the same pass.
+
+The built-in ``percentile`` keeps a value-to-count map of a whole group in one task, and one model can own a third of
+the log. So order statistics are located by counting, at every size, and the input is read twice:
+
+1. count rows per (group, coarse bucket), together with whatever else is wanted of a group (``extras``). Map-side
+   combine leaves a few thousand rows per group, which are written; sums and means roll up from them, and a running
+   sum names the buckets that hold the wanted ranks. Missing values form a bucket without weight, so that a group
+   without any value still has its row;
+2. only rows of those buckets are kept and counted per (group, value). The shuffle key contains the value, so a hot
+   group spreads over all reducers;
+3. the running sum over the distinct values of one bucket gives the values. If a bucket itself is large (values crowd
+   around one point), a second running sum over about a million fine buckets comes first.
+
+No step gathers a group. Several columns are handled together by unpivoting them first. Groups with a NULL key are
+dropped, NULL and NaN values skipped.
 """
 
 from __future__ import annotations
@@ -30,31 +26,55 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.buckets import coarse_bucket, fine_bucket
 from gaugework.functions.scalars import finite
-from gaugework.session import BROADCAST_ROWS, SMALL_ROWS, materialise
+from gaugework.session import BROADCAST_ROWS, materialise
 
 _METRIC, _VALUE = "__metric", "__value"
 BUCKET_ROWS = 5_000_000  # a bucket up to this size is sorted in one task
 
 
+ROLLUPS = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
 def grouped_percentiles(
     df: DataFrame,
     keys: list[str],
     outputs: dict[str, tuple[str, float]],
-    small_rows: int = SMALL_ROWS,
+    extras: dict[str, tuple[str, Column]] | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """One row per group of ``keys``; ``outputs`` maps a result name to (column, fraction)."""
+    """One row per group of ``keys``.
+
+    ``outputs`` maps a result name to (column, fraction), ``extras`` a result name to ("sum", "count", "min" or "max",
+    expression over the rows of ``df``).
+    """
+    extras = extras or {}
     columns = list(dict.fromkeys(column for column, _ in outputs.values()))
-    slim = df.select(*keys, *[finite(c).alias(c) for c in columns])
+    more = {f"__x{i}": (kind, value, name) for i, (name, (kind, value)) in enumerate(extras.items())}
+    slim = df.select(*keys, *[finite(c).alias(c) for c in columns], *[v.alias(x) for x, (_, v, _) in more.items()])
     for k in keys:
         slim = slim.filter(F.col(k).isNotNull())
-    if slim.count() <= small_rows:
-        # one value-to-count map per column, read once for all its fractions
-        ps = {c: [p for column, p in outputs.values() if column == c] for c in columns}
-        got = slim.groupBy(*keys).agg(*[F.percentile(c, ps[c]).alias(f"__{c}") for c in columns])
-        return got.select(*keys, *[
-            F.col(f"__{c}")[ps[c].index(p)].alias(name) for name, (c, p) in outputs.items()])
-    return _by_counting(slim, keys, columns, outputs, bucket_rows)
+    if len(columns) == 1:
+        long = slim.withColumns({_METRIC: F.lit(columns[0]), _VALUE: F.col(columns[0])}).drop(*columns)
+    else:
+        long = slim.unpivot([F.col(c) for c in [*keys, *more]], columns, _METRIC, _VALUE)
+    long = long.withColumn("__b1", coarse_bucket(F.col(_VALUE)))
+    counted = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    buckets = materialise(
+        long.groupBy(*keys, _METRIC, "__b1").agg(
+            F.count(_VALUE).alias("__n"), F.min(_VALUE).alias("__lo"), F.max(_VALUE).alias("__hi"),
+            *[counted[kind](x).alias(x) for x, (kind, _, _) in more.items()]),
+        "percentile-buckets",
+    )
+    totals = buckets.filter(F.col(_METRIC) == columns[0]).groupBy(*keys, F.lit(1).alias("__one")).agg(
+        *[ROLLUPS[kind](x).alias(name) for x, (kind, _, name) in more.items()], F.max("__n").alias("__any"))
+    ranks = _by_counting(long.drop(*more), buckets.drop(*more), keys, outputs, bucket_rows)
+    return totals.join(ranks.withColumn("__one", F.lit(1)), [*keys, "__one"], "left").select(
+        *keys, *outputs, *extras)
+
+
+def mean_of(extra_sum: str, extra_count: str) -> Column:
+    """A mean from two extras; NULL without a value. Rounding takes off what the order of addition left."""
+    return F.round(extra_sum, 9) / F.nullif(F.col(extra_count), F.lit(0))
 
 
 def _rank_ends(total: Column, p: float) -> tuple[Column, Column]:
@@ -73,24 +93,17 @@ def _holds_rank(outputs: dict[str, tuple[str, float]]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def _by_counting(slim: DataFrame, keys: list[str], columns: list[str],
-                 outputs: dict[str, tuple[str, float]], bucket_rows: int) -> DataFrame:
-    if len(columns) == 1:
-        long = slim.select(*keys, F.lit(columns[0]).alias(_METRIC), F.col(columns[0]).alias(_VALUE))
-    else:
-        long = slim.unpivot([F.col(k) for k in keys], columns, _METRIC, _VALUE)
-    long = long.filter(F.col(_VALUE).isNotNull()).withColumn("__b1", coarse_bucket(F.col(_VALUE)))
-
+def _by_counting(long: DataFrame, buckets: DataFrame, keys: list[str], outputs: dict[str, tuple[str, float]],
+                 bucket_rows: int) -> DataFrame:
     group = [*keys, _METRIC]
-    hits = materialise(
-        long.groupBy(*group, "__b1")
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(_VALUE).alias("__lo"), F.max(_VALUE).alias("__hi"))
+    long = long.filter(F.col(_VALUE).isNotNull())
+    hits = (
+        buckets.filter("__n > 0")
         .withColumn("__upto", F.sum("__n").over(W.partitionBy(*group).orderBy("__b1")))
         .withColumn("__before", F.col("__upto") - F.col("__n"))
         .withColumn("__total", F.sum("__n").over(W.partitionBy(*group)))
-        .filter(_holds_rank(outputs)),
-        "percentile-buckets",
-    ).drop("__upto")
+        .filter(_holds_rank(outputs)).drop("__upto")
+    )
     found = hits.agg(F.count(F.lit(1)).alias("rows"), F.max("__n").alias("largest")).first()
 
     small_side = F.broadcast(hits) if found["rows"] <= BROADCAST_ROWS else hits

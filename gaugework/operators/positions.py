@@ -1,11 +1,9 @@
 """Zero-based positions in sort order, globally or per group.
 
-``row_number`` over a whole group sorts that group in one task, which is fine
-while the input is counted to be small. Beyond that the rows are range-partitioned on (group, order), so a hot group is cut at several
-points of its order; each partition numbers its own rows, and the running
-count of earlier partitions (one row per group and partition) is added. The
-partitioned rows are written first, because both branches must see the same
-cut points even if a task is run again.
+``row_number`` over a whole group sorts that group in one task. So the rows are range-partitioned on (group, order), which
+cuts a hot group at several points of its order, sorted within their partitions and written together with a number that
+rises within a partition. One row per group and partition then tells by how much the numbers of that part are shifted.
+The rows are shuffled once, and written because both branches must see the same cuts even if a task is run again.
 """
 
 from __future__ import annotations
@@ -14,35 +12,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugework.session import SMALL_ROWS, materialise
+from gaugework.session import materialise
 
 
-def with_position(
-    df: DataFrame, order: list[Column | str], out: str = "position",
-    group: list[str] | None = None, small_rows: int = SMALL_ROWS,
-) -> DataFrame:
+def with_position(df: DataFrame, order: list[Column | str], out: str = "position",
+                  group: list[str] | None = None) -> DataFrame:
     """Add ``out``. ``order`` must end in a unique column; rows with a NULL group are dropped."""
     group = group or []
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     for g in group:
         df = df.filter(F.col(g).isNotNull())
-    if df.count() <= small_rows:
-        whole = W.partitionBy(*[F.col(g) for g in group]).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(whole) - 1).cast("long"))
+    keys = [*[F.col(g) for g in group], *order]
     cut = materialise(
-        df.repartitionByRange(*[F.col(g) for g in group], *order)
-        .withColumn("__part", F.spark_partition_id()),
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}),
         "positions",
     )
-    counts = cut.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    runs = cut.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__from"))
     earlier = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(
-        *group, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start")
-    )
-    local = W.partitionBy(*group, "__part").orderBy(*order)
+    shifts = runs.select(
+        *group, "__part", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__from")).alias("__shift"))
     return (
-        cut.withColumn("__local", F.row_number().over(local) - 1)
-        .join(starts, [*group, "__part"])
-        .withColumn(out, (F.col("__start") + F.col("__local")).cast("long"))
-        .drop("__part", "__local", "__start")
+        cut.join(shifts, [*group, "__part"])
+        .withColumn(out, (F.col("__at") + F.col("__shift")).cast("long"))
+        .select(*df.columns, out)
     )

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.scalars import half_even, safe_div, with_defaults
+from gaugework.functions.scalars import finite, half_even, safe_div, with_defaults
 from gaugework.operators.picks import first_by
 from gaugework.operators.positions import with_position
 from gaugework.session import materialise, small_side
@@ -96,7 +96,7 @@ def _survivors(has_quality: bool) -> tuple[Column, Column, Column, Column]:
     """Arrays left after the latency, quality and budget limits, and their self-hosted part."""
     configs = F.coalesce("__configs", F.array())
     fast = F.filter(configs, lambda c: c["p95_latency_ms"] <= F.col("max_latency_p95_ms"))
-    good = F.filter(F.col("__fast"), lambda c: c["quality_score"] >= F.col("min_quality_score")) \
+    good = F.filter(F.col("__fast"), lambda c: finite(c["quality_score"]) >= F.col("min_quality_score")) \
         if has_quality else F.col("__fast")
     paid = F.filter(F.col("__good"), lambda c: c["cost_per_1m_tok"] * F.col("monthly_tokens_millions")
                     <= F.col("monthly_budget_usd"))
@@ -289,11 +289,15 @@ def frontier_export(flagged: DataFrame) -> DataFrame:
         "quality_score", "is_pareto_optimal")
 
 
-def positional_ranks(df: DataFrame, tie: str = "config_id", **kwargs) -> DataFrame:
-    """Zero-based place by latency, by cost and by throughput (best first), and their mean."""
+def positional_ranks(df: DataFrame, tie: str = "config_id") -> DataFrame:
+    """Zero-based place by latency, by cost and by throughput (best first), and their mean.
+
+    ``df`` is written once; each step after that reads what the one before it has written.
+    """
+    df = materialise(df, "ranked")
     for out, order in (("latency_rank", F.col("latency_ms")), ("cost_rank", F.col("cost_per_1m_tok")),
                        ("throughput_rank", -F.col("throughput"))):
-        df = with_position(df, [order, F.col(tie)], out, **kwargs)
+        df = with_position(df, [order, F.col(tie)], out)
     return df.withColumn(
         "avg_rank", (F.col("latency_rank") + F.col("cost_rank") + F.col("throughput_rank")) / 3)
 

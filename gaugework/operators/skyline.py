@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugework.functions.buckets import coarse_bucket, fine_bucket
+from gaugework.functions.scalars import finite
 from gaugework.operators.positions import with_position
 from gaugework.session import SMALL_ROWS, materialise, small_side
 
@@ -53,7 +54,7 @@ def pareto_frontier(
     if len(minimize) != len(objectives) or not objectives:
         raise ValueError("give one minimise flag per objective")
     if quality_threshold is not None and "quality_score" in df.columns:
-        df = df.filter(F.col("quality_score") >= quality_threshold)
+        df = df.filter(finite("quality_score") >= quality_threshold)
 
     dims = [f"__o{i}" for i in range(len(objectives))]
     signed = [F.col(c).cast("double") * (1.0 if low else -1.0) for c, low in zip(objectives, minimize)]
@@ -265,7 +266,7 @@ def _by_slabs(left: DataFrame, dims: list[str], n: int, slab_rows: int) -> DataF
     for i, cell in enumerate(cells):
         order = [dims[(i + j) % k] for j in range(k)]
         placed = materialise(
-            with_position(placed, order, cell, small_rows=slab_rows)
+            with_position(placed, order, cell)
             .withColumn(cell, F.floor(F.col(cell) / width).cast("int")),
             "skyline-slabs",
         )

@@ -36,13 +36,12 @@ def latency_filter(spark, sf):
 
 @query(with_tables("requests models", _PRICED + """
 , own AS (SELECT DISTINCT run_id, workload FROM priced
-          WHERE deployment_type = 'self_hosted' AND latency_ms <= 5)
+          WHERE deployment_type = 'self_hosted')
 SELECT p.request_id, p.run_id, p.workload, p.model_name, p.deployment_type
 FROM priced p LEFT JOIN own o ON p.run_id = o.run_id AND p.workload = o.workload
-WHERE p.latency_ms <= 5 AND (o.run_id IS NULL OR p.deployment_type = 'self_hosted')"""))
+WHERE o.run_id IS NULL OR p.deployment_type = 'self_hosted'"""))
 def prefer_self_hosted(spark, sf):
-    quick = _priced_requests(spark, sf).filter("latency_ms <= 5")
-    return filters.prefer_self_hosted(quick, ["run_id", "workload"]).select(
+    return filters.prefer_self_hosted(_priced_requests(spark, sf), ["run_id", "workload"]).select(
         "request_id", "run_id", "workload", "model_name", "deployment_type")
 
 
@@ -87,14 +86,11 @@ def realtime_chat_no_match(spark, sf):
 
 
 @query(r"""
-SELECT lang, page_id, url FROM (
-  SELECT lang, page_id, url, row_number() OVER (PARTITION BY lang ORDER BY page_id) AS rn
-  FROM (SELECT *, regexp_extract(url, '/([a-z][a-z])/', 1) AS lang FROM pages) WHERE contains(url, '?'))
-WHERE rn <= 20""")
+SELECT regexp_extract(url, '/([a-z][a-z])/', 1) AS lang, page_id, url FROM pages WHERE contains(url, '?')""")
 def question_prompts(spark, sf):
     pages = tables.read(spark, sf, "pages").select(
         F.regexp_extract("url", "/([a-z][a-z])/", 1).alias("lang"), "page_id", "url")
-    return filters.question_prompts(pages, ["lang"], "page_id", 20, "url")
+    return filters.question_prompts(pages, ["lang"], "page_id", prompt="url")
 
 
 @query(with_tables("sizes quantizations", """

@@ -55,7 +55,7 @@ _CTES = {
     "runs": f"""
         SELECT o_orderkey AS id, 'run-' || o_orderkey AS run_name, {NAMES}[o_custkey % 6 + 1] AS model_name,
                o_orderpriority AS workload_type, {SIZES}[o_orderkey % 5 + 1] AS batch_size
-        FROM orders WHERE o_orderstatus <> 'P'""",
+        FROM orders""",
     "results": """
         SELECT l_orderkey AS run_id, l_extendedprice / 100 AS latency_ms, l_partkey % 500 + 1 AS input_tokens,
                CAST(l_quantity AS BIGINT) AS output_tokens, l_extendedprice * l_tax / 1000 AS cost_usd

@@ -215,32 +215,34 @@ def run_identifiers(spark, sf):
     return derive.stamp_runs(tables.requests(spark, sf)).select("request_id", "run_stamp", "timestamp")
 
 
+# requests are sent in batches within a run, model, workload and batch size
+BATCH_KEYS = ["run_id", "model_name", "workload", "batch_size"]
 _BATCHED = """
 batched AS (
-  SELECT *, (row_number() OVER (PARTITION BY batch_size ORDER BY request_id) - 1) // batch_size AS batch_no
+  SELECT *, (row_number() OVER (PARTITION BY run_id, model_name, workload, batch_size ORDER BY request_id) - 1) // batch_size AS batch_no
   FROM requests),
 timed AS (
-  SELECT *, count(*) OVER (PARTITION BY batch_size, batch_no) AS batch_requests,
-         max(latency_ms) OVER (PARTITION BY batch_size, batch_no) AS batch_ms FROM batched)"""
+  SELECT *, count(*) OVER (PARTITION BY run_id, model_name, workload, batch_size, batch_no) AS batch_requests,
+         max(latency_ms) OVER (PARTITION BY run_id, model_name, workload, batch_size, batch_no) AS batch_ms FROM batched)"""
 
 
 @query(with_tables("requests", "," + _BATCHED + """
 SELECT request_id, batch_size, batch_no, batch_requests, round(batch_ms / batch_requests, 9) AS amortised_ms
 FROM timed"""))
 def batch_assignment(spark, sf):
-    slim = tables.requests(spark, sf).select("request_id", "batch_size", "latency_ms")
-    batched = experiments.assign_batches(slim, ["batch_size"])
-    return experiments.amortised_latency(batched, ["batch_size"]).select(
+    slim = tables.requests(spark, sf).select("request_id", *BATCH_KEYS, "latency_ms")
+    batched = experiments.assign_batches(slim, BATCH_KEYS)
+    return experiments.amortised_latency(batched, BATCH_KEYS).select(
         "request_id", F.col("batch_size").cast("int").alias("batch_size"), "batch_no", "batch_requests",
         r("amortised_ms", 9))
 
 
 @query(ORACLE_SQL["batch_assignment"])
 def batch_assignment_by_ranges(spark, sf):
-    """The plan for large logs: positions from range partitions."""
-    slim = tables.requests(spark, sf).select("request_id", "batch_size", "latency_ms")
-    batched = experiments.assign_batches(slim, ["batch_size"], small_rows=0)
-    return experiments.amortised_latency(batched, ["batch_size"]).select(
+    """From many input partitions."""
+    slim = tables.requests(spark, sf).select("request_id", *BATCH_KEYS, "latency_ms")
+    batched = experiments.assign_batches(slim.repartition(13), BATCH_KEYS)
+    return experiments.amortised_latency(batched, BATCH_KEYS).select(
         "request_id", F.col("batch_size").cast("int").alias("batch_size"), "batch_no", "batch_requests",
         r("amortised_ms", 9))
 
@@ -305,10 +307,9 @@ SELECT run_id, round(rate, 6) AS requests_per_second,
        CASE WHEN rate < 10 THEN 'light' WHEN rate < 50 THEN 'medium' ELSE 'heavy' END AS tier,
        CASE WHEN rate < 10 THEN 'g5.xlarge' WHEN rate < 50 THEN 'g5.2xlarge' ELSE 'p4d.24xlarge' END AS instance,
        CASE WHEN rate < 10 THEN 1.01::DOUBLE WHEN rate < 50 THEN 1.52::DOUBLE ELSE 32.77::DOUBLE END AS usd_per_hour
-FROM (SELECT run_id, total_requests / duration * 3600 AS rate FROM ({_RUN_RATES}))"""))
+FROM (SELECT run_id, total_requests / duration AS rate FROM ({_RUN_RATES}))"""))
 def load_tier(spark, sf):
-    # the sample log holds a few requests per hour; the tiers are applied to requests per hour
     rates = aggregates.run_throughput(tables.requests(spark, sf)).withColumn(
-        "requests_per_second", F.col("total_requests") / F.col("duration_seconds") * 3600)
+        "requests_per_second", F.col("total_requests") / F.col("duration_seconds"))
     return sizing.load_tier(rates).select(
         "run_id", r("requests_per_second"), "tier", "instance", "usd_per_hour")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugework.operators import aggregates, cost, experiments, filters, quality, report
 from gaugework.plans.ctes import with_tables
-from gaugework.plans.projections import configs, r
+from gaugework.plans.projections import BATCH_KEYS, configs, r
 from gaugework.plans.registry import ORACLE_SQL, query
 from gaugework.session import fresh_path, materialise
 from gaugework.sources import catalog, store, tables
@@ -26,7 +26,15 @@ def config_summary(spark, sf):
 @query(ORACLE_SQL["config_summary"])
 def config_summary_by_counting(spark, sf):
     """The plan for large logs: percentiles by counting, without and with fine buckets alike."""
-    return aggregates.config_summary(tables.requests(spark, sf), digits=4, small_rows=0, bucket_rows=0)
+    return aggregates.config_summary(tables.requests(spark, sf), digits=4, bucket_rows=0)
+
+
+@query(with_tables("configs", """
+SELECT config_id, model_name, workload, batch_size, latency_ms, p95_latency_ms, cost_per_1m_tok, throughput FROM configs"""))
+def config_metrics_by_counting(spark, sf):
+    """The plan for crowded buckets."""
+    return aggregates.config_metrics(tables.requests(spark, sf), catalog.models(spark), bucket_rows=0).select(
+        "config_id", "model_name", "workload", "batch_size", "latency_ms", "p95_latency_ms", "cost_per_1m_tok", "throughput")
 
 
 @query(with_tables("requests", """
@@ -135,9 +143,13 @@ def box_summary(spark, sf):
               (max(epoch_us(ts) + latency_ms * 1000) - min(epoch_us(ts))) / 1e6 AS duration,
               quantile_cont(ttft_ms, 0.5) AS t50, quantile_cont(e2e_s * 1000, 0.99) AS e99
             FROM requests GROUP BY 1),
-usage AS (SELECT run_id, avg(gpu_utilization_percent) AS gpu FROM samples GROUP BY 1)
+usage AS (SELECT run_id, avg(gpu_utilization_percent) AS gpu, avg(gpu_memory_used_mb) AS used, avg(ram_used_gb) AS ram,
+            arg_min(gpu_memory_total_mb, (ts, sample_id)) AS gpu_mb, arg_min(ram_total_gb, (ts, sample_id)) AS ram_gb
+          FROM samples GROUP BY 1)
 SELECT run_id, round(t50, 8) AS ttft_p50, round(e99, 8) AS e2e_p99, round(total_tokens / duration, 6)
-         AS tokens_per_second, total_tokens, n AS num_samples, round(gpu, 6) AS gpu_utilization_percent
+         AS tokens_per_second, total_tokens, n AS num_samples, round(gpu, 6) AS gpu_utilization_percent,
+       round(CASE WHEN gpu_mb > 0 THEN used / gpu_mb ELSE 0 END * 100, 6) AS gpu_memory_percent,
+       round(CASE WHEN ram_gb > 0 THEN ram / ram_gb ELSE 0 END * 100, 6) AS ram_percent
 FROM rates JOIN usage USING (run_id)"""))
 def composite_summary(spark, sf):
     from gaugework.operators.derive import latency_projection
@@ -149,7 +161,8 @@ def composite_summary(spark, sf):
         F.round("latency.end_to_end_ms.p99", 8).alias("e2e_p99"),
         F.round("throughput.tokens_per_second", 6).alias("tokens_per_second"),
         F.col("throughput.total_tokens").alias("total_tokens"), "num_samples",
-        F.round("resources.gpu_utilization_percent", 6).alias("gpu_utilization_percent"))
+        *[F.round(f"resources.{c}", 6).alias(c)
+          for c in ("gpu_utilization_percent", "gpu_memory_percent", "ram_percent")])
 
 
 @query(with_tables("requests models", _PRICED + """
@@ -170,11 +183,11 @@ def error_rate(spark, sf):
 
 _EXPERIMENT = """
 batched AS (
-  SELECT *, (row_number() OVER (PARTITION BY batch_size ORDER BY request_id) - 1) // batch_size AS batch_no
+  SELECT *, (row_number() OVER (PARTITION BY run_id, model_name, workload, batch_size ORDER BY request_id) - 1) // batch_size AS batch_no
   FROM requests),
 timed AS (
   SELECT *, max(latency_ms) OVER b / count(*) OVER b AS lat FROM batched
-  WINDOW b AS (PARTITION BY batch_size, batch_no)),
+  WINDOW b AS (PARTITION BY run_id, model_name, workload, batch_size, batch_no)),
 experiment AS (
   SELECT batch_size, 'static' AS strategy, avg(lat) AS mean_latency_ms, quantile_cont(lat, 0.5) AS p50_latency_ms,
          quantile_cont(lat, 0.95) AS p95_latency_ms, quantile_cont(lat, 0.99) AS p99_latency_ms,
@@ -184,16 +197,16 @@ experiment AS (
   GROUP BY batch_size, dur)"""
 
 
-def _experiment(spark, sf, target=40.0):
-    slim = tables.requests(spark, sf).select("request_id", "batch_size", "latency_ms", "output_tokens", "ts")
-    batched = experiments.assign_batches(slim, ["batch_size"])
-    return experiments.batch_experiment(batched, sla_target_ms=target)
+def _experiment(spark, sf, target=80.0):
+    slim = tables.requests(spark, sf).select("request_id", *BATCH_KEYS, "latency_ms", "output_tokens", "ts")
+    batched = experiments.assign_batches(slim, BATCH_KEYS)
+    return experiments.batch_experiment(batched, batches=BATCH_KEYS, sla_target_ms=target)
 
 
 _EXPERIMENT_COLUMNS = ["mean_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms",
                        "throughput_req_per_sec", "throughput_tokens_per_sec"]
 _EXPERIMENT_SELECT = "batch_size, strategy, " + ", ".join(
-    f"round({c}, 9) AS {c}" for c in _EXPERIMENT_COLUMNS) + ", p95_latency_ms <= 40 AS meets_sla, 40.0::DOUBLE AS sla_target_ms"
+    f"round({c}, 9) AS {c}" for c in _EXPERIMENT_COLUMNS) + ", p95_latency_ms <= 80 AS meets_sla, 80.0::DOUBLE AS sla_target_ms"
 
 
 def _rounded_experiment(df):
@@ -206,31 +219,47 @@ def batch_experiment(spark, sf):
 
 
 @query(with_tables("requests", f""", {_EXPERIMENT}
-SELECT {_EXPERIMENT_SELECT} FROM experiment WHERE p95_latency_ms <= 40"""))
+SELECT {_EXPERIMENT_SELECT} FROM experiment WHERE p95_latency_ms <= 80"""))
 def sla_passing_batches(spark, sf):
     return _rounded_experiment(experiments.sla_passing(_experiment(spark, sf)))
 
 
 @query(with_tables("requests", f""", {_EXPERIMENT}
-SELECT {_EXPERIMENT_SELECT} FROM experiment WHERE p95_latency_ms <= 40
+SELECT {_EXPERIMENT_SELECT} FROM experiment WHERE p95_latency_ms <= 80
 ORDER BY throughput_tokens_per_sec DESC, batch_size LIMIT 1"""))
 def optimal_batch(spark, sf):
     return _rounded_experiment(experiments.optimal_batch(_experiment(spark, sf)))
 
 
+# each quantisation of a model is an experiment of its own, sent in batches
+QUANT_KEYS = ["quantization", *BATCH_KEYS]
 _PERFORMANCE = """
+sent AS (
+  SELECT *, (row_number() OVER (PARTITION BY quantization, run_id, model_name, workload, batch_size ORDER BY request_id) - 1) // batch_size AS batch_no
+  FROM requests),
+shared AS (
+  SELECT *, max(latency_ms) OVER b / count(*) OVER b AS lat FROM sent
+  WINDOW b AS (PARTITION BY quantization, run_id, model_name, workload, batch_size, batch_no)),
 performance AS (
-  SELECT model_name, quantization, round_even(avg(latency_ms), 4) AS mean_latency_ms,
-         round_even(quantile_cont(latency_ms, 0.5), 4) AS p50_latency_ms,
-         round_even(quantile_cont(latency_ms, 0.95), 4) AS p95_latency_ms,
-         round_even(quantile_cont(latency_ms, 0.99), 4) AS p99_latency_ms,
-         round_even(sum(output_tokens) / greatest(sum(latency_ms) / 1000, 0.001), 4) AS throughput_tok_s
-  FROM requests GROUP BY ALL)"""
+  SELECT model_name, quantization, round_even(avg(lat), 4) AS mean_latency_ms,
+         round_even(quantile_cont(lat, 0.5), 4) AS p50_latency_ms,
+         round_even(quantile_cont(lat, 0.95), 4) AS p95_latency_ms,
+         round_even(quantile_cont(lat, 0.99), 4) AS p99_latency_ms,
+         round_even(sum(output_tokens) / greatest(sum(lat) / 1000, 0.001), 4) AS throughput_tok_s
+  FROM shared GROUP BY ALL)"""
+
+
+def _performance(spark, sf):
+    slim = tables.requests(spark, sf).select("request_id", *QUANT_KEYS, "latency_ms", "output_tokens")
+    timed = experiments.amortised_latency(experiments.assign_batches(slim, QUANT_KEYS), QUANT_KEYS)
+    return experiments.quantization_performance(
+        materialise(timed.select("model_name", "quantization", "amortised_ms", "output_tokens"), "shared"),
+        latency="amortised_ms", digits=4)
 
 
 @query(with_tables("requests", f", {_PERFORMANCE} SELECT * FROM performance"))
 def quantization_performance(spark, sf):
-    return experiments.quantization_performance(tables.requests(spark, sf), digits=4)
+    return _performance(spark, sf)
 
 
 @query(with_tables("requests accuracy models quantizations", f""", {_PERFORMANCE},
@@ -240,18 +269,21 @@ sized AS (SELECT m.model_name, q.quantization, q.dtype, q.memory_reduction,
                    * CASE dtype WHEN 'int8' THEN 1.0::DOUBLE WHEN 'int4' THEN 0.5::DOUBLE ELSE 2.0::DOUBLE END
                    / 1073741824 * 1.2::DOUBLE AS gb
           FROM models m CROSS JOIN quantizations q)
-SELECT s.model_name, s.quantization, z.dtype, s.mean_latency_ms, s.p50_latency_ms, s.p95_latency_ms,
+SELECT e.run_id, s.model_name, s.quantization, z.dtype, s.mean_latency_ms, s.p50_latency_ms, s.p95_latency_ms,
        s.p99_latency_ms, s.throughput_tok_s, s.task_accuracy,
        round(CASE WHEN b.model_name IS NOT NULL AND s.quantization <> 'fp16'
              THEN coalesce(s.task_accuracy, 0) - coalesce(b.task_accuracy, 0) END, 6) AS accuracy_delta,
-       round_even(gb, 2) AS est_memory_gb, z.memory_reduction
-FROM scored s LEFT JOIN scored b ON s.model_name = b.model_name AND b.quantization = 'fp16'
+       round_even(gb, 2) AS est_memory_gb, z.memory_reduction, e.timestamp
+FROM scored s JOIN (
+  SELECT model_name, quantization, max(run_id) AS run_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS timestamp
+  FROM requests GROUP BY ALL) e ON s.model_name = e.model_name AND s.quantization = e.quantization LEFT JOIN scored b ON s.model_name = b.model_name AND b.quantization = 'fp16'
 JOIN sized z ON s.model_name = z.model_name AND s.quantization = z.quantization"""))
 def experiment_records(spark, sf):
-    performance = experiments.quantization_performance(tables.requests(spark, sf), digits=4)
+    performance = _performance(spark, sf)
     scores = quality.task_accuracy(tables.responses(spark, sf), tables.prompt_keywords(spark, sf))
     records = experiments.experiment_records(
-        performance, scores, catalog.models(spark), catalog.quantizations(spark))
+        performance, scores, catalog.models(spark), catalog.quantizations(spark),
+        experiments.experiment_runs(tables.requests(spark, sf)))
     return records.withColumn("accuracy_delta", F.round("accuracy_delta", 6))
 
 
@@ -293,7 +325,8 @@ SELECT model_name, batch_size, count(*) AS requests, CAST(sum(output_tokens) AS
 FROM requests WHERE run_id = (SELECT max(run_id) FROM requests) GROUP BY ALL"""))
 def latest_run_scan(spark, sf):
     path = fresh_path(spark, "results-csv")
-    store.save_results(_result_rows(spark, sf), path, "csv")
+    stamped = _result_rows(spark, sf).withColumn("run_id", F.date_format("timestamp", "yyyy-MM-dd'T00:00:00'"))
+    store.save_results(stamped, path, "csv")
     return store.latest_run(spark, path).groupBy("model_name", "batch_size").agg(
         F.count(F.lit(1)).alias("requests"), F.sum("output_tokens").alias("output_tokens"),
         F.round(F.sum("latency_ms"), 4).alias("latency_ms"),
@@ -353,9 +386,10 @@ def results_with_runs(spark, sf):
 
 @query(with_tables("runs results", """
 SELECT run_id, round(latency_ms, 6) AS latency_ms, input_tokens, output_tokens FROM results
-WHERE run_id NOT IN (SELECT id FROM runs)"""))
+WHERE run_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"""))
 def orphan_results(spark, sf):
-    return store.orphan_results(tables.benchmark_results(spark, sf), tables.benchmark_runs(spark, sf)).select(
+    return store.orphan_results(
+        tables.benchmark_results(spark, sf), tables.benchmark_runs(spark, sf, finished=True)).select(
         "run_id", r("latency_ms"), "input_tokens", "output_tokens")
 
 

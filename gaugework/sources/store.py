@@ -17,15 +17,20 @@ def _options(fmt: str) -> dict[str, str]:
     return {"header": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
+RUNS_FOLDER = "_runs"  # not read with the results, as its name begins with an underscore
+
+
 def save_results(df: DataFrame, path: str, fmt: str = "csv", mode: str = "append") -> None:
-    """Write result rows below ``path``, one folder per run.
+    """Write result rows below ``path``, one folder per run, and the ids of the runs beside them.
 
     Rebalancing on the run keeps the number of files per run small; AQE splits
     a run that holds much of the data over several writers.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; use one of {FORMATS}")
-    df.hint("rebalance", F.col("run_id")).write.mode(mode).partitionBy("run_id").format(fmt).options(**_options(fmt)).save(path)
+    rows = df.hint("rebalance", F.col("run_id"))
+    rows.write.mode(mode).partitionBy("run_id").format(fmt).options(**_options(fmt)).save(path)
+    df.select("run_id").distinct().write.mode(mode).parquet(f"{path}/{RUNS_FOLDER}")
 
 
 def read_results(spark: SparkSession, path: str, fmt: str = "csv",
@@ -38,25 +43,39 @@ def latest_run(spark: SparkSession, path: str, fmt: str = "csv",
                schema: str = REQUEST_RESULT) -> DataFrame:
     """The run whose id sorts last; an empty table when nothing is stored.
 
-    The ids come from the folder names that Spark has listed anyway, so only
-    the chosen folder is read.
+    A subquery over the table of run ids picks it, so only its folder is read and nothing passes through the driver.
+    Rows without a run id belong to no run.
     """
     stored = read_results(spark, path, fmt, schema)
-    runs = {part.split("=", 1)[1] for name in stored.inputFiles()
-            for part in name.split("/") if part.startswith("run_id=")}
-    return stored.filter(F.col("run_id") == max(runs)) if runs else stored.filter(F.lit(False))
+    if not stored.inputFiles():
+        return stored
+    runs = spark.read.schema("run_id STRING").parquet(f"{path}/{RUNS_FOLDER}")
+    return stored.filter(F.col("run_id") == runs.agg(F.max("run_id")).scalar())
 
 
 def latest_file(spark: SparkSession, pattern: str, fmt: str = "csv",
                 schema: str = REQUEST_RESULT) -> DataFrame:
     """Of single-file runs matching ``pattern``, the file whose name sorts last."""
     reader = spark.read.format(fmt).schema(schema).options(**_options(fmt))
-    files = reader.load(pattern).inputFiles()
-    return reader.load(max(files)) if files else spark.createDataFrame([], schema)
+    # names only: the content of the files is not read for this
+    name = spark.read.format("binaryFile").load(pattern).agg(F.max("path")).first()[0]
+    return reader.load(name) if name else spark.createDataFrame([], schema)
+
+
+def check_store(runs: DataFrame, results: DataFrame) -> None:
+    """Raises ValueError unless run ids are unique and every result has its run."""
+    again = runs.groupBy("id").count().filter("count > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"run {again[0]['id']} is stored twice")
+    orphan = orphan_results(results, runs).limit(1).collect()
+    if orphan:
+        raise ValueError(f"result {orphan[0]['id']} refers to run {orphan[0]['run_id']}, which is not stored")
 
 
-def save_store(runs: DataFrame, results: DataFrame, path: str) -> None:
-    """Write the two tables of the store."""
+def save_store(runs: DataFrame, results: DataFrame, path: str, checked: bool = True) -> None:
+    """Write the two tables of the store, after checking their keys."""
+    if checked:
+        check_store(runs, results)
     runs.write.mode("append").parquet(f"{path}/benchmark_runs")
     results.write.mode("append").parquet(f"{path}/benchmark_results")
 

@@ -77,9 +77,10 @@ def shape_resources(events: DataFrame) -> DataFrame:
     )
 
 
-def benchmark_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of the store: the orders that are not pending."""
-    return read(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(
+def benchmark_runs(spark: SparkSession, sf_dir: str, finished: bool = False) -> DataFrame:
+    """Runs of the store: the orders; with ``finished`` only those that are not pending."""
+    orders = read(spark, sf_dir, "orders")
+    return (orders.filter("o_orderstatus <> 'P'") if finished else orders).select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"),
         choose(MODEL_NAMES, F.col("o_custkey")).alias("model_name"),

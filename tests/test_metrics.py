@@ -117,8 +117,8 @@ def test_batches(spark):
     df = spark.range(10).selectExpr(
         "id as request_id", "4 as batch_size", "cast(10 + id as double) as latency_ms", "5L as output_tokens",
         "timestamp_seconds(id) as ts")
-    for small_rows in (10**6, 0):
-        batched = experiments.assign_batches(df, ["batch_size"], small_rows=small_rows)
+    for parts in (1, 5):
+        batched = experiments.assign_batches(df.repartition(parts), ["batch_size"])
         timed = experiments.amortised_latency(batched, ["batch_size"]).orderBy("request_id").collect()
         assert [r["batch_no"] for r in timed] == [0] * 4 + [1] * 4 + [2] * 2
         assert timed[0]["amortised_ms"] == 13 / 4 and timed[9]["amortised_ms"] == 19 / 2
@@ -143,8 +143,13 @@ def test_quantization_floor_and_records(spark):
     acc = spark.createDataFrame([("m", "fp16", 0.9), ("m", "int8", 0.88), ("n", "int8", 0.5)],
                                 "model_name string, quantization string, task_accuracy double")
     models = spark.createDataFrame([("m", "7B"), ("n", "Undisclosed")], "model_name string, parameters string")
+    log = spark.sql("""SELECT 'm' AS model_name, 'int8' AS quantization, run_id, timestamp(t) AS ts FROM VALUES
+                    ('r1', '2024-01-01 00:00:00'), ('r2', '2024-01-02 03:04:05') AS v(run_id, t)""")
+    runs = experiments.experiment_runs(log)
     rec = {(r["model_name"], r["quantization"]): r for r in experiments.experiment_records(
-        perf, acc, models, catalog.quantizations(spark)).collect()}
+        perf, acc, models, catalog.quantizations(spark), runs).collect()}
+    assert (rec["m", "int8"]["run_id"], rec["m", "int8"]["timestamp"]) == ("r2", "2024-01-02T03:04:05.000000")
+    assert rec["m", "fp16"]["run_id"] is None
     assert rec["m", "int8"]["accuracy_delta"] == pytest.approx(-0.02)
     assert rec["m", "fp16"]["accuracy_delta"] is None and rec["n", "int8"]["accuracy_delta"] is None
     assert rec["m", "fp16"]["est_memory_gb"] == 15.65 and rec["n", "int8"]["est_memory_gb"] is None

@@ -1,11 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugework.operators.aggregates import box_summary, config_summary, latency_percentiles
 from gaugework.operators.percentiles import grouped_percentiles
 
-# the three plans: built-in, by counting, by counting with fine buckets
-PLANS = [dict(), dict(small_rows=0), dict(small_rows=0, bucket_rows=0)]
+# without and with fine buckets
+PLANS = [dict(), dict(bucket_rows=0)]
 OUT = {"p0": ("v", 0.0), "p50": ("v", 0.5), "p95": ("v", 0.95), "p99": ("v", 0.99), "p100": ("v", 1.0)}
 
 
@@ -41,6 +42,18 @@ def test_missing_values_and_keys(spark, plan):
     assert got == {"a": (2.0, 5.0), "b": (None, 5.0)}
 
 
+@pytest.mark.parametrize("plan", PLANS)
+def test_groups_without_values_and_extras(spark, plan):
+    rows = [("a", 1.5, 2), ("a", 2.5, 3), ("b", None, 4), ("b", float("nan"), 5), ("c", 0.0, 6)]
+    df = spark.createDataFrame(rows, "g string, v double, w long")
+    got = grouped_percentiles(df, ["g"], {"m": ("v", 0.5)}, {
+        "s": ("sum", F.col("w")), "n": ("count", F.lit(1)), "lo": ("min", F.col("w")), "hi": ("max", F.col("w")),
+        "k": ("count", F.when(~F.isnan("v"), F.col("v")))}, **plan)
+    assert got.columns == ["g", "m", "s", "n", "lo", "hi", "k"]
+    assert sorted(map(tuple, got.collect())) == [
+        ("a", 2.0, 5, 2, 2, 3, 2), ("b", None, 9, 2, 4, 5, 0), ("c", 0.0, 6, 1, 6, 6, 1)]
+
+
 @pytest.mark.parametrize("plan", PLANS)
 def test_no_keys(spark, plan):
     df = spark.range(1001).selectExpr("cast(id as double) as v")

@@ -122,7 +122,12 @@ def test_question_prompts(spark):
     df = spark.range(100).selectExpr("id", "id % 2 as m", "if(id % 3 = 0, 'why?', 'so.') as prompt")
     got = filters.question_prompts(df, ["m"], "id", 5)
     assert sorted(r["id"] for r in got.collect()) == [0, 3, 6, 9, 12, 15, 18, 21, 24, 27]
-    assert filters.question_prompts(df, ["m"], "id", None).count() == 34
+    assert filters.question_prompts(df, ["m"], "id").count() == 34
+
+
+def test_nan_quality_does_not_pass(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, 0.9), (3, None)], "id int, quality_score double")
+    assert [r["id"] for r in filters.within_quality(df, 0.5).collect()] == [2]
 
 
 def test_strategy_rules(spark):

@@ -24,6 +24,17 @@ def test_round_trip_and_latest(spark, tmp_path, fmt):
     assert "PartitionFilters: [isnotnull(run_id" in latest._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("fmt", store.FORMATS)
+def test_latest_of_odd_ids(spark, tmp_path, fmt):
+    """ISO stamps are escaped in folder names, and a missing id is no run."""
+    path = str(tmp_path / fmt)
+    none = results(spark, "x", 2).selectExpr("cast(null as string) as run_id", "* except (run_id)")
+    for rows in (results(spark, "2024-01-02T09:00:00", 4), results(spark, "2024-01-02T10:00:00", 3), none):
+        store.save_results(rows, path, fmt)
+    assert {r["run_id"] for r in store.latest_run(spark, path, fmt).collect()} == {"2024-01-02T10:00:00"}
+    assert store.latest_run(spark, path, fmt).count() == 3 and store.read_results(spark, path, fmt).count() == 9
+
+
 def test_nothing_stored(spark, tmp_path):
     empty = tmp_path / "none"
     empty.mkdir()
@@ -47,7 +58,12 @@ def test_unknown_format(spark, tmp_path):
 def test_store_and_orphans(spark, tmp_path):
     runs = spark.createDataFrame([(1, "r1", "m", "qa", 4, 10, None)], BENCHMARK_RUNS)
     rows = [(10, 1, 5.0, 1.0, 1, 1, 0.0, 0.0, 0.0, None), (11, 2, 6.0, 1.0, 1, 1, 0.0, 0.0, 0.0, None)]
-    store.save_store(runs, spark.createDataFrame(rows, BENCHMARK_RESULTS), str(tmp_path / "s"))
+    found = spark.createDataFrame(rows, BENCHMARK_RESULTS)
+    with pytest.raises(ValueError, match="result 11 refers to run 2"):
+        store.save_store(runs, found, str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="run 1 is stored twice"):
+        store.save_store(runs.union(runs), found.filter("run_id = 1"), str(tmp_path / "s"))
+    store.save_store(runs, found, str(tmp_path / "s"), checked=False)
     runs, found = store.read_store(spark, str(tmp_path / "s"))
     assert [r["id"] for r in store.orphan_results(found, runs).collect()] == [11]
     assert [(r["id"], r["model_name"]) for r in store.results_with_runs(found, runs).collect()] == [(10, "m")]
