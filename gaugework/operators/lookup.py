@@ -1,0 +1,169 @@
+"""An index over configurations that answers limits and picks without visiting every configuration.
+
+Configurations are numbered by ``config_id``. For each limited value there is a sorted order, and bitmaps of the
+configurations within every ``STEP``-th prefix of it. A limit is a prefix, found by bisection; several limits together are
+the AND of bitmaps, 64 configurations a word; and the smallest or largest value left is the first hit of a walk along
+an order. The weighted objective can only pick a configuration that no other one beats in latency, cost and quality
+alike, so it looks at those alone.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_left
+
+import numpy as np
+
+STEP = 256
+WALK = 512
+
+
+class Order:
+    """Configurations with a value, sorted by value and number, and bitmaps of prefixes."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        known = np.flatnonzero(~np.isnan(values))
+        self.order = known[np.argsort(values[known], kind="stable")]
+        self.sorted = values[self.order]
+        words = (len(values) + 63) // 64
+        marks = np.zeros((len(self.order) // STEP + 1, words), np.uint64)
+        for k in range(1, len(marks)):
+            marks[k] = marks[k - 1]
+            set_bits(marks[k], self.order[(k - 1) * STEP:k * STEP])
+        self.marks = marks
+
+    def rank(self, limit: float) -> int:
+        """How many values are at most ``limit``."""
+        return int(np.searchsorted(self.sorted, limit, "right"))
+
+    def prefix(self, rank: int) -> np.ndarray:
+        bits = self.marks[rank // STEP].copy()
+        set_bits(bits, self.order[rank // STEP * STEP:rank])
+        return bits
+
+    def first(self, bits: np.ndarray, rank: int) -> np.ndarray:
+        """Set configurations of the first stretch of the prefix that has any."""
+        for at in range(0, rank, WALK):
+            found = held(bits, self.order[at:min(rank, at + WALK)])
+            if len(found):
+                return found
+        return self.order[:0]
+
+    def largest(self, bits: np.ndarray, rank: int) -> float:
+        """The largest value of a set configuration within the prefix; NaN without one."""
+        for end in range(rank, 0, -WALK):
+            part = self.order[max(0, end - WALK):end]
+            found = np.flatnonzero((bits[part >> 6] >> (part & 63).astype(np.uint64)) & np.uint64(1))
+            if len(found):
+                return float(self.sorted[max(0, end - WALK) + found[-1]])
+        return float("nan")
+
+
+def set_bits(bits: np.ndarray, which: np.ndarray) -> None:
+    np.bitwise_or.at(bits, which >> 6, np.uint64(1) << (which & 63).astype(np.uint64))
+
+
+def held(bits: np.ndarray, which: np.ndarray) -> np.ndarray:
+    return which[((bits[which >> 6] >> (which & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)]
+
+
+def count(bits: np.ndarray) -> int:
+    return int(np.bitwise_count(bits).sum())
+
+
+def unbeaten(p95: np.ndarray, cost: np.ndarray, quality: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Of ``among``, those that no other beats in latency with no more cost and no less quality.
+
+    A sweep by latency keeps a staircase of costs and qualities; equal latencies don't beat each other.
+    """
+    order = among[np.lexsort((cost[among], p95[among]))]
+    costs: list[float] = []
+    best: list[float] = []  # highest quality up to this cost
+    out, waiting = [], []
+    for k, i in enumerate(order.tolist()):
+        if k and p95[i] != p95[order[k - 1]]:
+            for c, q in waiting:
+                at = bisect_left(costs, c)
+                if (at < len(costs) and costs[at] == c and best[at] >= q) or (at and best[at - 1] >= q):
+                    continue
+                end = at
+                while end < len(costs) and best[end] <= q:
+                    end += 1
+                costs[at:end], best[at:end] = [c], [q]
+            waiting = []
+        at = bisect_left(costs, cost[i])
+        beaten = (at < len(costs) and costs[at] == cost[i] and best[at] >= quality[i]) or (at and best[at - 1] >= quality[i])
+        if not beaten:
+            out.append(i)
+            waiting.append((cost[i], quality[i]))
+    return np.sort(np.array(out, np.int64))
+
+
+class Index:
+    """``values``: p95, cost and throughput, and quality if there is one, NaN where missing; ``own``: self-hosted."""
+
+    def __init__(self, p95: np.ndarray, cost: np.ndarray, throughput: np.ndarray, quality: np.ndarray | None,
+                 own: np.ndarray) -> None:
+        self.p95, self.cost, self.speed = p95, cost, throughput
+        self.by_p95, self.by_cost, self.by_speed = Order(p95), Order(cost), Order(-throughput)
+        self.by_quality = None if quality is None else Order(-quality)
+        self.own = np.zeros((len(p95) + 63) // 64, np.uint64)
+        set_bits(self.own, np.flatnonzero(own))
+        known = ~np.isnan(p95) & ~np.isnan(cost)
+        grade = np.zeros(len(p95)) if quality is None else np.nan_to_num(quality, nan=-np.inf)
+        self.unbeaten = {False: unbeaten(p95, cost, grade, np.flatnonzero(known)),
+                         True: unbeaten(p95, cost, grade, np.flatnonzero(known & own))}
+
+    def budget_rank(self, budget: float, volume: float) -> int:
+        """How many configurations cost at most ``budget`` a month; products decide, as rounding may move the bound."""
+        costs = self.by_cost.sorted
+        if volume < 0:
+            raise ValueError("a monthly volume is negative")
+        rank = self.by_cost.rank(budget / volume if volume else np.inf)
+        while rank < len(costs) and costs[rank] * volume <= budget:
+            rank += 1
+        while rank and costs[rank - 1] * volume > budget:
+            rank -= 1
+        return rank
+
+    def limits(self, latency: float | None, quality: float | None, budget: float | None,
+               volume: float | None) -> tuple[np.ndarray, np.ndarray, list[int], tuple[int, int]]:
+        """Bitmaps of what is left and of its self-hosted part, the four counts, and the ranks of latency and cost."""
+        ranked = 0 if latency is None else self.by_p95.rank(latency)
+        bits = self.by_p95.prefix(ranked)
+        counts = [ranked]
+        if self.by_quality is not None:
+            bits &= self.by_quality.prefix(0 if quality is None else self.by_quality.rank(-quality))
+            counts.append(count(bits))
+        else:
+            counts.append(ranked)
+        costly = 0 if budget is None or volume is None else self.budget_rank(budget, volume)
+        bits &= self.by_cost.prefix(costly)
+        own = bits & self.own
+        return bits, own, [*counts, count(bits), count(own)], (ranked, costly)
+
+    def peaks(self, bits: np.ndarray, ranks: tuple[int, int]) -> tuple[float, float]:
+        """Largest p95 and largest unit cost."""
+        return self.by_p95.largest(bits, ranks[0]), self.by_cost.largest(bits, ranks[1])
+
+    def pick(self, kind: str | None, bits: np.ndarray, ranks: tuple[int, int], volume: float, own: bool,
+             top_p95: float, top_cost: float) -> tuple[float, int] | None:
+        """(objective, configuration) of the smallest objective, ties by number; None if nothing has one."""
+        if kind == "real_time_chat":
+            found = self.by_p95.first(bits, ranks[0])
+            return (float(self.p95[found[0]]), int(found[0])) if len(found) else None
+        if kind == "high_throughput":
+            found = self.by_speed.first(bits, len(self.by_speed.order))
+            return (-float(self.speed[found[0]]), int(found[0])) if len(found) else None
+        if kind == "interactive_app":
+            found = held(bits, self.unbeaten[own])
+            if not len(found):
+                return None
+            score = ((self.p95[found] / top_p95 if top_p95 > 0 else np.zeros(len(found))) * 0.6
+                     + (self.cost[found] * volume / top_cost if top_cost > 0 else np.zeros(len(found))) * 0.4)
+            best = int(score.argmin())
+            return float(score[best]), int(found[best])
+        found = self.by_cost.first(bits, ranks[1])
+        if not len(found):
+            return None
+        monthly = self.cost[found] * volume
+        return float(monthly[0]), int(found[monthly == monthly[0]].min())

@@ -1,19 +1,26 @@
 """Choosing a configuration: best rows, constrained selection, frontier picks, rules.
 
-Constrained selection answers many requirement sets against one table of
-configurations. The configurations travel as arrays of structs, at most
-``chunk_rows`` in each, and every requirement row filters the arrays in place:
-no (requirement, configuration) pair is ever a row. One chunk, its size having
-been counted, is a scalar subquery; more chunks are joined on the chunk number
-and the partial results of a requirement are merged by an aggregate.
+Constrained selection answers many requirement rows against one table of
+configurations through an index (``lookup.py``): limits are bisected, their
+combination is a few words of bitmap, and no (requirement, configuration) pair
+is ever visited. The index is built by each task from a chunk of at most
+``chunk_rows`` configurations; results of several chunks are merged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gaugework.functions.scalars import finite, half_even, safe_div, with_defaults
+from gaugework.functions.scalars import half_even, safe_div, with_defaults
+from gaugework.operators.lookup import Index
 from gaugework.operators.picks import first_by
 from gaugework.operators.positions import with_position
 from gaugework.session import materialise, small_side
@@ -60,67 +67,110 @@ def fastest_model(requests: DataFrame) -> DataFrame:
 
 # ---- constrained selection ---------------------------------------------------
 
-def _chunks(configs: DataFrame, chunk_rows: int) -> tuple[DataFrame, int, int, bool]:
+_FIELDS = ["config_id", "model_name", "quantization", "batch_size", "infrastructure",
+           "deployment_type", "p95_latency_ms", "cost_per_1m_tok", "throughput"]
+_LIMITS = ["workload_type", "max_latency_p95_ms", "min_quality_score", "monthly_budget_usd",
+           "monthly_tokens_millions", "prefer_self_hosted"]
+_COUNTS = ["n_latency", "n_quality", "n_budget", "n_own"]
+_PEAKS = ["max_p95", "max_cost", "own_p95", "own_cost"]
+_PICK = ("__objective double, __config_id string, __model_name string, __quantization string, "
+         "__batch_size int, __infrastructure string, __cost double")
+
+
+def _chunks(configs: DataFrame, chunk_rows: int) -> tuple[list[pd.DataFrame], int, bool]:
+    """The configurations in chunks of at most ``chunk_rows`` rows, which bounds what a task gets, and their number.
+
+    A chunk is a residue of the hashed id, and all chunks together are the summary table, far smaller than the log.
+    """
     has_quality = "quality_score" in configs.columns
     full = with_defaults(configs, CONFIG_DEFAULTS)
-    fields = ["config_id", "model_name", "quantization", "batch_size", "infrastructure",
-              "deployment_type", "p95_latency_ms", "cost_per_1m_tok", "throughput"]
-    slim = materialise(
-        full.select(*fields, *(["quality_score"] if has_quality else [])), "configs")
+    slim = materialise(full.select(*_FIELDS, *(["quality_score"] if has_quality else [])), "configs")
     n = slim.count()
     chunks = max(1, -(-n // chunk_rows))
-    packed = (
-        slim.withColumn("__chunk", F.pmod(F.xxhash64("config_id"), F.lit(chunks)).cast("int"))
-        .groupBy("__chunk")
-        .agg(F.collect_list(F.struct(*slim.columns)).alias("__configs"))
-    )
-    return packed, n, chunks, has_quality
-
-
-def _joined(reqs: DataFrame, packed: DataFrame, chunks: int) -> DataFrame:
-    if chunks == 1:
-        return reqs.withColumn("__configs", packed.select("__configs").scalar())
-    # each chunk meets every requirement, so the chunk number alone would make
-    # `chunks` huge partitions; a salt spreads the requirements of one chunk
-    salts = max(1, int(reqs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // chunks + 1)
-    spread = packed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        reqs.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        .withColumn("__salt", F.pmod(F.xxhash64("req_id"), F.lit(salts)).cast("int"))
-        .join(spread, ["__chunk", "__salt"], "left")
-        .drop("__salt")
-    )
-
-
-def _survivors(has_quality: bool) -> tuple[Column, Column, Column, Column]:
-    """Arrays left after the latency, quality and budget limits, and their self-hosted part."""
-    configs = F.coalesce("__configs", F.array())
-    fast = F.filter(configs, lambda c: c["p95_latency_ms"] <= F.col("max_latency_p95_ms"))
-    good = F.filter(F.col("__fast"), lambda c: finite(c["quality_score"]) >= F.col("min_quality_score")) \
-        if has_quality else F.col("__fast")
-    paid = F.filter(F.col("__good"), lambda c: c["cost_per_1m_tok"] * F.col("monthly_tokens_millions")
-                    <= F.col("monthly_budget_usd"))
-    own = F.when(F.col("prefer_self_hosted"),
-                 F.filter(F.col("__paid"), lambda c: c["deployment_type"] == "self_hosted"))
-    return fast, good, paid, own
-
-
-def _largest(array: str, value) -> Column:
-    """The largest value of an array; only the weighted objective needs it."""
-    return F.when(F.col("workload_type") == "interactive_app",
-                  F.array_max(F.transform(F.col(array), value)))
-
-
-def _merge(df: DataFrame, reqs: DataFrame, aggs: list[Column], chunks: int) -> DataFrame:
-    """One row per requirement; with a single chunk there is nothing to merge."""
-    if chunks == 1:
-        return df
-    keep = [F.first(c).alias(c) for c in reqs.columns if c != "req_id"]
-    return df.groupBy("req_id").agg(*keep, *aggs)
+    place = F.pmod(F.xxhash64("config_id"), F.lit(chunks))
+    parts = [slim.filter(place == c).toPandas().sort_values("config_id", kind="stable") for c in range(chunks)]
+    return parts, n, has_quality
+
+
+def _index(part: pd.DataFrame, has_quality: bool) -> Index:
+    number = lambda c: pd.to_numeric(part[c]).to_numpy(dtype=float, na_value=np.nan)
+    return Index(number("p95_latency_ms"), number("cost_per_1m_tok"), number("throughput"),
+                 number("quality_score") if has_quality else None,
+                 (part["deployment_type"] == "self_hosted").to_numpy(dtype=bool, na_value=False))
+
+
+def _measured(part: pd.DataFrame, has_quality: bool, picking: bool, peaks_known: bool):
+    """A batch function: appends counts, largest values and, with ``picking``, the best configuration of a chunk."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(part, has_quality)
+        values = {f: part[f].tolist() for f in _FIELDS}
+        for batch in batches:
+            names, columns = batch.schema.names, [batch.column(i) for i in range(batch.num_columns)]
+            asked = {n: batch.column(names.index(n)).to_pylist() for n in [*_LIMITS, *(_COUNTS + _PEAKS) * peaks_known]}
+            found = []
+            for i in range(batch.num_rows):
+                ask = {n: v[i] for n, v in asked.items()}
+                volume = ask["monthly_tokens_millions"]
+                bits, own, counts, ranks = index.limits(
+                    ask["max_latency_p95_ms"], ask["min_quality_score"], ask["monthly_budget_usd"], volume)
+                if peaks_known:
+                    peaks, n_own = [ask[p] for p in _PEAKS], ask["n_own"]
+                else:
+                    every = [index.peaks(b, ranks) for b in (bits, own)]
+                    peaks = [v if v == v else None for p, c in every for v in (p, c * (volume or 0.0))]
+                    n_own = counts[3]
+                row = [] if peaks_known else [*counts, *peaks]
+                if picking:
+                    use_own = bool(ask["prefer_self_hosted"]) and n_own > 0
+                    tops = peaks[2:] if use_own else peaks[:2]
+                    best = index.pick(ask["workload_type"], own if use_own else bits, ranks, volume or 0.0, use_own,
+                                      *(t or 0.0 for t in tops))
+                    row += [None] * 7 if best is None else [best[0], *(
+                        values[f][best[1]] for f in (*_FIELDS[:5], "cost_per_1m_tok"))]
+                found.append(row)
+            types = ([] if peaks_known else [pa.int64()] * 4 + [pa.float64()] * 4) + (
+                [pa.float64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64()] if picking else [])
+            new = list(zip(*found)) or [()] * len(types)
+            fields = ([] if peaks_known else _COUNTS + _PEAKS) + [p.split()[0] for p in _PICK.split(", ")] * picking
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, t) for v, t in zip(new, types))],
+                                             names=[*names, *fields])
+
+    return rows
+
+
+def _with_fields(df: DataFrame, part: pd.DataFrame, has_quality: bool, picking: bool, peaks_known: bool) -> DataFrame:
+    more = ([] if peaks_known else [f"{c} long" for c in _COUNTS] + [f"{p} double" for p in _PEAKS]) + [_PICK] * picking
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(", ".join(more)).fields])
+    return df.mapInArrow(_measured(part, has_quality, picking, peaks_known), schema)
+
+
+def _answered(configs: DataFrame, reqs: DataFrame, chunk_rows: int, picking: bool) -> tuple[DataFrame, int, bool]:
+    """Every requirement row with its counts and, with ``picking``, its best configuration."""
+    parts, n, has_quality = _chunks(configs, chunk_rows)
+    if len(parts) == 1:
+        return _with_fields(reqs, parts[0], has_quality, picking, False), n, has_quality
+    # rows are numbered, so that requirements that repeat an id stay apart
+    numbered = materialise(reqs.withColumn("__row", F.monotonically_increasing_id()), "requirements")
+
+    def over_chunks(df: DataFrame, picking: bool, peaks_known: bool) -> DataFrame:
+        each = [_with_fields(df, part, has_quality, picking, peaks_known) for part in parts]
+        return reduce(DataFrame.unionByName, each)
+
+    limits = over_chunks(numbered.select("__row", *_LIMITS), False, False).groupBy("__row").agg(
+        *[F.sum(c).alias(c) for c in _COUNTS], *[F.max(p).alias(p) for p in _PEAKS])
+    counted = materialise(numbered.join(limits, "__row"), "counted")
+    if picking:
+        picks = over_chunks(counted.select("__row", *_LIMITS, *_COUNTS, *_PEAKS), True, True)
+        fields = [p.split()[0] for p in _PICK.split(", ")]
+        best = picks.filter("__objective IS NOT NULL").groupBy("__row").agg(
+            F.min_by(F.struct(*fields), F.struct("__objective", "__config_id")).alias("__best"))
+        counted = counted.join(best, "__row", "left").select(*counted.columns, "__best.*")
+    return counted.drop("__row"), n, has_quality
 
 
 def select_configs(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """One recommendation per requirement set; ``req_id`` must be unique.
+    """One recommendation per requirement row.
 
     Limits on p95 latency, quality (when known) and monthly cost are applied in
     this order; self-hosted rows are preferred where asked for and possible.
@@ -130,72 +180,21 @@ def select_configs(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_
     to the smallest ``config_id``. Without a match the reason names the first
     limit that nothing met.
     """
-    packed, n, chunks, has_quality = _chunks(configs, chunk_rows)
-    fast, good, paid, own = _survivors(has_quality)
-    base = list(reqs.columns)
-
-    def narrowed(df: DataFrame) -> DataFrame:
-        return (df.withColumn("__fast", fast).withColumn("__good", good)
-                .withColumn("__paid", paid).withColumn("__own", own))
-
-    def cost(c):
-        return c["cost_per_1m_tok"] * F.col("monthly_tokens_millions")
-
-    counted = narrowed(_joined(reqs, packed, chunks)).withColumns({
-        **{name: F.coalesce(F.size(part), F.lit(0)).cast("long") for name, part in zip(
-            ["n_latency", "n_quality", "n_budget", "n_own"], ["__fast", "__good", "__paid", "__own"])},
-        "max_p95": _largest("__paid", lambda c: c["p95_latency_ms"]),
-        "max_cost": _largest("__paid", cost),
-        "own_p95": _largest("__own", lambda c: c["p95_latency_ms"]),
-        "own_cost": _largest("__own", cost),
-    })
-    funnel = ["n_latency", "n_quality", "n_budget", "n_own"]
-    peaks = ["max_p95", "max_cost", "own_p95", "own_cost"]
-    if chunks > 1:
-        limits = _merge(
-            counted.select(*base, *funnel, *peaks), reqs,
-            [F.sum(c).alias(c) for c in funnel] + [F.max(c).alias(c) for c in peaks], chunks)
-        counted = narrowed(_joined(limits, packed, chunks))
-
-    use_own = F.col("prefer_self_hosted") & (F.col("n_own") > 0)
-    top_p95 = F.when(use_own, F.col("own_p95")).otherwise(F.col("max_p95"))
-    top_cost = F.when(use_own, F.col("own_cost")).otherwise(F.col("max_cost"))
-    kind = F.col("workload_type")
-
-    def objective(c):
-        return (
-            F.when(kind == "real_time_chat", c["p95_latency_ms"])
-            .when(kind == "interactive_app", safe_div(c["p95_latency_ms"], top_p95) * 0.6
-                  + safe_div(cost(c), top_cost) * 0.4)
-            .when(kind == "high_throughput", -c["throughput"])
-            .otherwise(cost(c)))
-
-    scored = F.transform(
-        F.when(use_own, F.col("__own")).otherwise(F.col("__paid")),
-        lambda c: F.struct(objective(c).alias("objective"), c["config_id"].alias("config_id"), c.alias("c")))
-    best = F.array_min(F.filter(scored, lambda s: s["objective"].isNotNull()))
-    picked = counted.withColumn("__best", best).select(*base, *funnel, "__best")
-    if chunks > 1:
-        picked = _merge(picked, reqs, [F.first(c).alias(c) for c in funnel]
-                        + [F.min("__best").alias("__best")], chunks)
-
-    found = F.col("__best").isNotNull()
-    none = F.lit("N/A")
-    # passing the pick through a one-element array keeps later filters on the result
-    # from being pushed below it, where they would repeat the array work
-    picked = picked.withColumn("__best", F.explode(F.array("__best")))
+    picked, n, has_quality = _answered(configs, reqs, chunk_rows, True)
+    found, none = F.col("__objective").isNotNull(), F.lit("N/A")
+    monthly = F.col("__cost") * F.col("monthly_tokens_millions")
     return (
         picked.withColumn("n_configs", F.lit(n))
         .withColumn("reasoning", _reasoning(found, has_quality))
         .select(
-            *base, *funnel[:3],
-            F.when(found, F.col("__best.config_id")).alias("config_id"),
-            F.coalesce("__best.c.model_name", F.lit("No match")).alias("model_name"),
-            F.coalesce("__best.c.quantization", none).alias("quantization"),
-            F.coalesce("__best.c.batch_size", F.lit(0)).alias("batch_size"),
-            F.coalesce("__best.c.infrastructure", none).alias("infrastructure"),
-            F.coalesce(half_even(cost(F.col("__best.c")), 2), F.lit(0.0)).alias("estimated_cost_monthly"),
-            F.col("__best.objective").alias("objective"),
+            *reqs.columns, *_COUNTS[:3],
+            F.col("__config_id").alias("config_id"),
+            F.when(found, F.col("__model_name")).otherwise("No match").alias("model_name"),
+            F.when(found, F.col("__quantization")).otherwise(none).alias("quantization"),
+            F.coalesce("__batch_size", F.lit(0)).alias("batch_size"),
+            F.when(found, F.col("__infrastructure")).otherwise(none).alias("infrastructure"),
+            F.coalesce(half_even(monthly, 2), F.lit(0.0)).alias("estimated_cost_monthly"),
+            F.col("__objective").alias("objective"),
             found.alias("meets_requirements"),
             "reasoning",
         )
@@ -235,18 +234,9 @@ def no_match_reason() -> Column:
 
 
 def constraint_funnel(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """How many configurations are left after each limit, per requirement set."""
-    packed, n, chunks, has_quality = _chunks(configs, chunk_rows)
-    fast, good, paid, _ = _survivors(has_quality)
-    counted = (
-        _joined(reqs, packed, chunks)
-        .withColumn("__fast", fast).withColumn("__good", good).withColumn("__paid", paid)
-        .select(*reqs.columns, F.size("__fast").cast("long").alias("n_latency"),
-                F.size("__good").cast("long").alias("n_quality"),
-                F.size("__paid").cast("long").alias("n_budget"))
-    )
-    merged = _merge(counted, reqs, [F.sum(c).alias(c) for c in ("n_latency", "n_quality", "n_budget")], chunks)
-    return merged.withColumn("n_configs", F.lit(n))
+    """How many configurations are left after each limit, per requirement row."""
+    counted, n, _ = _answered(configs, reqs, chunk_rows, False)
+    return counted.select(*reqs.columns, *_COUNTS[:3]).withColumn("n_configs", F.lit(n))
 
 
 def weighted_score(df: DataFrame, scope: list[str], latency_weight: float = 0.6) -> DataFrame:

@@ -68,6 +68,28 @@ def test_equal_to_rules(spark, chunk_rows, with_quality):
             assert row["reasoning"] == [reasons[failed], "Consider relaxing constraints"]
 
 
+def test_repeated_and_missing_requirements(spark):
+    configs, reqs = tables(6)
+    rows = [reqs[3], reqs[3], (500, "other", None, 1e9, 1.0, 0.0, False), (501, None, 1e9, 1e9, 1.0, 0.0, None)]
+    answers = [sorted(map(str, select_configs(spark.createDataFrame(configs, CONFIG), spark.createDataFrame(rows, REQ),
+                                              chunk_rows).collect())) for chunk_rows in (1000, 7)]
+    assert answers[0] == answers[1] and len(answers[0]) == 4
+
+
+def test_many_pairs(spark):
+    rng = random.Random(8)
+    configs = [(f"c{i:05d}", "m", rng.choice(["api", "self_hosted"]), rng.random() * 600, rng.random() * 5,
+                rng.random() * 90, 0.7 + rng.random() * 0.3) for i in range(3000)]
+    reqs = [(i, KINDS[i % 5], rng.random() * 600, rng.random() * 300, rng.random() * 100, 0.75 + rng.random() * 0.2,
+             rng.random() < 0.5) for i in range(100)]
+    got = {r["req_id"]: r for r in select_configs(
+        spark.createDataFrame(configs, CONFIG), spark.createDataFrame(reqs, REQ)).collect()}
+    for req in reqs:
+        best, counts, _ = choose(configs, req)
+        assert got[req[0]]["config_id"] == best
+        assert tuple(got[req[0]][c] for c in ("n_latency", "n_quality", "n_budget")) == counts
+
+
 def test_reasoning_and_defaults(spark):
     cdf = spark.createDataFrame([("c", "m", "self_hosted", 100.0, 2.0, 5.0, 0.9)], CONFIG)
     rdf = spark.createDataFrame([(1, "interactive_app", 500.0, 10000.0, 100.0, 0.85, True)], REQ)
