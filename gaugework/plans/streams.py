@@ -24,6 +24,9 @@ def _requests(spark, sf):
     return tables.shape_requests(_events(spark, sf))
 
 
+_GPU = next(t[1:] for t in catalog.ALERT_THRESHOLDS if t[0] == "gpu_utilization")
+
+
 def stamp(column: str):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
@@ -77,6 +80,17 @@ def stream_alerts(spark, sf):
     return drain(breaches, "alerts").select(stamp("window_start"), "model_name", "metric", r("value", 9))
 
 
+@query(with_tables("samples", f"""
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, 'gpu_utilization' AS metric,
+       round(avg(gpu_utilization_percent) / 100, 9) AS value
+FROM (SELECT *, time_bucket(INTERVAL 5 SECOND, ts) AS w FROM samples) GROUP BY w
+HAVING w + INTERVAL 5 SECOND <= {_CLOSED} AND avg(gpu_utilization_percent) / 100 {'>' if _GPU[1] else '<'} {_GPU[0]}"""))
+def stream_gpu_alerts(spark, sf):
+    samples = tables.shape_resources(_events(spark, sf))
+    breaches = windows.alerts(windows.resource_windows(samples), catalog.alert_thresholds(spark), keys=[])
+    return drain(breaches, "gpu-alerts").select(stamp("window_start"), "metric", r("value", 9))
+
+
 @query(with_tables("requests", f"""
 , marked AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY model_name ORDER BY ts, request_id)
                             + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM requests),

@@ -17,14 +17,14 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.parquet",
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, label: str = "stream") -> DataFrame:
-    """Process what is available and return the emitted rows as a table.
+def drain(stream: DataFrame, label: str = "stream", path: str | None = None) -> DataFrame:
+    """Process what is available and return all rows emitted so far as a table.
 
-    Output and progress go to the shared folder, so a restarted driver carries
-    on where it stopped and no row passes through the driver.
+    Output and progress go below ``path``: called again with the same path, also by a restarted driver, it carries on where
+    it stopped. Without one a new folder of the shared folder is used. No row passes through the driver.
     """
     spark = stream.sparkSession
-    path = fresh_path(spark, label)
+    path = path or fresh_path(spark, label)
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{path}/progress")

@@ -2,21 +2,22 @@
 
 Each function takes a streaming (or batch) DataFrame and returns one; the
 watermark bounds the state, late rows behind it are dropped, and a window is
-emitted once, when the watermark has passed its end. Window percentiles use
-``percentile_approx``: its sketch has a bounded size however many requests one
-model gets within a window, and it is merged on the map side. Up to about
-``accuracy`` values per window the result is an exact order statistic.
+emitted once, when the watermark has passed its end. Window percentiles are
+exact order statistics at any size: the state counts rows per window, model and
+value, so a hot model spreads over all tasks, and ranks are taken from these
+counts when the window has closed. What meets in one task then is one entry
+per distinct value of a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.scalars import safe_div
+from gaugework.functions.scalars import finite, safe_div
 from gaugework.operators.cost import cost_projection, with_prices
 
-ACCURACY = 10_000
+SESSION_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def without_repeats(stream: DataFrame, key: str = "request_id", delay: str = "10 minutes",
@@ -30,24 +31,37 @@ def _bounds(df: DataFrame, *columns: str) -> DataFrame:
                      *columns)
 
 
+def _order_statistic(counted: str, total: str, fraction: float) -> Column:
+    """The smallest value up to which ``fraction`` of the rows lie, from sorted (value, n) entries."""
+    need = F.greatest(F.ceil(F.lit(fraction) * F.col(total)), F.lit(1)).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("value"))
+    return F.aggregate(counted, start, lambda acc, e: F.struct(
+        (acc["seen"] + e["n"]).alias("seen"),
+        F.when(acc["seen"] >= need, acc["value"]).otherwise(e["value"]).alias("value")))["value"]
+
+
 def latency_windows(stream: DataFrame, size: str = "1 hour", slide: str | None = None,
-                    delay: str = "10 minutes", accuracy: int = ACCURACY) -> DataFrame:
+                    delay: str = "10 minutes") -> DataFrame:
     """Requests, latency percentiles, error rate and rates per model and window."""
-    ranks = F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], accuracy)
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    grouped = (
+    counted = (
         stream.withWatermark("ts", delay)
-        .groupBy(window, "model_name")
-        .agg(F.count(F.lit(1)).alias("requests"),
-             ranks.alias("ranks"),
-             F.avg(F.col("is_error").cast("double")).alias("error_rate"),
+        .groupBy(window, "model_name", finite("latency_ms").alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("errors"), F.count("is_error").alias("known"),
              F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
     )
+    has = F.col("value").isNotNull()
+    grouped = (
+        counted.groupBy("window", "model_name")
+        .agg(F.sum("n").alias("requests"), F.sum(F.when(has, F.col("n"))).alias("timed"),
+             F.array_sort(F.collect_list(F.when(has, F.struct("value", "n")))).alias("counted"),
+             (F.sum("errors") / F.nullif(F.sum("known"), F.lit(0))).alias("error_rate"),
+             F.sum("tokens").alias("tokens"))
+    )
     seconds = F.unix_timestamp("window.end") - F.unix_timestamp("window.start")
     return _bounds(
         grouped.withColumns({
-            "latency_p50_ms": F.col("ranks")[0], "latency_p95_ms": F.col("ranks")[1],
-            "latency_p99_ms": F.col("ranks")[2],
+            **{f"latency_p{p}_ms": _order_statistic("counted", "timed", p / 100) for p in (50, 95, 99)},
             "throughput_req_s": F.col("requests") / seconds,
             "tokens_per_second": F.col("tokens") / seconds,
         }),
@@ -56,9 +70,9 @@ def latency_windows(stream: DataFrame, size: str = "1 hour", slide: str | None =
 
 
 def sliding_p95(stream: DataFrame, size: str = "10 minutes", slide: str = "1 minute",
-                delay: str = "10 minutes", accuracy: int = ACCURACY) -> DataFrame:
+                delay: str = "10 minutes") -> DataFrame:
     """p95 latency per model over a sliding window."""
-    return latency_windows(stream, size, slide, delay, accuracy).select(
+    return latency_windows(stream, size, slide, delay).select(
         "window_start", "window_end", "model_name", "requests", "latency_p95_ms")
 
 
@@ -95,7 +109,11 @@ def alerts(windows: DataFrame, thresholds: DataFrame, keys: list[str] = ("model_
 
 def run_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes",
                  key: str = "model_name") -> DataFrame:
-    """Runs found by silence: a run of a model ends when nothing arrives for ``gap``."""
+    """Runs found by silence: a run of a model ends when nothing arrives for ``gap``.
+
+    Sessions are merged within each task before the shuffle, so a hot model sends a row per session and task.
+    """
+    stream.sparkSession.conf.set(SESSION_MERGE, "true")
     grouped = (
         stream.withWatermark("ts", delay)
         .groupBy(F.session_window("ts", gap), key)

@@ -80,6 +80,32 @@ def test_alerts(spark):
                    ("phi-3-mini", "throughput_req_s")}
 
 
+def test_gpu_alert(spark):
+    rows = [(i, START + datetime.timedelta(seconds=i), 100.0, 200.0, 95.0 if i < 5 else 20.0, 1.0, 1.0, 2.0) for i in range(10)]
+    df = spark.createDataFrame(rows, "sample_id long, ts timestamp, gpu_memory_used_mb double, gpu_memory_total_mb double, "
+                               "gpu_utilization_percent double, cpu_percent double, ram_used_gb double, ram_total_gb double")
+    found = windows.alerts(windows.resource_windows(df), catalog.alert_thresholds(spark), keys=[]).collect()
+    assert [(r["window_start"], r["metric"], r["value"]) for r in found] == [(START, "gpu_utilization", 0.95)]
+
+
+def test_exact_percentiles_of_many_values(spark, tmp_path):
+    """More different values in one window than any sketch would keep."""
+    n = 30_000
+    df = spark.range(n).selectExpr("id", "timestamp_micros(1704067200000000 + id) ts", "'m' model_name",
+                                   "(id * 7919 % 30011) * 0.001D latency_ms", "false is_error", "1L input_tokens", "1L output_tokens")
+    values = sorted(i * 7919 % 30011 * 0.001 for i in range(n))
+    last = spark.createDataFrame([(n, START + datetime.timedelta(hours=3), "m", 1.0, False, 1, 1)], df.schema)
+    df.unionByName(last).coalesce(1).write.parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "out")
+    got = drain(windows.latency_windows(read_folder(spark, str(tmp_path / "in"))), path=path).collect()
+    assert len(got) == 1 and got[0]["requests"] == n
+    for p in (50, 95, 99):
+        assert got[0][f"latency_p{p}_ms"] == values[-(-p * n // 100) - 1]
+    # a second call carries on after what is done already
+    again = drain(windows.latency_windows(read_folder(spark, str(tmp_path / "in"))), path=path)
+    assert again.count() == 1
+
+
 def test_running_cost_and_sliding(spark, tmp_path):
     rows = [row(i, i * 20) for i in range(100)]
     stream = write(spark, tmp_path / "in", rows)
