@@ -1,10 +1,7 @@
-"""Tokens, stems and longest common subsequences for text overlap scores."""
+"""Tokens and longest common subsequences for text overlap scores."""
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,105 +15,6 @@ def word_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-# The suffix tables of the Porter stemmer (M. F. Porter, 1980), with the
-# later public amendments for "bli", "fulli" and "logi".
-_STEP2 = {
-    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize",
-    "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
-    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive",
-    "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
-    "fulli": "ful", "logi": "log",
-}
-_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-_STEP4 = ["ement", "ment", "ance", "ence", "able", "ible", "ant", "ent", "ion", "ism", "ate",
-          "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"]
-# Words that keep a stem of their own.
-_OWN_STEM = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
-             "news": "news", "innings": "inning", "inning": "inning", "outings": "outing",
-             "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe",
-             "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
-
-
-def _shape(word: str) -> str:
-    """The word as a string of c(onsonants) and v(owels); y counts by the letter before it."""
-    out = ""
-    for i, ch in enumerate(word):
-        vowel = ch in "aeiou" or (ch == "y" and i > 0 and out[-1] == "c")
-        out += "v" if vowel else "c"
-    return out
-
-
-def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
-
-
-def _short_end(word: str) -> bool:
-    shape = _shape(word)
-    return (shape[-3:] == "cvc" and word[-1] not in "wxy") or shape == "vc"
-
-
-@lru_cache(maxsize=200_000)
-def porter_stem(word: str) -> str:
-    if word in _OWN_STEM:
-        return _OWN_STEM[word]
-    if len(word) <= 2:
-        return word
-    # plurals
-    if word.endswith("sses"):
-        word = word[:-2]
-    elif word.endswith("ies"):
-        word = word[:-1] if len(word) == 4 else word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    # past tense and gerund
-    if word.endswith("ied"):
-        word = word[:-1] if len(word) == 4 else word[:-2]
-    elif word.endswith("eed"):
-        if _measure(word[:-3]) > 0:
-            word = word[:-1]
-    else:
-        for suffix in ("ed", "ing"):
-            stem = word[: -len(suffix)]
-            if word.endswith(suffix) and "v" in _shape(stem):
-                word = stem
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c":
-                    word = word if word[-1] in "lsz" else word[:-1]
-                elif _measure(word) == 1 and _short_end(word):
-                    word += "e"
-                break
-    if word.endswith("y") and len(word) > 2 and _shape(word[:-1])[-1] == "c":
-        word = word[:-1] + "i"
-    # derivational suffixes, longest match first
-    while word.endswith("alli") and _measure(word[:-4]) > 0:
-        word = word[:-2]
-    word = _replace(word, _STEP2)
-    word = _replace(word, _STEP3)
-    for suffix in _STEP4:
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            if _measure(stem) > 1 and (suffix != "ion" or stem[-1] in "st"):
-                word = stem
-            break
-    # final e and double l
-    if word.endswith("e"):
-        m = _measure(word[:-1])
-        if m > 1 or (m == 1 and not _short_end(word[:-1])):
-            word = word[:-1]
-    if word.endswith("ll") and _measure(word[:-1]) > 1:
-        word = word[:-1]
-    return word
-
-
-def _replace(word: str, table: dict[str, str]) -> str:
-    for suffix in sorted((s for s in table if word.endswith(s)), key=len, reverse=True)[:1]:
-        stem = word[: -len(suffix)]
-        if _measure(stem + "l" if suffix == "logi" else stem) > 0:
-            return stem + table[suffix]
-    return word
-
-
 def lcs_length(a, b) -> int:
     """Length of the longest common subsequence, by bit rows (Hyyrö 2004).
 
@@ -138,11 +36,3 @@ def lcs_length(a, b) -> int:
 @F.pandas_udf(T.IntegerType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-@F.pandas_udf(T.IntegerType())
-def stemmed_lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    def stems(tokens):
-        return [porter_stem(t) if len(t) > 3 else t for t in tokens]
-
-    return pd.Series([lcs_length(stems(x), stems(y)) for x, y in zip(a, b)], dtype="int32")

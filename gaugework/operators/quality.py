@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.scalars import any_contains, half_even, or_zero, safe_div
-from gaugework.functions.text import lcs, stemmed_lcs, word_tokens
+from gaugework.functions.text import lcs, word_tokens
 from gaugework.sources.catalog import PROMPT_TEMPLATES
 
 
+TEXT_KEY = ["__digest", "__length"]
+
+
+def text_key(column: str) -> list[Column]:
+    """Digest and length of a text, in place of the text itself as a key."""
+    return [F.unhex(F.md5(column)).alias(TEXT_KEY[0]), F.length(column).alias(TEXT_KEY[1])]
+
+
 def graded(responses: DataFrame, answer_key: DataFrame) -> DataFrame:
-    """Responses to prompts that the key knows, each marked right or wrong."""
-    return responses.join(answer_key.select("prompt", "keywords"), "prompt").withColumn(
-        "is_correct", any_contains("text", "keywords"))
+    """Responses to prompts that the key knows, each marked right or wrong.
+
+    Prompts meet by digest and length, so that whole texts are no join keys.
+    """
+    known = answer_key.select(*text_key("prompt"), "keywords")
+    return (
+        responses.withColumns(dict(zip(TEXT_KEY, text_key("prompt")))).join(known, TEXT_KEY).drop(*TEXT_KEY)
+        .withColumn("is_correct", any_contains("text", "keywords"))
+    )
 
 
 def task_accuracy(responses: DataFrame, answer_key: DataFrame,
@@ -28,18 +42,17 @@ def task_accuracy(responses: DataFrame, answer_key: DataFrame,
 
 
 def with_rouge_l(pairs: DataFrame, generated: str = "text", reference: str = "reference",
-                 use_stemmer: bool = True, out: str = "rouge_l") -> DataFrame:
+                 out: str = "rouge_l") -> DataFrame:
     """F measure of the longest common subsequence of whole texts (Lin, 2004).
 
     Tokens are cut by a built-in expression; only the subsequence length, which
     has no affordable built-in form, is computed in Arrow batches.
     """
-    overlap = (stemmed_lcs if use_stemmer else lcs)("__g", "__r")
     tokens = pairs.withColumns({"__g": word_tokens(generated), "__r": word_tokens(reference)})
     precision = safe_div("__lcs", F.size("__g"))
     recall = safe_div("__lcs", F.size("__r"))
     return (
-        tokens.withColumn("__lcs", overlap)
+        tokens.withColumn("__lcs", lcs("__g", "__r"))
         .withColumns({"__p": precision, "__rc": recall})
         .withColumn(out, safe_div(2 * F.col("__p") * F.col("__rc"), F.col("__p") + F.col("__rc")))
         .drop("__g", "__r", "__lcs", "__p", "__rc")
@@ -47,10 +60,10 @@ def with_rouge_l(pairs: DataFrame, generated: str = "text", reference: str = "re
 
 
 def rouge_l(generated: DataFrame, references: DataFrame, keys: list[str] = ("model_name", "quantization"),
-            use_stemmer: bool = True, digits: int = 4) -> DataFrame:
+            digits: int = 4) -> DataFrame:
     """Mean ROUGE-L per group over texts paired by ``pair_id``; unpaired texts do not count."""
     pairs = generated.join(references.select("pair_id", "reference"), "pair_id")
-    return with_rouge_l(pairs, use_stemmer=use_stemmer).groupBy(*keys).agg(
+    return with_rouge_l(pairs).groupBy(*keys).agg(
         half_even(F.avg("rouge_l"), digits).alias("rouge_l_score"),
         F.count(F.lit(1)).alias("num_samples"))
 

@@ -84,6 +84,11 @@ def report_tables(results: DataFrame, digits: int = 2, tie: str = "request_id",
     ).withColumn("advice", realtime_advice(limit_ms))
     parts.append(_section(chat, "advice_realtime", F.col("advice"), ["latency_ms"]))
 
+    if "cost_per_1m_tok" in optional:
+        cheapest = base.agg(F.min("best_cost_per_1m_tok").alias("b")).filter("b IS NOT NULL").select(
+            F.format_string("Use %s", "b.model_name").alias("advice"), F.col("b.value").alias("cost_per_1m_tok"))
+        parts.append(_section(cheapest, "advice_batch", F.col("advice"), ["cost_per_1m_tok"]))
+
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -8,7 +8,7 @@ from gaugework.operators import cost, filters, quality, select
 from gaugework.operators.skyline import pareto_anti_frontier, pareto_frontier
 from gaugework.plans.ctes import with_tables
 from gaugework.plans.projections import configs, r
-from gaugework.plans.registry import query
+from gaugework.plans.registry import ORACLE_SQL, query
 from gaugework.plans.summaries import _PRICED, _priced_requests
 from gaugework.session import materialise
 from gaugework.sources import catalog, tables
@@ -437,16 +437,14 @@ SELECT model_name, quantization, round_even(avg(coalesce(2 * p * r / nullif(p +
 """
 
 
-@query(None)
+@query(with_tables("responses", _LCS).replace("WITH", "WITH RECURSIVE", 1))
 def rouge_l(spark, sf):
     generated, references = _text_pairs(spark, sf)
     return quality.rouge_l(generated, references)
 
 
-@query(with_tables("responses", _LCS).replace("WITH", "WITH RECURSIVE", 1))
-def rouge_l_unstemmed(spark, sf):
-    generated, references = _text_pairs(spark, sf)
-    return quality.rouge_l(generated, references, use_stemmer=False)
+# the name under which the form without stems was known before it became the only one
+query(ORACLE_SQL["rouge_l"], "rouge_l_unstemmed")(rouge_l)
 
 
 @query(with_tables("requests", """

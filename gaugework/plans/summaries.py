@@ -298,6 +298,10 @@ UNION ALL SELECT 'overview', 'all', 'workload_types', CAST(count(DISTINCT worklo
 UNION ALL (SELECT 'findings', model_name, 'latency_ms', latency_ms FROM priced ORDER BY latency_ms, request_id LIMIT 1)
 UNION ALL (SELECT 'findings', model_name, 'cost_per_1m_tok', cost_per_1m_tok FROM priced
            ORDER BY cost_per_1m_tok, request_id LIMIT 1)
+UNION ALL (SELECT 'findings', model_name, 'throughput', round(output_tokens / (latency_ms / 1000), 4) FROM priced
+           WHERE latency_ms > 0 ORDER BY round(output_tokens / (latency_ms / 1000), 9) DESC, request_id LIMIT 1)
+UNION ALL (SELECT 'advice_batch', 'Use ' || model_name, 'cost_per_1m_tok', cost_per_1m_tok FROM priced
+           ORDER BY cost_per_1m_tok, request_id LIMIT 1)
 UNION ALL SELECT 'performance', model_name, 'latency_ms_mean', round(m, 4) FROM perf
 UNION ALL SELECT 'performance', model_name, 'latency_ms_p95', round(p, 4) FROM perf
 UNION ALL SELECT 'performance', model_name, 'total_tokens', t FROM perf
@@ -306,7 +310,8 @@ UNION ALL SELECT 'cost', model_name, 'monthly_cost', round(c * 100, 4) FROM cost
 UNION ALL SELECT 'advice_realtime', 'Use ' || model_name || ' with batch_size=' || batch_size, 'latency_ms', latency_ms
           FROM chat"""))
 def report_tables(spark, sf):
-    report_rows = report.report_tables(_priced_requests(spark, sf), digits=4)
+    speed = F.when(F.col("latency_ms") > 0, F.round(F.col("output_tokens") / (F.col("latency_ms") / 1000), 9))
+    report_rows = report.report_tables(_priced_requests(spark, sf).withColumn("throughput", speed), digits=4)
     rounded = F.when(F.col("metric") == "cost_per_1m_tok", F.col("value")).otherwise(F.round("value", 4))
     return report_rows.withColumn("value", rounded)
 

@@ -188,7 +188,7 @@ def prompt_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "conversations").filter("role = 'user'")
         .select(F.col("text").alias("prompt"), F.slice(words, F.greatest(F.size(words) - 3, F.lit(1)), 4)
                 .alias("keywords"))
-        .distinct()
+        .withColumn("__digest", F.md5("prompt")).dropDuplicates(["__digest"]).drop("__digest")
     )
 
 

@@ -28,6 +28,7 @@ def test_with_cost_and_throughput(spark):
     assert got["findings", "b", "cost_per_1m_tok"] == 2.5
     assert got["findings", None, "throughput"] == 4.0
     assert got["advice_realtime", "Use b with batch_size=8", "latency_ms"] == 250.0
+    assert got["advice_batch", "Use b", "cost_per_1m_tok"] == 2.5
 
 
 def test_empty(spark):
