@@ -24,9 +24,9 @@ from gaugework.operators.lookup import Index
 from gaugework.operators.picks import first_by
 from gaugework.operators.positions import with_position
 from gaugework.session import materialise, small_side
+from gaugework.sources.catalog import GOALS, NO_MATCH, REASONS
 
 CHUNK_ROWS = 20_000
-NO_MATCH_HINT = "Consider relaxing constraints"
 # Defaults of a configuration that lacks a column.
 CONFIG_DEFAULTS = {"model_name": "unknown", "quantization": "fp16", "batch_size": 8,
                    "infrastructure": "g5.xlarge"}
@@ -204,33 +204,25 @@ def select_configs(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_
 def _reasoning(found: Column, has_quality: bool) -> Column:
     """The steps taken, or the first limit that nothing met."""
     steps = [F.format_string(
-        "Filtered to p95 latency ≤ %sms (%d/%d configs)",
-        F.col("max_latency_p95_ms").cast("string"), F.col("n_latency"), F.col("n_configs"))]
+        REASONS["latency"], F.col("max_latency_p95_ms").cast("string"), F.col("n_latency"), F.col("n_configs"))]
     if has_quality:
         steps.append(F.format_string(
-            "Filtered to quality ≥ %s%% (%d configs)",
-            F.format_number(F.col("min_quality_score") * 100, 0), F.col("n_quality")))
-    steps.append(F.format_string(
-        "Filtered to monthly cost ≤ $%s (%d configs)",
-        F.format_number("monthly_budget_usd", 0), F.col("n_budget")))
-    steps.append(F.when(F.col("prefer_self_hosted") & (F.col("n_own") > 0),
-                        "Preferring self-hosted deployments"))
-    kind = F.col("workload_type")
-    steps.append(
-        F.when(kind == "real_time_chat", "Optimizing for lowest latency (real-time chat)")
-        .when(kind == "interactive_app", "Balancing latency (60%) and cost (40%)")
-        .when(kind == "batch_processing", "Optimizing for lowest cost (batch processing)")
-        .when(kind == "high_throughput", "Optimizing for maximum throughput")
-        .otherwise("Default: optimizing for cost"))
+            REASONS["quality"], F.format_number(F.col("min_quality_score") * 100, 0), F.col("n_quality")))
+    steps.append(F.format_string(REASONS["budget"], F.format_number("monthly_budget_usd", 0), F.col("n_budget")))
+    steps.append(F.when(F.col("prefer_self_hosted") & (F.col("n_own") > 0), REASONS["self_hosted"]))
+    goal = F.lit(REASONS["default"])
+    for kind, text in GOALS.items():
+        goal = F.when(F.col("workload_type") == kind, text).otherwise(goal)
+    steps.append(goal)
     return F.when(found, F.array_compact(F.array(*steps))).otherwise(
-        F.array(no_match_reason(), F.lit(NO_MATCH_HINT)))
+        F.array(no_match_reason(), F.lit(NO_MATCH["hint"])))
 
 
 def no_match_reason() -> Column:
     return (
-        F.when(F.col("n_latency") == 0, "No configs meet latency SLA")
-        .when(F.col("n_quality") == 0, "No configs meet quality threshold")
-        .otherwise("No configs meet budget constraint"))
+        F.when(F.col("n_latency") == 0, NO_MATCH["latency"])
+        .when(F.col("n_quality") == 0, NO_MATCH["quality"])
+        .otherwise(NO_MATCH["budget"]))
 
 
 def constraint_funnel(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

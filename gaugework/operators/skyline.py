@@ -31,7 +31,7 @@ from gaugework.operators.positions import with_position
 from gaugework.session import SMALL_ROWS, materialise, small_side
 
 SLAB_ROWS = 50_000      # vectors compared with each other inside one task
-MAX_CELLS = 1 << 22     # size of the grid held by the task that compares cells
+MAX_CELLS = 1 << 22     # size of the grid held by a task that compares the cells of a group
 PRUNERS = 200           # vectors a task compares its rows with before the exact comparison
 
 
@@ -241,62 +241,82 @@ def _many_objectives(vectors: DataFrame, dims: list[str], slab_rows: int) -> Dat
         undominated = undominated & ~(le & lt)
     left = materialise(
         _prune_partitions(vectors.filter(undominated), dims).distinct(), "skyline-left")
-    n = left.count()
-    if n <= slab_rows:
+    if left.count() <= slab_rows:
         return _exact_in_one_task(left, dims)
-    return _by_slabs(left, dims, n, slab_rows)
+    return _by_slabs(left, dims, slab_rows)
 
 
-def _by_slabs(left: DataFrame, dims: list[str], n: int, slab_rows: int) -> DataFrame:
+def _by_slabs(left: DataFrame, dims: list[str], slab_rows: int, max_cells: int = MAX_CELLS) -> DataFrame:
     """Exact comparison of many vectors without forming pairs across tasks.
 
     Along each objective the vectors are put in lexicographic order that starts
     with this objective, and cut into slabs of equal size; the vectors are
     distinct, so ties never fill a slab. A dominating vector comes earlier in
     every one of these orders. So it either shares a slab with the vector it
-    dominates, and one of the slab-local comparisons finds it, or it lies in a
+    dominates, and a comparison within the slab finds it, or it lies in a
     strictly lower slab along every objective, which the grid of occupied cells
-    shows. A vector on the frontier passes all of them.
+    shows. The grid bounds the number of slabs; a slab that is still larger
+    than ``slab_rows`` is a problem of the same kind and is cut again, so no
+    task ever compares more than ``slab_rows`` vectors.
     """
+    beaten: list[DataFrame] = []
+    todo = left.select(F.lit("").alias("__group"), *dims)
+    while True:
+        todo = materialise(todo, "skyline-slabs")
+        sizes = materialise(todo.groupBy("__group").agg(F.count(F.lit(1)).alias("__size")), "skyline-sizes")
+        small = todo.join(sizes.filter(F.col("__size") <= slab_rows), "__group").select("__group", *dims)
+        beaten.append(_lost_in_groups(small, dims))
+        large = sizes.filter(F.col("__size") > slab_rows)
+        if not large.limit(1).count():
+            break
+        lost, todo = _cut_again(todo.join(large, "__group"), dims, slab_rows, max_cells)
+        beaten.append(lost)
+    lost = materialise(reduce(DataFrame.unionByName, beaten).distinct(), "skyline-lost")
+    return left.select(*dims).join(lost, dims, "left_anti")
+
+
+def _lost_in_groups(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """Vectors that another one of their group dominates; groups are small."""
+    def lost(pdf: pd.DataFrame) -> pd.DataFrame:
+        beaten = np.ones(len(pdf), dtype=bool)
+        beaten[_keep_undominated(pdf[dims].to_numpy(dtype=float))] = False
+        return pdf.loc[beaten, dims]
+
+    return rows.groupBy("__group").applyInPandas(lost, rows.select(*dims).schema)
+
+
+def _cut_again(rows: DataFrame, dims: list[str], slab_rows: int, max_cells: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors beaten by a lower cell of their group, the others in one smaller group for each objective)."""
     k = len(dims)
-    slabs = max(2, min(-(-n // slab_rows), int(MAX_CELLS ** (1.0 / k))))
-    width = -(-n // slabs)
+    most = max(2, int(max_cells ** (1.0 / k)))
+    slabs = F.greatest(F.lit(2), F.least(F.ceil(F.col("__size") / slab_rows), F.lit(most)))
     cells = [f"__c{i}" for i in range(k)]
-    placed = left
+    placed = rows
     for i, cell in enumerate(cells):
         order = [dims[(i + j) % k] for j in range(k)]
-        placed = materialise(
-            with_position(placed, order, cell)
-            .withColumn(cell, F.floor(F.col(cell) / width).cast("int")),
-            "skyline-slabs",
-        )
+        placed = with_position(placed, order, cell, ["__group"]).withColumn(
+            cell, F.floor(F.col(cell) / F.ceil(F.col("__size") / slabs)).cast("int"))
+    placed = materialise(placed, "skyline-cells")
 
-    def beaten_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        occupied = pd.concat(list(batches)).to_numpy(dtype=int)
-        grid = np.zeros((slabs,) * k, dtype=bool)
-        grid[tuple(occupied.T)] = True
-        for axis in range(k):
-            grid = np.logical_or.accumulate(grid, axis=axis)
+    def beaten_cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        occupied = pdf[cells].to_numpy(dtype=int)
         inner = (occupied > 0).all(axis=1)
         beaten = np.zeros(len(occupied), dtype=bool)
-        beaten[inner] = grid[tuple((occupied[inner] - 1).T)]
-        yield pd.DataFrame(occupied[beaten], columns=cells)
-
-    distinct_cells = placed.select(*cells).distinct().coalesce(1)  # at most MAX_CELLS rows
-    beaten = distinct_cells.mapInPandas(beaten_cells, distinct_cells.schema)
-    candidates = placed.join(beaten, cells, "left_anti")
-
-    def slab_skyline(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = pdf[dims].to_numpy(dtype=float)
-        return pdf[dims].iloc[np.sort(_keep_undominated(points))]
-
-    return (
-        candidates.select(
-            *dims,
-            F.posexplode(F.array(*cells)).alias("__axis", "__slab"))
-        .groupBy("__axis", "__slab")
-        .applyInPandas(slab_skyline, left.select(*dims).schema)
-        .groupBy(*dims).count()
-        .filter(F.col("count") == k)
-        .select(*dims)
-    )
+        side = occupied.max() + 1
+        if side <= 2:  # a grid of two slabs each way: only the lowest cell is lower along every objective
+            beaten = inner & bool((occupied == 0).all(axis=1).any())
+        elif inner.any():
+            grid = np.zeros((side,) * k, dtype=bool)
+            grid[tuple(occupied.T)] = True
+            for axis in range(k):
+                grid = np.logical_or.accumulate(grid, axis=axis)
+            beaten[inner] = grid[tuple((occupied[inner] - 1).T)]
+        return pdf[beaten]
+
+    distinct_cells = placed.select("__group", *cells).distinct()  # at most max_cells of a group, or 2 ** k and its rows
+    beaten = distinct_cells.groupBy("__group").applyInPandas(beaten_cells, distinct_cells.schema)
+    lost = placed.join(beaten, ["__group", *cells], "left_semi").select(*dims)
+    rest = placed.join(beaten, ["__group", *cells], "left_anti").select(
+        "__group", *dims, F.posexplode(F.array(*cells)).alias("__axis", "__slab")
+    ).select(F.concat_ws("/", "__group", F.concat_ws(".", "__axis", "__slab")).alias("__group"), *dims)
+    return lost, rest

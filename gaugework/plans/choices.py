@@ -195,10 +195,9 @@ def constrained_selection(spark, sf):
 
 
 @query(with_tables("reqs configs", _SELECTION + """
-SELECT f.req_id, CASE WHEN n_latency = 0 THEN 'No configs meet latency SLA'
-       WHEN n_quality = 0 THEN 'No configs meet quality threshold'
-       ELSE 'No configs meet budget constraint' END AS reason, 'Consider relaxing constraints' AS hint
-FROM funnel f LEFT JOIN best b USING (req_id) WHERE b.req_id IS NULL"""))
+SELECT f.req_id, CASE WHEN n_latency = 0 THEN '{latency}' WHEN n_quality = 0 THEN '{quality}' ELSE '{budget}' END AS reason,
+       '{hint}' AS hint
+FROM funnel f LEFT JOIN best b USING (req_id) WHERE b.req_id IS NULL""".format(**catalog.NO_MATCH)))
 def no_match_reasons(spark, sf):
     return _recommendations(spark, sf).filter("NOT meets_requirements").select(
         "req_id", F.col("reasoning")[0].alias("reason"), F.col("reasoning")[1].alias("hint"))
@@ -209,12 +208,9 @@ SELECT f.req_id, concat_ws(' | ',
   'Filtered to p95 latency ≤ ' || format('{:.1f}', r.max_latency_p95_ms) || 'ms (' || n_latency || '/' || n_configs || ' configs)',
   'Filtered to quality ≥ ' || CAST(round(r.min_quality_score * 100) AS INTEGER) || '% (' || n_quality || ' configs)',
   'Filtered to monthly cost ≤ $' || format('{:,}', CAST(round_even(r.monthly_budget_usd, 0) AS BIGINT)) || ' (' || n_budget || ' configs)',
-  CASE WHEN f.own THEN 'Preferring self-hosted deployments' END,
-  CASE r.workload_type WHEN 'real_time_chat' THEN 'Optimizing for lowest latency (real-time chat)'
-    WHEN 'interactive_app' THEN 'Balancing latency (60%) and cost (40%)'
-    WHEN 'batch_processing' THEN 'Optimizing for lowest cost (batch processing)'
-    WHEN 'high_throughput' THEN 'Optimizing for maximum throughput'
-    ELSE 'Default: optimizing for cost' END) AS reasoning
+  CASE WHEN f.own THEN '""" + catalog.REASONS["self_hosted"] + """' END,
+  CASE r.workload_type """ + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in catalog.GOALS.items()) + f"""
+    ELSE '{catalog.REASONS["default"]}' END) AS reasoning
 FROM funnel f JOIN best b USING (req_id) JOIN reqs r USING (req_id)"""))
 def reasoning_lists(spark, sf):
     return _recommendations(spark, sf).filter("meets_requirements").select(

@@ -15,8 +15,3 @@ BENCHMARK_RESULTS = (
     "output_tokens BIGINT, gpu_memory_mb DOUBLE, gpu_utilization_percent DOUBLE, "
     "cost_usd DOUBLE, created_at TIMESTAMP"
 )
-
-RESOURCE_SAMPLE = (
-    "gpu_memory_used_mb DOUBLE, gpu_memory_total_mb DOUBLE, gpu_utilization_percent DOUBLE, "
-    "cpu_percent DOUBLE, ram_used_gb DOUBLE, ram_total_gb DOUBLE, ts TIMESTAMP"
-)

@@ -102,6 +102,27 @@ ALERT_THRESHOLDS = [
     ("error_rate", 0.01, True),
 ]
 
+# The texts that explain a recommendation, by step and by workload, and those that say why there is none.
+REASONS = {
+    "latency": "Filtered to p95 latency ≤ %sms (%d/%d configs)",
+    "quality": "Filtered to quality ≥ %s%% (%d configs)",
+    "budget": "Filtered to monthly cost ≤ $%s (%d configs)",
+    "self_hosted": "Preferring self-hosted deployments",
+    "default": "Default: optimizing for cost",
+}
+GOALS = {
+    "real_time_chat": "Optimizing for lowest latency (real-time chat)",
+    "interactive_app": "Balancing latency (60%) and cost (40%)",
+    "batch_processing": "Optimizing for lowest cost (batch processing)",
+    "high_throughput": "Optimizing for maximum throughput",
+}
+NO_MATCH = {
+    "latency": "No configs meet latency SLA",
+    "quality": "No configs meet quality threshold",
+    "budget": "No configs meet budget constraint",
+    "hint": "Consider relaxing constraints",
+}
+
 
 def _table(spark: SparkSession, names: list[str], types: list[pa.DataType], rows: list) -> DataFrame:
     columns = list(zip(*rows))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from gaugework.operators.select import frontier_export, recommend_by_priority
-from gaugework.operators.skyline import pareto_anti_frontier, pareto_frontier
+from gaugework.operators.skyline import _by_slabs, pareto_anti_frontier, pareto_frontier
 
 
 def dominates(a, b):
@@ -35,6 +35,16 @@ def test_equal_to_brute_force(spark, k, rounded, plan):
     assert {r["id"] for r in got.filter("is_pareto_optimal").collect()} == want
 
 
+@pytest.mark.parametrize("k, max_cells", [(4, 81), (3, 1)])
+def test_slabs_are_cut_again(spark, k, max_cells):
+    """With a tiny grid a slab is cut several times, and no group is larger than asked for."""
+    points = sorted(set(cloud(20 + k, 100, k, k == 4)))
+    dims = [f"v{j}" for j in range(k)]
+    df = spark.createDataFrame(points, ", ".join(f"{d} double" for d in dims))
+    want = {p for p in points if not any(dominates(q, p) for q in points)}
+    assert {tuple(r) for r in _by_slabs(df, dims, 30, max_cells).collect()} == want
+
+
 def test_maximised_objective_and_anti_frontier(spark):
     points = cloud(9, 120, 2, True)
     df = frame(spark, points)
