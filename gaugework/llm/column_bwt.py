@@ -9,9 +9,10 @@ A corpus is no collection of bounded strings, so it is cut into segments first:
 least hashed ``MARK``-byte string lies at the same place. A segment has at most 2 * WINDOW - MARK bytes, so there are few
 rounds, and equal windows have equal marks, so collections by mark hold all that may match. The collections are the external
 files: a table in the shared folder, read range by range, with transform, common prefixes and suffixes of one collection
-in memory at a time. Segments whose mark lies in one document only hold no repeated string; marks are counted over all documents,
-and these segments stay out. Segments with a mark of very many documents are cut into single windows, dealt by the window's
-hash, so that no collection grows with one frequent mark. Equal segments of a block are one, with its least document.
+in memory at a time. A window holds its mark and at least ``REACH`` bytes on one side of it; where these lie in one document
+only, counted over all documents, the window stays out. Segments with such strings of very many documents are cut into single
+windows, dealt by the window's hash, so that no collection grows with a frequent one. Equal segments of a block are one,
+with its least document.
 
 Defined cases: a null text is an empty one; rows without an id neither remove nor lose anything; of rows with equal texts
 the smallest id keeps its text, and rows that repeat an id don't remove one another's bytes; an empty table gives no rows.
@@ -37,6 +38,7 @@ from gaugework.session import materialise
 
 WINDOW = 50
 MARK = 20
+REACH = (WINDOW - MARK) // 2
 HOT_DOCUMENTS = 4096
 COLLECTION_BYTES = 1 << 20
 LONGEST = 2 * WINDOW - MARK
@@ -81,11 +83,30 @@ def least_place(values: np.ndarray, width: int) -> np.ndarray:
     return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def keyed(block: Block, start: np.ndarray, length: int, salt: int) -> np.ndarray:
+    """A 64-bit hash of the ``length`` bytes from each start on."""
+    wide = -(-length // 8) * 8
+    rows = np.zeros((len(start), wide), np.uint8)
+    rows[:, :length] = block.raw[start[:, None] + np.arange(length)]
+    words = rows.view("<u8")
+    key = np.full(len(start), salt, np.uint64)
+    for i in range(words.shape[1]):
+        key = mix(key ^ words[:, i])
+    return key
+
+
 class Segments:
-    """Segments of a block: document, first byte, number of windows and key of the mark."""
+    """Segments of a block: document, first byte, number of windows, key and place of the mark.
+
+    A window that starts more than REACH bytes before its mark holds the REACH + 1 bytes before the mark, any other the
+    REACH bytes after it. So the first windows of a segment (``n_left``) only match where the mark with the bytes before it
+    (``left``) is found again, the others where it is with those after it (``right``).
+    """
+
+    FIELDS = ("doc", "first", "windows", "key", "place")
 
     def __init__(self, block: Block) -> None:
-        self.doc = self.first = self.windows = np.zeros(0, np.int64)
+        self.doc = self.first = self.windows = self.place = np.zeros(0, np.int64)
         self.key = np.zeros(0, np.uint64)
         ends = np.cumsum(block.lengths)
         if len(block.raw) < WINDOW:
@@ -102,20 +123,36 @@ class Segments:
         head = np.flatnonzero(new)
         self.first = start[head]
         self.windows = np.diff(np.append(head, len(start)))
-        self.doc = doc[self.first]
-        self.key = marks[place[self.first]]
+        self.doc, self.place = doc[self.first], place[self.first]
+        self.key = marks[self.place]
 
     def take(self, which: np.ndarray) -> Segments:
-        out = object.__new__(Segments)
-        out.doc, out.first, out.windows, out.key = (x[which] for x in (self.doc, self.first, self.windows, self.key))
+        return self.of(**{f: getattr(self, f)[which] for f in self.FIELDS})
+
+    @classmethod
+    def of(cls, **fields: np.ndarray) -> Segments:
+        out = object.__new__(cls)
+        out.__dict__.update(fields)
         return out
 
+    @property
+    def n_left(self) -> np.ndarray:
+        return np.clip(self.place - REACH - self.first, 0, self.windows)
+
+    def sides(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segments with first windows and their keys, segments with other windows and theirs."""
+        left, right = np.flatnonzero(self.n_left > 0), np.flatnonzero(self.n_left < self.windows)
+        return (left, keyed(block, self.place[left] - REACH - 1, MARK + REACH + 1, 1),
+                right, keyed(block, self.place[right], MARK + REACH, 2))
+
 
 def marks_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of marks, and the documents of the block that hold each."""
+    """Distinct keys of marks with what is beside them, and the documents of the block that hold each."""
     s = Segments(block)
-    order = np.argsort(s.key, kind="stable")
-    key, doc = s.key[order], s.doc[order]
+    left, left_key, right, right_key = s.sides(block)
+    key, doc = np.concatenate([left_key, right_key]), s.doc[np.concatenate([left, right])]
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     held = new.copy()
@@ -124,6 +161,22 @@ def marks_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(held.astype(np.int64), first) if len(first) else first
 
 
+def shared_segments(block: Block, classes: np.ndarray) -> tuple[Segments, Segments]:
+    """Of each segment the windows whose side of the mark lies in several documents: ordinary ones, and frequent ones."""
+    s = Segments(block)
+    left, left_key, right, right_key = s.sides(block)
+    found = classes[np.unique(np.concatenate([left_key, right_key]), return_inverse=True)[1]] if len(s.key) else classes
+    sides = np.zeros((2, len(s.key)), np.uint8)
+    sides[0, left], sides[1, right] = found[: len(left)], found[len(left):]
+    n_left = s.n_left
+    first = np.where(sides[0] > 0, s.first, s.first + n_left)
+    windows = np.where(sides[0] > 0, n_left, 0) + np.where(sides[1] > 0, s.windows - n_left, 0)
+    cut = Segments.of(doc=s.doc, first=first, windows=windows, key=s.key, place=s.place)
+    kept = windows > 0
+    hot = (sides == 2).any(axis=0)
+    return cut.take(np.flatnonzero(kept & ~hot)), cut.take(np.flatnonzero(kept & hot))
+
+
 def repeated(totals: np.ndarray, hot: int = HOT_DOCUMENTS) -> np.ndarray:
     """0: one document; 1: some; 2: so many that segments are cut into windows."""
     return np.where(totals <= 1, 0, np.where(totals < hot, 1, 2))
@@ -151,18 +204,14 @@ class Shared:
     """A block's distinct segments that may match another document's, by collection."""
 
     def __init__(self, block: Block, classes: np.ndarray, collections: int) -> None:
-        s = Segments(block)
-        key_class = classes[np.unique(s.key, return_inverse=True)[1]] if len(s.key) else np.zeros(0, np.uint8)
-        some, hot = s.take(np.flatnonzero(key_class == 1)), s.take(np.flatnonzero(key_class == 2))
+        some, hot = shared_segments(block, classes)
         if len(hot.first):
             times = hot.windows
             each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            single = object.__new__(Segments)
-            single.doc, single.first = np.repeat(hot.doc, times), np.repeat(hot.first, times) + each
-            single.windows = np.ones(len(each), np.int64)
-            single.key = rolling(block.raw, WINDOW)[single.first]
-            for name in ("doc", "first", "windows", "key"):
-                setattr(some, name, np.concatenate([getattr(some, name), getattr(single, name)]))
+            first = np.repeat(hot.first, times) + each
+            single = {"doc": np.repeat(hot.doc, times), "first": first, "windows": np.ones(len(each), np.int64),
+                      "key": keyed(block, first, WINDOW, 3), "place": np.repeat(hot.place, times)}
+            some = Segments.of(**{f: np.concatenate([getattr(some, f), v]) for f, v in single.items()})
         self.segments = some
         rows = matrix(block, some)
         bits = np.uint64(64 - (collections.bit_length() - 1))
@@ -178,47 +227,53 @@ def insert_columns(strings: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray,
     """Suffixes of a collection in order: string and length of each, and its common prefix with the one before.
 
     ``strings`` holds a string per row. Round j inserts the suffixes of length j. The state is the sorted list of the
-    suffixes so far with the symbol before each (the transform, 0 where the string begins; symbols are bytes + 1) and the
-    common prefix with the suffix before it. The transform sorted stably gives, after the empty suffixes, all suffixes in
-    their new order: those that are there already, and a new one for each symbol that was set in the round before.
+    suffixes so far, as the symbol before each (the transform, 0 where the string begins) and the common prefix with the
+    suffix before it. The transform sorted stably gives, after the empty suffixes, all suffixes in their new order: those
+    that are there already, and a new one for each symbol that was set in the round before.
     """
     n = len(sizes)
-    owner, depth = np.arange(n, dtype=np.int32), np.zeros(n, np.uint8)
-    symbol = strings[np.arange(n), sizes - 1].astype(np.uint16) + 1
-    common, fresh = np.zeros(n, np.uint8), np.ones(n, bool)
+    present = np.zeros(256, bool)
+    present[np.unique(strings)] = True
+    narrow = np.uint8 if present.sum() < 256 else np.uint16
+    coded = np.cumsum(present).astype(narrow)[strings]  # symbols from 1 on, in the order of the bytes
+    symbol = coded[np.arange(n), sizes - 1]
+    common, fresh, owner = np.zeros(n, np.uint8), np.arange(n), np.arange(n)
     for length in range(1, int(sizes.max(initial=0)) + 1):
         # where each symbol's suffix belongs; symbols 0 have none
-        order = np.argsort(symbol, kind="stable")
-        order = order[np.searchsorted(symbol[order], 1):]
-        new = fresh[order]
+        order = np.argsort(symbol, kind="stable")[np.count_nonzero(symbol == 0):]
         size = n + len(order)
-        slot = np.flatnonzero(new) + n
-        stay = np.ones(size, bool)
-        stay[slot] = False
-        source = order[new]
+        is_fresh = np.zeros(len(symbol), bool)
+        is_fresh[fresh] = True
+        slot = np.flatnonzero(is_fresh[order])
+        source = order[slot]
         # common prefixes of new neighbours: the least one between their sources, and one more
-        first, second = slot, np.append(slot + 1, [])[slot + 1 < size]
-        at = np.union1d(first, second).astype(np.int64) - n
-        at = at[at > 0]
-        same = symbol[order[at]] == symbol[order[at - 1]]
-        low, high = order[at[same] - 1] + 1, order[at[same]]
+        is_fresh = np.zeros(len(order) + 1, bool)
+        is_fresh[slot] = is_fresh[slot + 1] = True
+        at = np.flatnonzero(is_fresh[1:-1]) + 1
+        low, high = order[at - 1], order[at]
+        same = symbol[low] == symbol[high]
         grown = np.zeros(len(at), np.uint8)
-        grown[same] = least_between(common, low, high) + 1
-        wider = np.zeros(size, np.uint8)
-        wider[stay] = common
-        wider[at + n] = np.minimum(grown, 254)
-        common = wider
-
-        def merged(old: np.ndarray, value: np.ndarray) -> np.ndarray:
-            out = np.empty(size, old.dtype)
-            out[stay], out[slot] = old, value
-            return out
-
-        who = owner[source]
+        grown[same] = np.minimum(least_between(common, low[same] + 1, high[same]), 253) + 1
+        who = owner[np.searchsorted(fresh, source)]
         left = sizes[who] - length
-        before = np.where(left > 0, strings[who, np.maximum(left - 1, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
-        owner, depth = merged(owner, who), merged(depth, np.full(len(slot), length, np.uint8))
-        symbol, fresh = merged(symbol, before), ~stay
+        before = np.where(left > 0, coded[who, np.maximum(left - 1, 0)], 0).astype(narrow)
+        slot += n
+        stay = np.ones(size, bool)
+        stay[slot] = False
+        wider, next_symbol = np.zeros(size, np.uint8), np.empty(size, narrow)
+        wider[stay], next_symbol[stay], next_symbol[slot] = common, symbol, before
+        wider[at + n] = grown
+        symbol, common, fresh, owner = next_symbol, wider, slot, who
+    # every string's suffixes, one symbol longer each step, from the finished transform
+    owner, depth = np.empty(len(symbol), np.int32), np.empty(len(symbol), np.uint8)
+    order = np.argsort(symbol, kind="stable")[np.count_nonzero(symbol == 0):]
+    place = np.empty(len(symbol), np.int64)
+    place[order] = np.arange(n, len(symbol))
+    string, at = np.arange(n), np.arange(n)
+    for length in range(int(sizes.max(initial=0)) + 1):
+        owner[at], depth[at] = string, length
+        more = sizes[string] > length
+        string, at = string[more], place[at[more]]
     return owner, depth, common
 
 
@@ -356,8 +411,8 @@ def repeats_removed(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row. The last three change sizes, not results."""
     rows = members(docs, id_column, text_column)
     blocks = text_blocks(docs, rows, id_column, text_column, block_bytes)
-    # about one mark for sixteen bytes of text, four bytes each
-    ranges = ranges_for(blocks, 4 / 16)
+    # about two keys for sixteen bytes of text, four bytes each
+    ranges = ranges_for(blocks, 8 / 16)
     marked = materialise(key_classes(blocks, ranges, marks_of, lambda totals: repeated(totals, hot)), "marked")
     total = marked.agg(F.sum("raw_bytes")).first()[0] or 0
     collections = 1 << max(0, int(total // collection_bytes).bit_length())
