@@ -52,8 +52,10 @@ def members(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
                     F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha256")),
         "rows",
     )
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    joined = rows.join(firsts.drop("n"), "digest", "left")
+    # written first, so that a text with very many copies is split among tasks, or joined without a shuffle
+    firsts = small_side(rows.groupBy("digest").agg(
+        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    joined = rows.join(firsts, "digest", "left")
     return materialise(joined.withColumn("first_id", F.coalesce("first_id", "doc_id")).select(*MEMBERS), "members")
 
 
