@@ -22,6 +22,8 @@ HEADLINES = [
     "config_metrics", "batch_experiment", "run_result_store", "constrained_selection",
     "pareto_lines", "pareto_lines_four_objectives", "positional_ranks", "task_accuracy",
     "rouge_l", "prompt_building", "report_tables", "stream_latency_windows",
+    "composite_summary", "quantization_performance", "constraint_funnel", "frontier_by_slabs",
+    "batch_assignment", "consistency", "stream_sliding_p95", "stream_run_sessions",
 ]
 
 

@@ -137,7 +137,7 @@ _CTES = {
                       + dur / 3600 * coalesce(cost_per_hour, 0)) / (input_tokens + output_tokens) * 1e6, 6)
                  AS cost_per_1m_tok,
                round(output_tokens / nullif(dur, 0), 6) AS throughput, quality_score
-        FROM (SELECT model_name, workload, batch_size, avg(latency_ms) AS latency_ms,
+        FROM (SELECT model_name, workload, batch_size, round(sum(latency_ms), 9) / count(latency_ms) AS latency_ms,
                      quantile_cont(latency_ms, 0.95) AS p95, sum(latency_ms) / 1000 AS dur,
                      sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens
               FROM requests GROUP BY ALL) g

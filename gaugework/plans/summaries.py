@@ -13,20 +13,20 @@ from gaugework.sources import catalog, store, tables
 
 
 @query(with_tables("requests", """
-SELECT model_name, workload, batch_size, round_even(avg(latency_ms), 4) AS latency_ms_mean,
-       round_even(quantile_cont(latency_ms, 0.5), 4) AS latency_ms_median,
-       round_even(quantile_cont(latency_ms, 0.95), 4) AS latency_ms_p95,
-       round_even(quantile_cont(latency_ms, 0.99), 4) AS latency_ms_p99,
+SELECT model_name, workload, batch_size, round_even(round(sum(latency_ms), 9) / count(latency_ms), 9) AS latency_ms_mean,
+       round_even(quantile_cont(latency_ms, 0.5), 9) AS latency_ms_median,
+       round_even(quantile_cont(latency_ms, 0.95), 9) AS latency_ms_p95,
+       round_even(quantile_cont(latency_ms, 0.99), 9) AS latency_ms_p99,
        CAST(sum(input_tokens) AS BIGINT) AS input_tokens_sum, CAST(sum(output_tokens) AS BIGINT) AS output_tokens_sum
 FROM requests GROUP BY ALL"""))
 def config_summary(spark, sf):
-    return aggregates.config_summary(tables.requests(spark, sf), digits=4)
+    return aggregates.config_summary(tables.requests(spark, sf), digits=9)
 
 
 @query(ORACLE_SQL["config_summary"])
 def config_summary_by_counting(spark, sf):
     """The plan for large logs: percentiles by counting, without and with fine buckets alike."""
-    return aggregates.config_summary(tables.requests(spark, sf), digits=4, bucket_rows=0)
+    return aggregates.config_summary(tables.requests(spark, sf), digits=9, bucket_rows=0)
 
 
 @query(with_tables("configs", """
@@ -54,7 +54,7 @@ def latency_percentiles(spark, sf):
 
 
 @query(with_tables("requests", """
-SELECT model_name, round_even(avg(latency_ms), 4) AS latency_ms_mean,
+SELECT model_name, round_even(round(sum(latency_ms), 9) / count(latency_ms), 4) AS latency_ms_mean,
        round_even(quantile_cont(latency_ms, 0.95), 4) AS latency_ms_p95,
        CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
        CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens
@@ -189,7 +189,7 @@ timed AS (
   SELECT *, max(latency_ms) OVER b / count(*) OVER b AS lat FROM batched
   WINDOW b AS (PARTITION BY run_id, model_name, workload, batch_size, batch_no)),
 experiment AS (
-  SELECT batch_size, 'static' AS strategy, avg(lat) AS mean_latency_ms, quantile_cont(lat, 0.5) AS p50_latency_ms,
+  SELECT batch_size, 'static' AS strategy, round(sum(lat), 9) / count(lat) AS mean_latency_ms, quantile_cont(lat, 0.5) AS p50_latency_ms,
          quantile_cont(lat, 0.95) AS p95_latency_ms, quantile_cont(lat, 0.99) AS p99_latency_ms,
          count(*) / dur AS throughput_req_per_sec, sum(output_tokens) / dur AS throughput_tokens_per_sec
   FROM timed JOIN (SELECT batch_size, (max(epoch_us(ts) + latency_ms * 1000) - min(epoch_us(ts))) / 1e6 AS dur
@@ -241,7 +241,7 @@ shared AS (
   SELECT *, max(latency_ms) OVER b / count(*) OVER b AS lat FROM sent
   WINDOW b AS (PARTITION BY quantization, run_id, model_name, workload, batch_size, batch_no)),
 performance AS (
-  SELECT model_name, quantization, round_even(avg(lat), 4) AS mean_latency_ms,
+  SELECT model_name, quantization, round_even(round(sum(lat), 9) / count(lat), 4) AS mean_latency_ms,
          round_even(quantile_cont(lat, 0.5), 4) AS p50_latency_ms,
          round_even(quantile_cont(lat, 0.95), 4) AS p95_latency_ms,
          round_even(quantile_cont(lat, 0.99), 4) AS p99_latency_ms,
