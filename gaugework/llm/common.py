@@ -14,7 +14,7 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Rows of one Arrow batch that carries whole texts: a worker holds one batch at a time.
 TEXT_BATCH_ROWS = 1000
 # Words a worker remembers, in each of two generations.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 80_000
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -12,8 +12,8 @@ nodes that are not yet connected with their list's leader are paired with all no
 no link between components is lost.
 
 Defined cases: null texts and texts without words have no n-gram and link with nothing; fewer words than ``n`` make one
-n-gram; rows that share an id but not the text are linked by the id; rows without an id have none either as component;
-an empty table gives no rows.
+n-gram; rows that share an id but not the text are linked by the id; rows without an id have no component, and n-grams
+are counted for them only where a row with an id has their text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugework.llm.blocks import (
-    BLOCK_BYTES, Block, joined_bytes, key_classes, members, opened, ranges_for, text_blocks,
+    Block, joined_bytes, key_classes, members, opened, ranges_for, text_blocks,
 )
 from gaugework.llm.common import documents
 from gaugework.llm.links import components
@@ -37,6 +37,7 @@ from gaugework.session import materialise, small_side
 WORDS = 3
 PERCENT = 90
 SUFFIX_RANGES = 32
+SET_BLOCK_BYTES = 2 << 20  # a block's words and n-grams take some twenty times its bytes while it is read
 SETS = "node binary, n long, tokens array<long>, places array<int>, grams binary"
 
 
@@ -211,7 +212,7 @@ def distinct_pairs(joined: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id",
-                      text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                      text_column: str = "text", block_bytes: int = SET_BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id for every row, and the digest of its text."""
     rows = members(docs, id_column, text_column)
     sets = prefixed_sets(text_blocks(docs, rows, id_column, text_column, block_bytes), n, percent)
