@@ -53,26 +53,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(raw: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the ``length`` bytes from each place on, by doubling."""
-    power, span = 0x5851F42D4C957F2D, 1
-    have, done, at = raw.astype(np.uint64) + np.uint64(1), None, 0
+    """A 32-bit hash of the ``length`` bytes from each place on, by doubling."""
+    power, span = 0x2C1B3C6D, 1
+    have, done, at = raw.astype(np.uint32) + np.uint32(1), None, 0
     while span <= length:
         if length & span:
             if done is None:
                 done = have
             else:
-                done = done[: len(have) - at] * np.uint64(power) + have[at:]
+                done = done[: len(have) - at] * np.uint32(power) + have[at:]
             at += span
         if 2 * span <= length:
-            have = have[:-span] * np.uint64(power) + have[span:]
-        power = power * power % 2**64
+            have = have[:-span] * np.uint32(power) + have[span:]
+        power = power * power % 2**32
         span *= 2
-    return mix(done[: len(raw) - length + 1])
+    done = done[: len(raw) - length + 1]
+    done = (done ^ (done >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return (done ^ (done >> np.uint32(13))) * np.uint32(0xC2B2AE35)
 
 
 def least_place(values: np.ndarray, width: int) -> np.ndarray:
-    """For each place, where the least of the next ``width`` values lies, the first of equals. Uses the upper 32 bits."""
-    least = (values & ~np.uint64(0xFFFFFFFF)) | np.arange(len(values), dtype=np.uint64)
+    """For each place, where the least of the next ``width`` 32-bit values lies, the first of equals."""
+    least = (values.astype(np.uint64) << np.uint64(32)) | np.arange(len(values), dtype=np.uint64)
     span = 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -108,23 +110,24 @@ class Segments:
     def __init__(self, block: Block) -> None:
         self.doc = self.first = self.windows = self.place = np.zeros(0, np.int64)
         self.key = np.zeros(0, np.uint64)
-        ends = np.cumsum(block.lengths)
         if len(block.raw) < WINDOW:
             return
-        marks = rolling(block.raw, MARK)
-        place = least_place(marks, WINDOW - MARK + 1)
-        doc = np.repeat(np.arange(len(ends)), block.lengths)[: len(place)]
-        whole = np.arange(len(place)) + WINDOW <= ends[doc]
-        start = np.flatnonzero(whole)
-        if not len(start):
+        place = least_place(rolling(block.raw, MARK), WINDOW - MARK + 1)
+        ends = np.cumsum(block.lengths)
+        whole = np.ones(len(block.raw), bool)  # whether a window starts here; none does in a text's last bytes
+        for end, n in zip(ends.tolist(), block.lengths.tolist()):
+            whole[end - min(n, WINDOW - 1):end] = False
+        whole = whole[: len(place)]
+        new, last = whole.copy(), whole.copy()
+        turn = (place[1:] != place[:-1]) | (whole[1:] != whole[:-1])
+        new[1:] &= turn
+        last[:-1] &= turn
+        self.first = np.flatnonzero(new)
+        if not len(self.first):
             return
-        new = np.ones(len(start), bool)
-        new[1:] = (place[start[1:]] != place[start[:-1]]) | (doc[start[1:]] != doc[start[:-1]])
-        head = np.flatnonzero(new)
-        self.first = start[head]
-        self.windows = np.diff(np.append(head, len(start)))
-        self.doc, self.place = doc[self.first], place[self.first]
-        self.key = marks[self.place]
+        self.windows = np.flatnonzero(last) - self.first + 1
+        self.doc, self.place = np.searchsorted(ends, self.first, "right"), place[self.first]
+        self.key = keyed(block, self.place, MARK, 4)
 
     def take(self, which: np.ndarray) -> Segments:
         return self.of(**{f: getattr(self, f)[which] for f in self.FIELDS})
@@ -151,7 +154,7 @@ def marks_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
     s = Segments(block)
     left, left_key, right, right_key = s.sides(block)
     key, doc = np.concatenate([left_key, right_key]), s.doc[np.concatenate([left, right])]
-    order = np.lexsort((doc, key))
+    order = np.argsort(key, kind="stable")  # documents stay in order, as no key is of both sides
     key, doc = key[order], doc[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
