@@ -10,8 +10,9 @@ least hashed ``MARK``-byte string lies at the same place. A segment has at most
 rounds, and equal windows have equal marks, so collections by mark hold all that may match. The collections are the external
 files: a table in the shared folder, read range by range, with transform, common prefixes and suffixes of one collection
 in memory at a time. A window holds its mark and at least ``REACH`` bytes on one side of it; where these lie in one document
-only, counted over all documents, the window stays out. Segments with such strings of very many documents are cut into single
-windows, dealt by the window's hash, so that no collection grows with a frequent one. Equal segments of a block are one,
+only, counted over all documents, the window stays out. Windows whose own such string lies in very many documents become
+single ones, dealt by the window's hash, so that no collection grows with a frequent string; a segment's other windows stay
+together under their mark, as what becomes of a window must follow from its own bytes. Equal segments of a block are one,
 with its least document.
 
 Defined cases: a null text is an empty one; rows without an id neither remove nor lose anything; of rows with equal texts
@@ -172,16 +173,19 @@ def shared_segments(block: Block, classes: np.ndarray) -> tuple[Segments, Segmen
     sides = np.zeros((2, len(s.key)), np.uint8)
     sides[0, left], sides[1, right] = found[: len(left)], found[len(left):]
     n_left = s.n_left
-    first = np.where(sides[0] > 0, s.first, s.first + n_left)
-    windows = np.where(sides[0] > 0, n_left, 0) + np.where(sides[1] > 0, s.windows - n_left, 0)
-    cut = Segments.of(doc=s.doc, first=first, windows=windows, key=s.key, place=s.place)
-    kept = windows > 0
-    hot = (sides == 2).any(axis=0)
-    return cut.take(np.flatnonzero(kept & ~hot)), cut.take(np.flatnonzero(kept & hot))
+
+    def cut(kind: int) -> Segments:
+        has = sides == kind
+        first = np.where(has[0], s.first, s.first + n_left)
+        windows = np.where(has[0], n_left, 0) + np.where(has[1], s.windows - n_left, 0)
+        own = Segments.of(doc=s.doc, first=first, windows=windows, key=s.key, place=s.place)
+        return own.take(np.flatnonzero(windows > 0))
+
+    return cut(1), cut(2)
 
 
 def repeated(totals: np.ndarray, hot: int = HOT_DOCUMENTS) -> np.ndarray:
-    """0: one document; 1: some; 2: so many that segments are cut into windows."""
+    """0: one document; 1: some; 2: so many that the windows become single ones."""
     return np.where(totals <= 1, 0, np.where(totals < hot, 1, 2))
 
 

@@ -57,6 +57,19 @@ def test_sizes_do_not_change_results(frame, copies, sizes):
     assert answer(repeats_removed(frame(copies), **sizes)) == brute(copies)
 
 
+@pytest.mark.parametrize("hot", [3, 8, 20])
+def test_frequent_texts_with_edited_tails(frame, prose, hot):
+    """A window beside a frequent string meets its equals where what lies on the mark's other side is rare."""
+    rng, rows = random.Random(6), []
+    licence = prose(1, 40)
+    for i in range(40):
+        cut = rng.randrange(len(licence) // 2, len(licence))
+        rows.append((3 * i, licence + " " + prose(50 + i // 3, 20)))
+        rows.append((3 * i + 1, licence[:cut] + "#" + licence[cut + 1:] + " " + prose(50 + i // 3, 20)))
+        rows.append((3 * i + 2, prose(900 + i, 12) + licence[cut - rng.randrange(20, 90):] + " " + prose(50 + i // 2, 20)))
+    assert answer(repeats_removed(frame(rows), hot=hot, collection_bytes=300)) == brute(rows)
+
+
 def test_empty_table(frame):
     assert repeats_removed(frame([])).count() == 0
 
