@@ -8,7 +8,9 @@ of the steps; windows that agree on all of them are candidates.
 Every word of every text starts a window, and so does every word of an item from which the sampled steps end within the
 item; a start anywhere makes step 0 as good as any other first sample, so all repetitions take it. Sampled steps lie close
 together or further apart, for windows of the sizes of short and long items. One repetition's walk always moves, so that
-an exact copy of any searched item is found. Windows are followed sample by sample and dropped once the words so far
+an exact copy of any searched item is found. Items of at most ``SHORT_WORDS`` words give too few different samples, so they
+are found without chance: of one more parts than edits are allowed, at least one is left whole, and each place that holds a
+part is a candidate if enough of the item's words lie around it. Windows are followed sample by sample and dropped once the words so far
 begin no item's key, which changes no result. Candidates are compared by exact edit distance (bit-parallel, the item
 against any stretch of the region).
 
@@ -32,6 +34,8 @@ from gaugework.llm.common import documents, small_batches, table
 from gaugework.llm.registry import query
 
 MIN_WORDS = 5
+# Items of up to so many words are searched by their parts.
+SHORT_WORDS = 15
 SIMILARITY = 0.8
 SAMPLED = 5
 # Sampled steps must read so many different places of an item, or its key would be a few frequent words.
@@ -42,6 +46,7 @@ SEED = 77
 BLOCK_ITEMS, BLOCK_CHARS = 1000, 4_000_000
 PORTION_CHARS = 4_000_000
 NO_WORD = np.uint64(0)
+AROUND_ROWS = 1 << 16  # candidates whose surroundings are compared at once
 
 FOUND = "doc_id long, item_id long, edits int, item_words int, start_word long, end_word long"
 
@@ -114,8 +119,16 @@ def repetitions(seed: int = SEED, plan: list = REPETITIONS, sampled: int = SAMPL
     return out
 
 
+def run_keys(x: np.ndarray, length: int) -> np.ndarray:
+    """Key of the ``length`` words from each place on; past the end there are none."""
+    key = np.zeros(len(x), np.uint64)
+    for j in range(length):
+        key = longer_key(key, np.concatenate([x[j:], np.zeros(min(j, len(x)), np.uint64)]))
+    return key
+
+
 class Index:
-    """Keys of a block's items for all repetitions."""
+    """Keys of a block's items for all repetitions, and of the parts of short items."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY) -> None:
         read = [(i, w) for (i, _), w in zip(items, words_of([t for _, t in items])) if len(w) >= MIN_WORDS]
@@ -144,6 +157,51 @@ class Index:
             own = np.flatnonzero((x[p] != NO_WORD) & (moved >= DIFFERENT))
             ordered = own[np.argsort(keys[-1][own], kind="stable")]
             self.tables.append((seed, steps, [self.filter(k[own]) for k in keys[1:-1]], keys[-1][ordered], ordered))
+        self.parts = self.short_parts(arrays)
+
+    def short_parts(self, arrays: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By length of part: a filter of the keys, the keys in order, and the item and first word of each."""
+        short = [i for i, n in enumerate(self.lengths) if n <= SHORT_WORDS]
+        self.short_words = np.zeros((len(arrays), SHORT_WORDS), np.uint64)
+        found: dict[int, list[tuple[int, int]]] = {}
+        for i in short:
+            self.short_words[i, :self.lengths[i]] = arrays[i]
+            cuts = np.linspace(0, self.lengths[i], self.edits[i] + 2).astype(int).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                found.setdefault(b - a, []).append((i, a))
+        out = []
+        for length, rows in found.items():
+            item, word = np.array(rows).T
+            key = np.array([run_keys(arrays[i][a:a + length], length)[0] for i, a in rows], np.uint64)
+            order = np.argsort(key, kind="stable")
+            out.append((length, self.filter(key), key[order], item[order], word[order]))
+        return out
+
+    def short_candidates(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """(place in x, word of the item, item) where a part of a short item lies among enough of its words."""
+        lengths, edits = np.array(self.lengths), np.array(self.edits)
+        for length, seen, last, item, word in self.parts:
+            key = run_keys(x, length)
+            place = np.flatnonzero(seen[(key & np.uint64(len(seen) - 1)).astype(np.int64)])
+            low, high = np.searchsorted(last, key[place], "left"), np.searchsorted(last, key[place], "right")
+            ends = np.cumsum(high - low)
+            for start in range(0, int(ends[-1]) if len(ends) else 0, AROUND_ROWS):
+                nth = np.arange(start, min(start + AROUND_ROWS, int(ends[-1])))
+                hit = np.searchsorted(ends, nth, "right")
+                which = high[hit] - (ends[hit] - nth)
+                at, i, w = place[hit], item[which], word[which]
+                slack, n = edits[i], lengths[i]
+                begin = at - w - slack
+                common = np.zeros(len(at), np.int64)
+                around = np.arange(SHORT_WORDS + 2 * int(slack.max()))
+                spots = begin[:, None] + around
+                inside = (spots >= 0) & (spots < len(x)) & (around < (n + 2 * slack)[:, None])
+                near = np.where(inside, x[np.clip(spots, 0, len(x) - 1)], NO_WORD)
+                for j in range(SHORT_WORDS):
+                    own = self.short_words[i, j]
+                    common += (own != NO_WORD) & (near == own[:, None]).any(axis=1)
+                kept = common >= n - slack
+                yield np.stack([at, w, i])[:, kept]
 
     @staticmethod
     def filter(keys: np.ndarray) -> np.ndarray:
@@ -184,6 +242,7 @@ class Index:
             which = np.repeat(low[hit] - np.cumsum(times) + times, times) + np.arange(times.sum())
             anchor = owner[which]
             found.append(np.stack([np.repeat(start[hit], times), self.place[anchor], self.owner[anchor]]))
+        found += self.short_candidates(x)
         hits = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
         return hits[0], hits[1], hits[2]
 

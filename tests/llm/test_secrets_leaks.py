@@ -141,3 +141,14 @@ def test_exact_copies_of_short_items_are_found(prose):
     index = Index(items)
     for k, text in items:
         assert any(f[0] == k and f[1] == 0 for f in next(index.search([f"x y {text} z"])))
+
+
+def test_short_items_with_all_allowed_edits_are_found(prose):
+    rng, names = random.Random(8), prose(0, 900).split()
+    for n in range(5, 16):
+        items = [(k, prose(100 * n + k, n)) for k in range(40)]
+        index = Index(items)
+        texts = [f"{prose(k, 30)} {' '.join(edited(rng, read(t), allowed(n), names))} {prose(k + 1, 30)}" for k, t in items]
+        for (k, text), found in zip(items, index.search([" ".join(read(t)) for t in texts])):
+            want = nearest(read(text), read(texts[k]))
+            assert [f[1] for f in found if f[0] == k] == [want]
