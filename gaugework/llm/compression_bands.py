@@ -1,9 +1,9 @@
 """Quality rules: counts of words, symbols, repeated lines and windows, and zstandard compression bands.
 
 A text is kept if the base rules pass and its compression ratio (bytes over compressed bytes) lies in the band of its
-length. The whole text has one band; if it is longer than one chunk, each whole chunk of ``CHUNK`` bytes is compressed on its
-own, and a text is rejected if more than ``BAD_CHUNKS`` of them leave the chunk band. Repetitive text compresses too well,
-noise and encoded data too little.
+length. The whole text has one band; if it is longer than one chunk, each chunk of ``CHUNK`` bytes is compressed on its own, the
+last one being the last ``CHUNK`` bytes even where it overlaps the one before, and a text is rejected if more than
+``BAD_CHUNKS`` of them leave the chunk band. Repetitive text compresses too well, noise and encoded data too little.
 
 Defined cases: a null text is an empty one: no words, so the base rules fail; repeated rows are judged each; an empty
 table gives no rows; other columns are ignored.
@@ -101,7 +101,8 @@ class Bands:
         low, high = next((a, b) for size, a, b in self.bands if len(raw) <= size)
         chunks = bad = 0
         if len(raw) > self.chunk:
-            for at in range(0, len(raw) - self.chunk + 1, self.chunk):
+            last = len(raw) - self.chunk
+            for at in (*range(0, last, self.chunk), last):
                 chunks += 1
                 bad += not CHUNK_BAND[0] <= self.chunk / len(self.pack(raw[at:at + self.chunk])) <= CHUNK_BAND[1]
         return ratio, chunks, bad, low <= ratio <= high and bad <= BAD_CHUNKS * chunks

@@ -115,6 +115,17 @@ def test_bands(prose):
     assert not kept and ratio > 4
 
 
+def test_noise_at_the_end_is_judged_as_at_the_start(prose):
+    rng = np.random.default_rng(2)
+    noise = " ".join("".join(chr(c) for c in rng.integers(33, 127, 60)) for _ in range(62))
+    words = prose(1, 900)[:3900]
+    for text in (f"{words} {noise}", f"{noise} {words}"):
+        *_, failed, kept, ratio, chunks, bad = measure(text, Bands())
+        assert 4096 < len(text.encode()) < 8192 and 1.4 <= ratio <= 3.8
+        assert (failed, kept, chunks, bad) == (False, False, 2, 1)
+    assert Bands().judge(prose(1, 3000).encode()[:8192])[1:3] == (2, 0)
+
+
 def test_clean_documents_stay(scored, spark):
     rules = QUERIES["op3_compression_bands"](spark, SF).toPandas().merge(scored[["doc_id", "quality"]], on="doc_id")
     clean = rules[(rules.quality == 1) & ~rules.base_failed]
