@@ -1,32 +1,25 @@
 """Choosing a configuration: best rows, constrained selection, frontier picks, rules.
 
-Constrained selection answers many requirement rows against one table of
-configurations through an index (``lookup.py``): limits are bisected, their
-combination is a few words of bitmap, and no (requirement, configuration) pair
-is ever visited. The index is built by each task from a chunk of at most
-``chunk_rows`` configurations; results of several chunks are merged.
+Constrained selection answers many requirement rows against one table of configurations through a grid (``dominance.py``):
+what lies in parts that pass as a whole comes from one cumulative cell, and only the configurations in the parts that
+the limits run through are compared one by one. All of it is joins, windows and aggregates; nothing is collected but the
+cuts of the grid.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from gaugework.functions.scalars import half_even, safe_div, with_defaults
-from gaugework.operators.lookup import Index
+from gaugework.functions.scalars import finite, half_even, safe_div, with_defaults
+from gaugework.functions.steps import steps_passed
+from gaugework.operators.dominance import (
+    AXES, Grid, cumulative_cells, grid_over, staircase, with_strips)
 from gaugework.operators.picks import first_by
 from gaugework.operators.positions import with_position
 from gaugework.session import materialise, small_side
 from gaugework.sources.catalog import GOALS, NO_MATCH, REASONS
 
-CHUNK_ROWS = 20_000
 # Defaults of a configuration that lacks a column.
 CONFIG_DEFAULTS = {"model_name": "unknown", "quantization": "fp16", "batch_size": 8,
                    "infrastructure": "g5.xlarge"}
@@ -67,109 +60,133 @@ def fastest_model(requests: DataFrame) -> DataFrame:
 
 # ---- constrained selection ---------------------------------------------------
 
-_FIELDS = ["config_id", "model_name", "quantization", "batch_size", "infrastructure",
-           "deployment_type", "p95_latency_ms", "cost_per_1m_tok", "throughput"]
-_LIMITS = ["workload_type", "max_latency_p95_ms", "min_quality_score", "monthly_budget_usd",
-           "monthly_tokens_millions", "prefer_self_hosted"]
+_DETAILS = ["config_id", "model_name", "quantization", "batch_size", "infrastructure"]
+_LIMITS = ["__kind", "__latency", "__quality", "__budget", "__volume", "__prefer"]
+_FACTS = {"p95": "__p95", "worse": "__worse", "cost": "__cost", "speed": "__speed", "own": "__own",
+          "id": "config_id", "c": "__c"}
 _COUNTS = ["n_latency", "n_quality", "n_budget", "n_own"]
-_PEAKS = ["max_p95", "max_cost", "own_p95", "own_cost"]
-_PICK = ("__objective double, __config_id string, __model_name string, __quantization string, "
-         "__batch_size int, __infrastructure string, __cost double")
+# What each goal looks for: the least of a value, ties by id. ``any`` stands for costs of a volume of 0.
+_PICKS = {"near": "p95", "cheap": "cost", "fast": "-speed", "any": "0D"}
 
 
-def _chunks(configs: DataFrame, chunk_rows: int) -> tuple[list[pd.DataFrame], int, bool]:
-    """The configurations in chunks of at most ``chunk_rows`` rows, which bounds what a task gets, and their number.
+def _grid(configs: DataFrame, strip_rows: int | None) -> tuple[Grid, bool]:
+    """The configurations, numbered and written, on a grid over latency, quality (the worse, the larger) and cost."""
+    has_quality = "quality_score" in configs.columns
+    rows = materialise(with_defaults(configs, CONFIG_DEFAULTS).select(
+        F.monotonically_increasing_id().alias("__c"), *_DETAILS,
+        F.coalesce(F.col("deployment_type") == "self_hosted", F.lit(False)).alias("__own"),
+        finite("p95_latency_ms").alias("__p95"),
+        (-finite("quality_score") if has_quality else F.lit(0.0)).alias("__worse"),
+        finite("cost_per_1m_tok").alias("__cost"), finite("throughput").alias("__speed")), "configs")
+    return grid_over(rows, ("__p95", "__worse", "__cost"), strip_rows), has_quality
+
+
+def _asked(reqs: DataFrame, grid: Grid, has_quality: bool) -> DataFrame:
+    """The requirement rows, numbered, with their limits and the part of each axis that these run through."""
+    volume = F.col("monthly_tokens_millions").cast("double")
+    error = F.raise_error(F.lit("a monthly volume is negative")).cast("double")
+    rows = reqs.select(
+        F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__req"),
+        F.coalesce("workload_type", F.lit("")).alias("__kind"), finite("max_latency_p95_ms").alias("__latency"),
+        (finite("min_quality_score") if has_quality else F.lit(0.0)).alias("__quality"),
+        finite("monthly_budget_usd").alias("__budget"), F.when(volume < 0, error).otherwise(volume).alias("__volume"),
+        F.coalesce("prefer_self_hosted", F.lit(False)).alias("__prefer"))
+    tests = ("{} <= __latency", "{} <= -__quality", "{} * __volume <= __budget")
+    return rows.select("*", *[steps_passed(b, t).alias(a) for a, b, t in zip(AXES, grid.bounds, tests)])
+
+
+def _measures(picking: bool) -> dict[str, tuple[str, str]]:
+    """What is wanted of the configurations within all limits: of every one, and of the self-hosted ones (``own_``)."""
+    out = {"n_budget": ("sum", "1"), "n_own": ("sum", "if(__own, 1, 0)")}
+    for prefix, test in (("", "true"), ("own_", "__own")) if picking else ():
+        out |= {f"{prefix}top_{v}": ("max", f"if({test}, __{v}, NULL)") for v in ("p95", "cost")}
+        for pick, value in _PICKS.items():
+            value = value.replace("p95", "__p95").replace("cost", "__cost").replace("speed", "__speed")
+            entry = f"named_struct('value', {value}, 'id', config_id, 'c', __c)"
+            out[f"{prefix}{pick}"] = ("min", f"if({test} AND {value} IS NOT NULL, {entry}, NULL)")
+    return out
+
+
+def _counted(asked: DataFrame, grid: Grid, picking: bool) -> DataFrame:
+    """Every requirement row with its counts and, with ``picking``, what its choice may need of the set it chooses from."""
+    known = asked.join(cumulative_cells(grid, _measures(picking)), list(AXES), "left")
+    lists = (
+        with_strips(known, grid, _FACTS)
+        .selectExpr("* EXCEPT (on_x)", "filter(on_x, e -> e.p95 <= __latency) AS fast_rows")
+        .selectExpr("* EXCEPT (on_y)", "concat(filter(fast_rows, e -> e.worse <= -__quality),"
+                    " filter(on_y, e -> e.worse <= -__quality)) AS good_rows")
+        .selectExpr("* EXCEPT (on_z)", "filter(concat(good_rows, on_z), e -> e.cost * __volume <= __budget) AS paid_rows")
+    )
+    counts = [f"CAST(coalesce({cell}, 0) + size({rows}) AS LONG) AS {name}" for name, cell, rows in zip(
+        _COUNTS, ("n_x", "n_xy", "n_budget", "n_own"),
+        ("fast_rows", "good_rows", "paid_rows", "filter(paid_rows, e -> e.own)"))]
+    ours = [c for c in asked.columns]
+    if not picking:
+        return lists.selectExpr(*ours, *counts)
+    cells = [f"{p}{m}" for m in ("top_p95", "top_cost", *_PICKS) for p in ("", "own_")]
+    chosen = lists.selectExpr(*ours, *counts, *cells, "paid_rows").selectExpr(
+        "*", "__prefer AND n_own > 0 AS __use_own").selectExpr(
+        "*", "if(__use_own, filter(paid_rows, e -> e.own), paid_rows) AS left_rows")
+    of_set = {m: f"if(__use_own, own_{m}, {m})" for m in ("top_p95", "top_cost", *_PICKS)}
+    tops = [f"greatest({of_set[f'top_{v}']}, array_max(transform(left_rows, e -> e.{v}))) AS top_{v}" for v in ("p95", "cost")]
+    picks = []
+    for pick, value in _PICKS.items():
+        value = value if pick == "any" else value.replace(value.lstrip("-"), f"e.{value.lstrip('-')}")
+        entry = f"if({value} IS NULL, NULL, named_struct('value', {value}, 'id', e.id, 'c', e.c))"
+        picks.append(f"array_min(array_compact(array({of_set[pick]},"
+                     f" array_min(array_compact(transform(left_rows, e -> {entry})))))) AS {pick}")
+    return chosen.selectExpr(*ours, *_COUNTS, "__use_own", *tops, *picks)
 
-    A chunk is a residue of the hashed id, and all chunks together are the summary table, far smaller than the log.
+
+def _balanced(chosen: DataFrame, grid: Grid) -> DataFrame:
+    """(__row, __best): the least weighted score of latency and cost among the configurations within the limits.
+
+    Of the parts that pass the quality limit as a whole only those can win which no other beats in latency and cost: a
+    staircase per part and set. The part that the limit runs through is compared row by row.
     """
-    has_quality = "quality_score" in configs.columns
-    full = with_defaults(configs, CONFIG_DEFAULTS)
-    slim = materialise(full.select(*_FIELDS, *(["quality_score"] if has_quality else [])), "configs")
-    n = slim.count()
-    chunks = max(1, -(-n // chunk_rows))
-    place = F.pmod(F.xxhash64("config_id"), F.lit(chunks))
-    parts = [slim.filter(place == c).toPandas().sort_values("config_id", kind="stable") for c in range(chunks)]
-    return parts, n, has_quality
-
-
-def _index(part: pd.DataFrame, has_quality: bool) -> Index:
-    number = lambda c: pd.to_numeric(part[c]).to_numpy(dtype=float, na_value=np.nan)
-    return Index(number("p95_latency_ms"), number("cost_per_1m_tok"), number("throughput"),
-                 number("quality_score") if has_quality else None,
-                 (part["deployment_type"] == "self_hosted").to_numpy(dtype=bool, na_value=False))
-
-
-def _measured(part: pd.DataFrame, has_quality: bool, picking: bool, peaks_known: bool):
-    """A batch function: appends counts, largest values and, with ``picking``, the best configuration of a chunk."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(part, has_quality)
-        values = {f: part[f].tolist() for f in _FIELDS}
-        for batch in batches:
-            names, columns = batch.schema.names, [batch.column(i) for i in range(batch.num_columns)]
-            asked = {n: batch.column(names.index(n)).to_pylist() for n in [*_LIMITS, *(_COUNTS + _PEAKS) * peaks_known]}
-            found = []
-            for i in range(batch.num_rows):
-                ask = {n: v[i] for n, v in asked.items()}
-                volume = ask["monthly_tokens_millions"]
-                bits, own, counts, ranks = index.limits(
-                    ask["max_latency_p95_ms"], ask["min_quality_score"], ask["monthly_budget_usd"], volume)
-                if peaks_known:
-                    peaks, n_own = [ask[p] for p in _PEAKS], ask["n_own"]
-                else:
-                    every = [index.peaks(b, ranks) for b in (bits, own)]
-                    peaks = [v if v == v else None for p, c in every for v in (p, c * (volume or 0.0))]
-                    n_own = counts[3]
-                row = [] if peaks_known else [*counts, *peaks]
-                if picking:
-                    use_own = bool(ask["prefer_self_hosted"]) and n_own > 0
-                    tops = peaks[2:] if use_own else peaks[:2]
-                    best = index.pick(ask["workload_type"], own if use_own else bits, ranks, volume or 0.0, use_own,
-                                      *(t or 0.0 for t in tops))
-                    row += [None] * 7 if best is None else [best[0], *(
-                        values[f][best[1]] for f in (*_FIELDS[:5], "cost_per_1m_tok"))]
-                found.append(row)
-            types = ([] if peaks_known else [pa.int64()] * 4 + [pa.float64()] * 4) + (
-                [pa.float64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64()] if picking else [])
-            new = list(zip(*found)) or [()] * len(types)
-            fields = ([] if peaks_known else _COUNTS + _PEAKS) + [p.split()[0] for p in _PICK.split(", ")] * picking
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, t) for v, t in zip(new, types))],
-                                             names=[*names, *fields])
-
-    return rows
-
-
-def _with_fields(df: DataFrame, part: pd.DataFrame, has_quality: bool, picking: bool, peaks_known: bool) -> DataFrame:
-    more = ([] if peaks_known else [f"{c} long" for c in _COUNTS] + [f"{p} double" for p in _PEAKS]) + [_PICK] * picking
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(", ".join(more)).fields])
-    return df.mapInArrow(_measured(part, has_quality, picking, peaks_known), schema)
-
-
-def _answered(configs: DataFrame, reqs: DataFrame, chunk_rows: int, picking: bool) -> tuple[DataFrame, int, bool]:
-    """Every requirement row with its counts and, with ``picking``, its best configuration."""
-    parts, n, has_quality = _chunks(configs, chunk_rows)
-    if len(parts) == 1:
-        return _with_fields(reqs, parts[0], has_quality, picking, False), n, has_quality
-    # rows are numbered, so that requirements that repeat an id stay apart
-    numbered = materialise(reqs.withColumn("__row", F.monotonically_increasing_id()), "requirements")
-
-    def over_chunks(df: DataFrame, picking: bool, peaks_known: bool) -> DataFrame:
-        each = [_with_fields(df, part, has_quality, picking, peaks_known) for part in parts]
-        return reduce(DataFrame.unionByName, each)
-
-    limits = over_chunks(numbered.select("__row", *_LIMITS), False, False).groupBy("__row").agg(
-        *[F.sum(c).alias(c) for c in _COUNTS], *[F.max(p).alias(p) for p in _PEAKS])
-    counted = materialise(numbered.join(limits, "__row"), "counted")
-    if picking:
-        picks = over_chunks(counted.select("__row", *_LIMITS, *_COUNTS, *_PEAKS), True, True)
-        fields = [p.split()[0] for p in _PICK.split(", ")]
-        best = picks.filter("__objective IS NOT NULL").groupBy("__row").agg(
-            F.min_by(F.struct(*fields), F.struct("__objective", "__config_id")).alias("__best"))
-        counted = counted.join(best, "__row", "left").select(*counted.columns, "__best.*")
-    return counted.drop("__row"), n, has_quality
-
-
-def select_configs(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    ties, last = ["config_id", "__c"], len(grid.bounds[1])
+    rows = grid.rows.select("__p95", "__worse", "__cost", "__own", *ties, grid.parts()[1]).dropna(
+        subset=["__p95", "__worse", "__cost"])
+    sets = rows.withColumn("__set", F.explode(F.when(F.col("__own"), F.array(F.lit(False), F.lit(True)))
+                                              .otherwise(F.array(F.lit(False)))))
+    own = staircase(sets, ["__set", "__y"], "__p95", "__cost", ties)
+    above = own.filter(F.col("__y") < last).withColumn("__y", F.explode(F.sequence(F.col("__y") + 1, F.lit(last))))
+    passing = staircase(above, ["__set", "__y"], "__p95", "__cost", ties).withColumn("__worse", F.lit(None).cast("double"))
+    found = passing.unionByName(sets).select("__set", F.col("__y").alias("__part"), "__worse", "__p95", "__cost", *ties)
+    within = (
+        (F.col("__set") == F.col("__use_own")) & (F.col("__part") == F.col("__y"))
+        & (F.col("__p95") <= F.col("__latency")) & (F.col("__cost") * F.col("__volume") <= F.col("__budget"))
+        & (F.col("__worse").isNull() | (F.col("__worse") <= -F.col("__quality"))))
+    score = (safe_div("__p95", "top_p95") * 0.6
+             + safe_div(F.col("__cost") * F.col("__volume"), "top_cost") * 0.4).alias("value")
+    wanted = chosen.filter((F.col("__kind") == "interactive_app") & (F.col("top_cost") > 0)).select(
+        "__row", "__y", "__use_own", "__latency", "__quality", "__budget", "__volume", "top_p95", "top_cost")
+    return wanted.join(found, within).groupBy("__row").agg(
+        F.min(F.struct(score, F.col("config_id").alias("id"), F.col("__c").alias("c"))).alias("__best"))
+
+
+def _picked(configs: DataFrame, reqs: DataFrame, strip_rows: int | None) -> tuple[DataFrame, Grid, bool]:
+    """Every requirement row with its counts and ``__pick``: (objective, id, number of the configuration)."""
+    grid, has_quality = _grid(configs, strip_rows)
+    counted = _counted(_asked(reqs, grid, has_quality), grid, True)
+    chosen = materialise(counted.withColumn("top_cost", F.col("top_cost") * F.col("__volume")), "chosen")
+
+    def scaled(pick: str, value: Column) -> Column:
+        entry = F.struct(value.alias("value"), F.col(f"{pick}.id").alias("id"), F.col(f"{pick}.c").alias("c"))
+        return F.when(F.col(pick).isNotNull(), entry)
+
+    costs = F.when(F.col("__volume") == 0, F.col("any")).otherwise(scaled("cheap", F.col("cheap.value") * F.col("__volume")))
+    # without costs, the weighted score is that of the latency alone
+    latency = scaled("near", safe_div("near.value", "top_p95") * 0.6)
+    pick = (
+        F.when(F.col("__kind") == "real_time_chat", F.col("near")).when(F.col("__kind") == "high_throughput", F.col("fast"))
+        .when(F.col("__kind") == "interactive_app", F.when(F.col("top_cost") > 0, F.col("__best")).otherwise(latency))
+        .otherwise(costs))
+    joined = chosen.join(_balanced(chosen, grid), "__row", "left")
+    return joined.select("__req", "__volume", *_COUNTS, pick.alias("__pick")), grid, has_quality
+
+
+def select_configs(configs: DataFrame, reqs: DataFrame, strip_rows: int | None = None) -> DataFrame:
     """One recommendation per requirement row.
 
     Limits on p95 latency, quality (when known) and monthly cost are applied in
@@ -177,24 +194,30 @@ def select_configs(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_
     Real-time chat takes the lowest latency, interactive apps the lowest
     0.6 * latency + 0.4 * cost (each relative to the largest left), high
     throughput the highest throughput, anything else the lowest cost. Ties go
-    to the smallest ``config_id``. Without a match the reason names the first
-    limit that nothing met.
+    to the smallest ``config_id``; products and scores that differ by rounding
+    alone are told apart by the costs and latencies behind them. Without a match
+    the reason names the first limit that nothing met. A missing or NaN limit is
+    met by nothing. ``strip_rows`` sets how fine the grid is, not the result.
     """
-    picked, n, has_quality = _answered(configs, reqs, chunk_rows, True)
-    found, none = F.col("__objective").isNotNull(), F.lit("N/A")
-    monthly = F.col("__cost") * F.col("monthly_tokens_millions")
+    picked, grid, has_quality = _picked(configs, reqs, strip_rows)
+    details = grid.rows.select("__c", "__cost", *_DETAILS)
+    details = F.broadcast(details) if grid.small else details
+    found, none = F.col("__pick").isNotNull(), F.lit("N/A")
+    fields = [F.col(f"__req.{c}").alias(c) for c in reqs.columns]
+    monthly = F.col("__d.__cost") * F.col("__volume")
     return (
-        picked.withColumn("n_configs", F.lit(n))
+        picked.join(details.select(F.col("__c"), F.struct("*").alias("__d")), F.col("__pick.c") == F.col("__c"), "left")
+        .withColumn("n_configs", F.lit(grid.n).cast("long"))
         .withColumn("reasoning", _reasoning(found, has_quality))
         .select(
-            *reqs.columns, *_COUNTS[:3],
-            F.col("__config_id").alias("config_id"),
-            F.when(found, F.col("__model_name")).otherwise("No match").alias("model_name"),
-            F.when(found, F.col("__quantization")).otherwise(none).alias("quantization"),
-            F.coalesce("__batch_size", F.lit(0)).alias("batch_size"),
-            F.when(found, F.col("__infrastructure")).otherwise(none).alias("infrastructure"),
+            *fields, *_COUNTS[:3],
+            F.col("__pick.id").alias("config_id"),
+            F.when(found, F.col("__d.model_name")).otherwise("No match").alias("model_name"),
+            F.when(found, F.col("__d.quantization")).otherwise(none).alias("quantization"),
+            F.when(found, F.col("__d.batch_size")).otherwise(F.lit(0)).cast("int").alias("batch_size"),
+            F.when(found, F.col("__d.infrastructure")).otherwise(none).alias("infrastructure"),
             F.coalesce(half_even(monthly, 2), F.lit(0.0)).alias("estimated_cost_monthly"),
-            F.col("__objective").alias("objective"),
+            F.col("__pick.value").alias("objective"),
             found.alias("meets_requirements"),
             "reasoning",
         )
@@ -204,15 +227,15 @@ def select_configs(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_
 def _reasoning(found: Column, has_quality: bool) -> Column:
     """The steps taken, or the first limit that nothing met."""
     steps = [F.format_string(
-        REASONS["latency"], F.col("max_latency_p95_ms").cast("string"), F.col("n_latency"), F.col("n_configs"))]
+        REASONS["latency"], F.col("__req.max_latency_p95_ms").cast("string"), F.col("n_latency"), F.col("n_configs"))]
     if has_quality:
         steps.append(F.format_string(
-            REASONS["quality"], F.format_number(F.col("min_quality_score") * 100, 0), F.col("n_quality")))
-    steps.append(F.format_string(REASONS["budget"], F.format_number("monthly_budget_usd", 0), F.col("n_budget")))
-    steps.append(F.when(F.col("prefer_self_hosted") & (F.col("n_own") > 0), REASONS["self_hosted"]))
+            REASONS["quality"], F.format_number(F.col("__req.min_quality_score") * 100, 0), F.col("n_quality")))
+    steps.append(F.format_string(REASONS["budget"], F.format_number("__req.monthly_budget_usd", 0), F.col("n_budget")))
+    steps.append(F.when(F.col("__req.prefer_self_hosted") & (F.col("n_own") > 0), REASONS["self_hosted"]))
     goal = F.lit(REASONS["default"])
     for kind, text in GOALS.items():
-        goal = F.when(F.col("workload_type") == kind, text).otherwise(goal)
+        goal = F.when(F.col("__req.workload_type") == kind, text).otherwise(goal)
     steps.append(goal)
     return F.when(found, F.array_compact(F.array(*steps))).otherwise(
         F.array(no_match_reason(), F.lit(NO_MATCH["hint"])))
@@ -225,10 +248,11 @@ def no_match_reason() -> Column:
         .otherwise(NO_MATCH["budget"]))
 
 
-def constraint_funnel(configs: DataFrame, reqs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def constraint_funnel(configs: DataFrame, reqs: DataFrame, strip_rows: int | None = None) -> DataFrame:
     """How many configurations are left after each limit, per requirement row."""
-    counted, n, _ = _answered(configs, reqs, chunk_rows, False)
-    return counted.select(*reqs.columns, *_COUNTS[:3]).withColumn("n_configs", F.lit(n))
+    grid, has_quality = _grid(configs, strip_rows)
+    counted = _counted(_asked(reqs, grid, has_quality), grid, False)
+    return counted.select("__req.*", *_COUNTS[:3]).withColumn("n_configs", F.lit(grid.n).cast("long"))
 
 
 def weighted_score(df: DataFrame, scope: list[str], latency_weight: float = 0.6) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 # Inputs up to SMALL_ROWS rows may use a plan that holds a group in one task;
-# tables up to BROADCAST_ROWS rows may be broadcast. Both are checked by counting.
+# tables up to BROADCAST_ROWS rows and BROADCAST_BYTES may be broadcast. Both are checked, rows by counting.
 SMALL_ROWS = 1_000_000
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(app: str = "gaugework", cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -71,10 +72,15 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` of so many rows may be broadcast: few rows, and few bytes by Spark's own estimate."""
+    return rows <= BROADCAST_ROWS and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame, written: bool = False) -> DataFrame:
-    """``df`` written down, and marked for broadcast if its rows, counted, are few.
+    """``df`` written down, and marked for broadcast if its rows, counted, and bytes are few.
 
     A larger table is left to a shuffle join.
     """
     table = df if written else materialise(df, "side")
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    return F.broadcast(table) if is_small(table, table.count()) else table
