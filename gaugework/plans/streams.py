@@ -24,6 +24,7 @@ def _requests(spark, sf):
     return tables.shape_requests(_events(spark, sf))
 
 
+_ALERTS = {name: (limit, above) for name, limit, above in catalog.ALERT_THRESHOLDS}
 _GPU = next(t[1:] for t in catalog.ALERT_THRESHOLDS if t[0] == "gpu_utilization")
 
 
@@ -67,12 +68,14 @@ def stream_resource_windows(spark, sf):
         r("cpu_percent"), "gpu_memory_total_mb")
 
 
-@query(with_tables("requests", _HOURLY + """
-, long AS (
-  SELECT window_start, model_name, 'latency_p95_ms' AS metric, p95 AS value, 500 AS t, true AS above FROM hourly
-  UNION ALL SELECT window_start, model_name, 'latency_p99_ms', p99, 1000, true FROM hourly
-  UNION ALL SELECT window_start, model_name, 'throughput_req_s', requests / 3600, 10, false FROM hourly
-  UNION ALL SELECT window_start, model_name, 'error_rate', error_rate, 0.01, true FROM hourly)
+_MEASURED = {"latency_p95_ms": "p95", "latency_p99_ms": "p99", "throughput_req_s": "requests / 3600", "error_rate": "error_rate"}
+_LONG = " UNION ALL ".join(
+    f"SELECT window_start, model_name, '{m}' AS metric, {v} AS value, {_ALERTS[m][0]} AS t, {str(_ALERTS[m][1]).lower()} AS above"
+    " FROM hourly" for m, v in _MEASURED.items())
+
+
+@query(with_tables("requests", _HOURLY + f"""
+, long AS ({_LONG})
 SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, model_name, metric, round(value, 9) AS value
 FROM long WHERE (above AND value > t) OR (NOT above AND value < t)"""))
 def stream_alerts(spark, sf):

@@ -1,23 +1,49 @@
 """Windowed metrics over a live request log or resource feed.
 
-Each function takes a streaming (or batch) DataFrame and returns one; the
-watermark bounds the state, late rows behind it are dropped, and a window is
-emitted once, when the watermark has passed its end. Window percentiles are
-exact order statistics at any size: the state counts rows per window, model and
-value, so a hot model spreads over all tasks, and ranks are taken from these
-counts when the window has closed. What meets in one task then is one entry
-per distinct value of a window.
+Each function takes a streaming (or batch) DataFrame; the watermark bounds the
+state, late rows behind it are dropped, and a window is emitted once, when the
+watermark has passed its end. Most functions return a DataFrame. Window
+percentiles are exact order statistics, which no bounded state can give, so
+they take two steps: the stream counts rows per pane, model and value, and a
+batch plan ranks the counts of closed panes by buckets (``order_statistics``).
+A pane is a window, or for sliding windows the longest stretch that no window
+cuts, so a row is counted once however many windows cover it. A hot model
+spreads over all tasks in both steps; no task gathers a window's values.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.scalars import finite, safe_div
 from gaugework.operators.cost import cost_projection, with_prices
+from gaugework.operators.order_statistics import bucketed, values_at_ranks, wanted_buckets
+from gaugework.session import materialise, small_side
 
 SESSION_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+
+
+@dataclass
+class Closing:
+    """A result that needs a batch plan over what a stream has emitted.
+
+    ``finish`` turns the rows of ``stream``, and the time up to which they are complete (None: all), into the result.
+    With ``alone``, the rows that a micro-batch emits are enough for the results that it closes.
+    """
+
+    stream: DataFrame
+    finish: Callable[[DataFrame, object], DataFrame]
+    alone: bool
+
+    def then(self, step: Callable[[DataFrame], DataFrame]) -> Closing:
+        return Closing(self.stream, lambda rows, until: step(self.finish(rows, until)), self.alone)
 
 
 def without_repeats(stream: DataFrame, key: str = "request_id", delay: str = "10 minutes",
@@ -31,49 +57,85 @@ def _bounds(df: DataFrame, *columns: str) -> DataFrame:
                      *columns)
 
 
-def _order_statistic(counted: str, total: str, fraction: float) -> Column:
-    """The smallest value up to which ``fraction`` of the rows lie, from sorted (value, n) entries."""
-    need = F.greatest(F.ceil(F.lit(fraction) * F.col(total)), F.lit(1)).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("value"))
-    return F.aggregate(counted, start, lambda acc, e: F.struct(
-        (acc["seen"] + e["n"]).alias("seen"),
-        F.when(acc["seen"] >= need, acc["value"]).otherwise(e["value"]).alias("value")))["value"]
+def seconds_of(interval: str) -> int:
+    """Whole seconds of a text such as "10 minutes"."""
+    found = re.fullmatch(r"\s*(\d+)\s+(second|minute|hour|day|week)s?\s*", interval.lower())
+    if not found or not int(found[1]):
+        raise ValueError(f"not a window size in seconds, minutes, hours, days or weeks: {interval!r}")
+    return int(found[1]) * UNITS[found[2]]
 
 
 def latency_windows(stream: DataFrame, size: str = "1 hour", slide: str | None = None,
-                    delay: str = "10 minutes") -> DataFrame:
-    """Requests, latency percentiles, error rate and rates per model and window."""
-    window = F.window("ts", size, slide) if slide else F.window("ts", size)
+                    delay: str = "10 minutes") -> DataFrame | Closing:
+    """Requests, latency percentiles, error rate and rates per model and window.
+
+    Batch input gives a DataFrame with all windows, a stream what ``drain`` or ``follow`` complete. A row is late once the
+    pane that it belongs to has closed.
+    """
+    long, step = seconds_of(size), seconds_of(slide or size)
+    if step > long:
+        raise ValueError(f"the slide {slide!r} is longer than the window {size!r}")
+    pane = math.gcd(long, step)
     counted = (
         stream.withWatermark("ts", delay)
-        .groupBy(window, "model_name", finite("latency_ms").alias("value"))
+        .groupBy(F.window("ts", f"{pane} seconds"), "model_name", finite("latency_ms").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("errors"), F.count("is_error").alias("known"),
              F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+        .select(F.unix_seconds("window.start").alias("pane"), "model_name", "value", "n", "errors", "known", "tokens")
     )
-    has = F.col("value").isNotNull()
-    grouped = (
-        counted.groupBy("window", "model_name")
-        .agg(F.sum("n").alias("requests"), F.sum(F.when(has, F.col("n"))).alias("timed"),
-             F.array_sort(F.collect_list(F.when(has, F.struct("value", "n")))).alias("counted"),
-             (F.sum("errors") / F.nullif(F.sum("known"), F.lit(0))).alias("error_rate"),
-             F.sum("tokens").alias("tokens"))
-    )
-    seconds = F.unix_timestamp("window.end") - F.unix_timestamp("window.start")
-    return _bounds(
-        grouped.withColumns({
-            **{f"latency_p{p}_ms": _order_statistic("counted", "timed", p / 100) for p in (50, 95, 99)},
-            "throughput_req_s": F.col("requests") / seconds,
-            "tokens_per_second": F.col("tokens") / seconds,
-        }),
-        "model_name", "requests", "latency_p50_ms", "latency_p95_ms", "latency_p99_ms",
-        "error_rate", "throughput_req_s", "tokens_per_second")
+
+    def finish(counts: DataFrame, until: object = None) -> DataFrame:
+        return _ranked(counts, long, step, pane, until)
+
+    if stream.isStreaming:
+        return Closing(counted, finish, pane == long)
+    return finish(materialise(counted, "pane-counts"))
+
+
+def _ranked(counts: DataFrame, long: int, step: int, pane: int, until: object) -> DataFrame:
+    """Windows of ``long`` seconds every ``step`` from written counts per pane, model and value."""
+    keys, outputs = ["start", "model_name"], {f"latency_p{p}_ms": p / 100 for p in (50, 95, 99)}
+    counts = bucketed(counts, "value")
+    by_pane = counts.groupBy("pane", "model_name", "__bucket").agg(
+        F.sum("n").alias("__n"), F.min("value").alias("__low"), F.max("value").alias("__high"),
+        F.count(F.lit(1)).alias("__rows"), *[F.sum(c).alias(c) for c in ("errors", "known", "tokens")])
+    # the windows that cover a pane; a row here is a bucket of a pane, not a request
+    first = F.ceil((F.col("pane") + (pane - long)) / step) * step
+    by_window = by_pane.withColumn("start", F.explode(F.sequence(
+        first.cast("long"), (F.floor(F.col("pane") / step) * step).cast("long"), F.lit(step).cast("long"))))
+    if until is not None and pane < long:
+        by_window = by_window.filter(F.col("start") + long <= F.unix_seconds(F.lit(until).cast("timestamp")))
+    buckets = materialise(by_window.groupBy(*keys, "__bucket").agg(
+        F.min("__low").alias("__low"), F.max("__high").alias("__high"),
+        *[F.sum(c).alias(c) for c in ("__n", "__rows", "errors", "known", "tokens")]), "window-buckets")
+    totals = buckets.groupBy(*keys).agg(
+        F.sum("__n").alias("requests"), F.sum("tokens").alias("tokens"),
+        (F.sum("errors") / F.nullif(F.sum("known"), F.lit(0))).alias("error_rate"))
+
+    hits = materialise(wanted_buckets(buckets, keys, list(outputs.values())), "window-ranks")
+    largest = hits.agg(F.max("__rows")).first()[0] or 0
+    wanted = hits.drop("__n", "__rows", "errors", "known", "tokens").withColumn(
+        "__pane", F.explode(F.sequence("start", F.col("start") + (long - pane), F.lit(pane).cast("long")))
+    ).withColumnsRenamed({"model_name": "__model", "__bucket": "__b"})
+    values = counts.filter("value IS NOT NULL").select("pane", "model_name", "__bucket", "value", "n").join(
+        small_side(wanted), (F.col("pane") == F.col("__pane")) & (F.col("__bucket") == F.col("__b"))
+        & F.col("model_name").eqNullSafe(F.col("__model")))
+    values = values.groupBy(*keys, "__bucket", F.col("value").alias("__value")).agg(
+        F.sum("n").alias("__n"), *[F.first(c).alias(c) for c in ("__before", "__total", "__low", "__high")])
+    ranks = values_at_ranks(values, keys, outputs, largest).withColumnsRenamed({"start": "__start", "model_name": "__model"})
+    both = totals.join(ranks, (F.col("start") == F.col("__start")) & F.col("model_name").eqNullSafe(F.col("__model")), "left")
+    return both.select(
+        F.timestamp_seconds("start").alias("window_start"), F.timestamp_seconds(F.col("start") + long).alias("window_end"),
+        "model_name", "requests", *outputs, "error_rate", (F.col("requests") / long).alias("throughput_req_s"),
+        (F.col("tokens") / long).alias("tokens_per_second"))
 
 
 def sliding_p95(stream: DataFrame, size: str = "10 minutes", slide: str = "1 minute",
-                delay: str = "10 minutes") -> DataFrame:
+                delay: str = "10 minutes") -> DataFrame | Closing:
     """p95 latency per model over a sliding window."""
-    return latency_windows(stream, size, slide, delay).select(
-        "window_start", "window_end", "model_name", "requests", "latency_p95_ms")
+    columns = ["window_start", "window_end", "model_name", "requests", "latency_p95_ms"]
+    found = latency_windows(stream, size, slide, delay)
+    return found.then(lambda df: df.select(*columns)) if isinstance(found, Closing) else found.select(*columns)
 
 
 def resource_windows(stream: DataFrame, size: str = "5 seconds", delay: str = "10 minutes",
@@ -93,8 +155,11 @@ def resource_windows(stream: DataFrame, size: str = "5 seconds", delay: str = "1
                    "gpu_utilization")
 
 
-def alerts(windows: DataFrame, thresholds: DataFrame, keys: list[str] = ("model_name",)) -> DataFrame:
+def alerts(windows: DataFrame | Closing, thresholds: DataFrame,
+           keys: list[str] = ("model_name",)) -> DataFrame | Closing:
     """Windows whose metrics pass a threshold; ``thresholds`` is a short static table."""
+    if isinstance(windows, Closing):
+        return windows.then(lambda df: alerts(df, thresholds, keys))
     known = ["latency_p95_ms", "latency_p99_ms", "throughput_req_s", "gpu_utilization", "error_rate"]
     metrics = [m for m in known if m in windows.columns]
     ids = ["window_start", "window_end", *keys]
