@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gaugework.schemas import BENCHMARK_RESULTS, BENCHMARK_RUNS, REQUEST_RESULT
-from gaugework.sources import catalog, store
+from gaugework.sources import catalog, commits, store
 
 
 def results(spark, run, n):
@@ -83,3 +84,90 @@ def test_catalog(spark):
     assert {r["preset"]: r["count"] for r in presets} == {
         "quick_test": 2, "cost_optimized": 3, "quality_focused": 2, "full_suite": 6}
     assert catalog.kv_caches(spark).count() == 3 and catalog.quantizations(spark).count() == 3
+
+
+def run_rows(spark, *ids):
+    return spark.createDataFrame([(i, f"r{i}", "m", "qa", 4, 10, None) for i in ids], BENCHMARK_RUNS)
+
+
+def result_rows(spark, *pairs):
+    return spark.createDataFrame([(i, run, 5.0, 1.0, 1, 1, 0.0, 0.0, 0.0, None) for i, run in pairs], BENCHMARK_RESULTS)
+
+
+def test_second_append_is_checked_against_the_first(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store.save_store(run_rows(spark, *range(50)), result_rows(spark, (1, 3), (2, 49)), path)
+    with pytest.raises(ValueError, match="run 7 is stored twice"):
+        store.save_store(run_rows(spark, 100, 7), result_rows(spark, (3, 100)), path)
+    again = run_rows(spark, 101).withColumn("run_id", F.lit("r8"))
+    with pytest.raises(ValueError, match="run name 'r8' is stored twice"):
+        store.save_store(again, result_rows(spark, (3, 101)), path)
+    with pytest.raises(ValueError, match="result 4 refers to run 100"):
+        store.save_store(run_rows(spark, 102), result_rows(spark, (3, 5), (4, 100)), path)
+    # later results of stored runs, with and without new runs
+    store.save_store(run_rows(spark, 103), result_rows(spark, (3, 5), (4, 103)), path)
+    store.save_store(run_rows(spark), result_rows(spark, (5, 103), (6, 0)), path)
+    runs, found = store.read_store(spark, path)
+    assert sorted(r.id for r in runs.collect()) == [*range(50), 103]
+    assert sorted((r.id, r.run_id) for r in found.collect()) == [(1, 3), (2, 49), (3, 5), (4, 103), (5, 103), (6, 0)]
+    assert store.orphan_results(found, runs).count() == 0
+
+
+def test_key_filter_has_no_misses(spark, tmp_path):
+    path = str(tmp_path)
+    keys = spark.range(5000).selectExpr("concat('id ', id) key")
+    commits.save_keys(keys.filter("key < 'id 3'"), path, "b1")
+    commits.save_keys(keys.filter("key >= 'id 3'"), path, "b2")
+    more = keys.unionByName(spark.range(5000).selectExpr("concat('new ', id) key"))
+    found = {(r.key, r.batch) for r in commits.screened(more, path, ["b1", "b2"]).collect()}
+    assert {(r.key, "b1" if r.key < "id 3" else "b2") for r in keys.collect()} <= found
+    assert len(found) < 5100 and commits.screened(keys, path, []).count() == 0
+
+
+@pytest.mark.parametrize("fmt", store.FORMATS)
+def test_unfinished_write_is_invisible(spark, tmp_path, fmt, monkeypatch):
+    path = str(tmp_path / "r")
+    store.save_results(results(spark, "20240101", 5), path, fmt)
+
+    def stop(*_, **__):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, "commit", stop)
+    with pytest.raises(RuntimeError):
+        store.save_results(results(spark, "20240301", 4), path, fmt)
+    with pytest.raises(RuntimeError):
+        store.save_store(run_rows(spark, 1), result_rows(spark, (1, 1)), str(tmp_path / "s"))
+    monkeypatch.undo()
+    assert store.read_results(spark, path, fmt).count() == 5
+    assert {r.run_id for r in store.latest_run(spark, path, fmt).collect()} == {"20240101"}
+    store.save_store(run_rows(spark, 1), result_rows(spark, (1, 1)), str(tmp_path / "s"))
+    assert [t.count() for t in store.read_store(spark, str(tmp_path / "s"))] == [1, 1]
+
+
+def test_overwrite_and_modes(spark, tmp_path):
+    path = str(tmp_path / "r")
+    for run, mode in (("20240301", "append"), ("20240101", "overwrite"), ("20240102", "append"), ("20240102", "append")):
+        store.save_results(results(spark, run, 3), path, "parquet", mode)
+    assert store.read_results(spark, path, "parquet").count() == 9
+    assert store.latest_run(spark, path, "parquet").count() == 6
+    with pytest.raises(ValueError, match="mode"):
+        store.save_results(results(spark, "x", 1), path, mode="ignore")
+
+
+def test_rows_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = results(spark, "20240101", 40)
+    store.save_results(df.mapInArrow(count, df.schema), str(tmp_path / "r"), "json")
+    assert seen.value == 40 and store.read_results(spark, str(tmp_path / "r"), "json").count() == 40
+
+
+def test_empty_results(spark, tmp_path):
+    path = str(tmp_path / "r")
+    store.save_results(results(spark, "x", 0), path)
+    assert store.read_results(spark, path).count() == 0 and store.latest_run(spark, path).count() == 0
