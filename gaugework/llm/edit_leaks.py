@@ -12,12 +12,12 @@ an exact copy of any searched item is found. Items of at most ``SHORT_WORDS`` wo
 are found without chance: of one more parts than edits are allowed, at least one is left whole, and each place that holds a
 part is a candidate if enough of the item's words lie around it. Windows are followed sample by sample and dropped once the words so far
 begin no item's key, which changes no result. Candidates are compared by exact edit distance (bit-parallel, the item
-against any stretch of the region).
+against any stretch of the region). Items of one to four words allow no edit, so their one part is the item itself.
 
 Items are taken in blocks of bounded size, and each block reads the documents once; a block is all that a task gets
-besides its documents. Defined cases: null texts and texts without words match nothing; null items and items of fewer
-than ``MIN_WORDS`` words are not searched; items that repeat are each reported; repeated rows are answered each; empty
-tables give no rows.
+besides its documents. Defined cases: null texts and texts without words match nothing, and neither do null items and
+items without words; texts of any length are searched whole, some megabytes of them at a time or one text; items that repeat
+are each reported; repeated rows are answered each; other columns are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from gaugework.llm.common import documents, small_batches, table
 from gaugework.llm.registry import query
 
-MIN_WORDS = 5
 # Items of up to so many words are searched by their parts.
 SHORT_WORDS = 15
 SIMILARITY = 0.8
@@ -131,7 +130,7 @@ class Index:
     """Keys of a block's items for all repetitions, and of the parts of short items."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY) -> None:
-        read = [(i, w) for (i, _), w in zip(items, words_of([t for _, t in items])) if len(w) >= MIN_WORDS]
+        read = [(i, w) for (i, _), w in zip(items, words_of([t for _, t in items])) if len(w)]
         self.ids, arrays = [i for i, _ in read], [w for _, w in read]
         self.lengths = [len(w) for w in arrays]
         self.edits = [allowed(n, similarity) for n in self.lengths]

@@ -110,7 +110,7 @@ def test_leaks_against_brute_force(spark, frame, prose, odd_rows):
     for i, t in rows:
         for k, item in items:
             w = read(item)
-            if i is not None and len(w) >= 5 and i != 4:
+            if i is not None and w and i != 4:
                 e = nearest(w, read(t))
                 if e <= allowed(len(w)):
                     want[i, k] = e
@@ -145,10 +145,29 @@ def test_exact_copies_of_short_items_are_found(prose):
 
 def test_short_items_with_all_allowed_edits_are_found(prose):
     rng, names = random.Random(8), prose(0, 900).split()
-    for n in range(5, 16):
+    for n in range(1, 16):
         items = [(k, prose(100 * n + k, n)) for k in range(40)]
         index = Index(items)
         texts = [f"{prose(k, 30)} {' '.join(edited(rng, read(t), allowed(n), names))} {prose(k + 1, 30)}" for k, t in items]
         for (k, text), found in zip(items, index.search([" ".join(read(t)) for t in texts])):
             want = nearest(read(text), read(texts[k]))
             assert [f[1] for f in found if f[0] == k] == [want]
+
+
+def test_items_of_a_few_words(spark, frame):
+    items = [(1, "zyx"), (2, "Two words!"), (3, "three short words"), (4, "it has four words"), (5, None), (6, " -- ")]
+    rows = [(10, "a zyx, b"), (11, "two  WORDS"), (12, "three words short words"), (13, "it has four words and two words"),
+            (14, "it has five words"), (15, "zyxw"), (16, None), (17, "")]
+    found = leaks(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in found} == {(10, 1, 0), (11, 2, 0), (13, 2, 0), (13, 4, 0)}
+    clean = without_leaks(frame(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in clean.collect()} == {12, 14, 15, 16, 17}
+
+
+def test_very_long_texts_are_searched_to_their_end(spark, frame, prose):
+    items = [(1, prose(700, 30)), (2, prose(701, 3))]
+    long = prose(99, 60_000)
+    rows = [(1, f"{long} {items[0][1]}"), (2, f"{long} {items[1][1]} {long}"), (3, long)]
+    found = leaks(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(1, 1, 0), (2, 2, 0)} <= {(r.doc_id, r.item_id, r.edits) for r in found}
+    assert not {3} & {r.doc_id for r in found if r.item_id == 1}
