@@ -80,3 +80,16 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+_REMEMBERED: list = [None, None]
+
+
+def remembered(name: object, make: Callable):
+    """What a worker keeps from batch to batch for one operator, made where it is not there. It replaces another's: workers
+    are used again by whatever runs next, which would have to bear with both.
+    """
+    if _REMEMBERED[0] != name:
+        _REMEMBERED[:] = [None, None]
+        _REMEMBERED[:] = [name, make()]
+    return _REMEMBERED[1]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import Memo, documents, remainder, small_batches, table
+from gaugework.llm.common import Memo, documents, remainder, remembered, small_batches, table
 from gaugework.llm.registry import query
 
 BITS = 18
@@ -55,7 +55,8 @@ def _reading(token: str) -> tuple[int, int]:
     return zlib.crc32(token.lower().encode("utf-8", "replace")), _shape(token)
 
 
-_READINGS: list[Memo] = []
+def _new_readings() -> Memo:
+    return Memo(_reading)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,7 +68,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Places (ascending, place 0 is the bias) and values of a whole text."""
-    memo = _READINGS[0] if _READINGS else _READINGS.append(Memo(_reading)) or _READINGS[0]
+    memo = remembered("readings", _new_readings)
     found = [memo[t] for t in TOKEN.findall(text or "")]
     if not found:
         return np.zeros(1, np.int64), np.ones(1)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import documents, small_batches
+from gaugework.llm.common import documents, remembered, small_batches
 from gaugework.llm.registry import query
 from gaugework.llm.slack_packing import tokenizer_path
 from gaugework.session import materialise
@@ -80,9 +80,6 @@ class PieceCounter:
         return counts
 
 
-_COUNTERS: dict[str, PieceCounter] = {}
-
-
 def pre_tokens(text: str) -> list[str]:
     """The parts of a text that the vocabulary sees one by one; a space stands for the marker before the text."""
     return PRE_TOKENS.findall(" " + text) if text else []
@@ -199,7 +196,7 @@ def counted_words(lists: DataFrame, path: str, ranges: int) -> DataFrame:
                         names=[f.split()[0] for f in PARTS.split(", ")])
 
     def count(parts: pa.Table) -> pa.Table:
-        counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, PieceCounter(path))
+        counter = remembered(("pieces", path), lambda: PieceCounter(path))
         known: dict[str, int] = {}
         entries = [np.array([known.setdefault(w, len(known)) for w in opened_words(raw)], np.int64)
                    for raw in parts["words"].to_pylist()]
