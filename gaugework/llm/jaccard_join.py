@@ -3,13 +3,14 @@
 Rare-first prefix filtering: n-grams are ordered by the number of documents that hold them (counted over all of them,
 in steps of a quarter power of two), then by hash. Two similar sets share an n-gram within their prefixes; n-grams held
 by one document can't match and make no row. Pairs must also pass the length filter, the positional filter at a shared
-n-gram, and a suffix filter that compares how many n-grams fall into ranges of the hash. A pair is verified once, on the whole
-sets.
+n-gram, and a suffix filter that compares how many n-grams fall into ranges of the hash: 16 bytes a node travel with the
+lists, so that this is done inside the join and only pairs that pass meet their sets. A pair is verified once.
 
 Groups of copies never become all pairs. Equal texts are one node. In each list of nodes that share a prefix n-gram, the node
 with the longest lists leads, and all others are paired with it; what these links connect needs no further pairs. Then
 nodes that are not yet connected with their list's leader are paired with all nodes of other components that pass the filters, so
-no link between components is lost.
+no link between components is lost; pairs that the first step has tested are left out. Lists' lengths and leaders are written
+before they are joined to the rows, so that the rows of a frequent n-gram can be split among tasks.
 
 Defined cases: null texts and texts without words have no n-gram and link with nothing; fewer words than ``n`` make one
 n-gram; rows that share an id but not the text are linked by the id; rows without an id have no component, and n-grams
@@ -36,9 +37,9 @@ from gaugework.session import materialise, small_side
 
 WORDS = 3
 PERCENT = 90
-SUFFIX_RANGES = 32
+SUFFIX_RANGES = 16  # a byte of two 64-bit numbers each
 SET_BLOCK_BYTES = 2 << 20  # a block's words and n-grams take some twenty times its bytes while it is read
-SETS = "node binary, n long, tokens array<long>, places array<int>, grams binary"
+SETS = "node binary, n long, low long, high long, tokens array<long>, places array<int>, grams binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,13 +125,16 @@ def prefixed_sets(blocks: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
                 own, tokens, places = doc[shared], key[order][shared].view(np.int64), place[shared]
                 cuts = np.searchsorted(own, np.arange(len(block.ids) + 1))
                 some = np.diff(cuts) > 0
+                per_range = np.bincount(doc * SUFFIX_RANGES + (key >> np.uint64(60)).astype(np.int64),
+                                        minlength=SUFFIX_RANGES * len(sizes))
+                signature = np.minimum(per_range, 255).astype(np.uint8).view("<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block.digests[16 * i:16 * i + 16] for i in range(len(sizes))], pa.binary()),
-                    pa.array(sizes, pa.int64()),
+                    pa.array(sizes, pa.int64()), pa.array(signature[:, 0]), pa.array(signature[:, 1]),
                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens, pa.int64())),
                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(places, pa.int32())),
                     pa.array([key[f:f + s].tobytes() if t else None for f, s, t in zip(first, sizes, some)], pa.binary()),
-                ], names=["node", "n", "tokens", "places", "grams"])
+                ], names=["node", "n", "low", "high", "tokens", "places", "grams"])
 
     # about one n-gram for six bytes of text, four bytes each
     counted = key_classes(blocks, ranges_for(blocks, 4 / 6), keys_of, rarity)
@@ -138,14 +142,7 @@ def prefixed_sets(blocks: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two ascending sets are similar enough: suffix filter by ranges of the hash, then the exact intersection."""
-    need = -(-percent * (len(x) + len(y)) // (100 + percent))
-    step = np.uint64(2**64 // SUFFIX_RANGES)
-    bounds = np.arange(1, SUFFIX_RANGES, dtype=np.uint64) * step
-    apart = np.abs(np.diff(np.searchsorted(x, bounds), prepend=0, append=len(x))
-                   - np.diff(np.searchsorted(y, bounds), prepend=0, append=len(y))).sum()
-    if apart > len(x) + len(y) - 2 * need:
-        return False
+    """Whether two ascending sets are similar enough, by their intersection."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -168,42 +165,52 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def near_enough(x: str, y: str, percent: int) -> Column:
-    """Length and positional filters for two rows of a list (n, place), and the shorter prefix of the smaller set."""
+    """Length, positional and suffix filters for two rows of a list, and the shorter prefix of the smaller set."""
     n, m, i, j = (F.col(f"{s}.{c}") for s, c in ((x, "n"), (y, "n"), (x, "place"), (y, "place")))
     need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
     index = lambda size: size - F.ceil(F.lit(2 * percent) * size / F.lit(100 + percent)) + 1
     return (
         (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
         & (((n <= m) & (i < index(n))) | ((m <= n) & (j < index(m))))
+        & (n + m - 2 * need >= F.expr(ranges_apart(x, y)))
     )
 
 
+def ranges_apart(x: str, y: str) -> str:
+    """At least so many n-grams are in one of two sets only: differences of the counts per hash range, up to 255 each."""
+    count = lambda s, half, k: f"(shiftright({s}.{half}, {8 * k}) & 255)"
+    return " + ".join(f"abs({count(x, half, k)} - {count(y, half, k)})" for half in ("low", "high") for k in range(8))
+
+
 def similar_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) of digests that connect exactly what all links connect."""
-    rows = sets.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(
-        F.col("t.tokens").alias("token"), "node", "n", F.col("t.places").alias("place"))
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
+    facts = ["node", "n", "low", "high"]
+    rows = sets.select(*facts, F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(
+        F.col("t.tokens").alias("token"), *facts, F.col("t.places").alias("place"))
+    lists = materialise(rows.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1"), "lengths")
     rows = materialise(rows.join(lists, "token"), "lists")
     weight = rows.groupBy("node").agg(F.sum("length").alias("weight"))
     rows = materialise(rows.drop("length").join(weight, "node"), "weighted")
 
-    leaders = rows.groupBy("token").agg(
-        F.max_by(F.struct("node", "n", "place"), F.struct("weight", "node")).alias("lead")
-    ).select("token", F.col("lead.node").alias("node"), F.col("lead.n").alias("n"), F.col("lead.place").alias("place"))
+    leaders = materialise(rows.groupBy("token").agg(
+        F.max_by(F.struct(*facts, "place"), F.struct("weight", "node")).alias("lead")).select("token", "lead.*"), "leaders")
     x, y = rows.alias("x"), leaders.alias("y")
     starred = x.join(y, F.col("x.token") == F.col("y.token")).filter(
         (F.col("x.node") != F.col("y.node")) & near_enough("x", "y", percent))
-    stars = verified(distinct_pairs(starred), sets, percent)
+    tested = distinct_pairs(starred)
+    stars = verified(tested, sets, percent)
 
     roots = materialise(components(stars), "roots")
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    led = leaders.join(roots, "node", "left").select("token", F.coalesce("root", "node").alias("lead_root"))
+    led = materialise(leaders.join(roots, "node", "left").select(
+        "token", F.coalesce("root", "node").alias("lead_root")), "led")
     placed = materialise(placed.join(led, "token"), "placed")
     apart = placed.filter("root <> lead_root")
     x, y = apart.alias("x"), placed.alias("y")
     rest = x.join(y, F.col("x.token") == F.col("y.token")).filter(
         (F.col("x.root") != F.col("y.root")) & near_enough("x", "y", percent))
-    return stars.unionByName(verified(distinct_pairs(rest), sets, percent))
+    rest = materialise(distinct_pairs(rest).join(tested, ["a", "b"], "left_anti"), "untested")
+    return stars.unionByName(verified(rest, sets, percent))
 
 
 def distinct_pairs(joined: DataFrame) -> DataFrame:

@@ -3,18 +3,19 @@ import re
 
 import pytest
 
+from gaugework.llm import jaccard_join
 from gaugework.llm.jaccard_join import one_of_each, similar_documents
 from gaugework.llm.links import components
 
 
-def shingles(text):
+def shingles(text, n=3):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lower)
-    return {tuple(words[i:i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-def brute(rows):
-    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+def brute(rows, n=3, percent=90):
+    sets, root = [shingles(t, n) for _, t in rows], list(range(len(rows)))
 
     def find(i):
         while root[i] != i:
@@ -26,7 +27,7 @@ def brute(rows):
             if rows[a][0] is None or rows[b][0] is None:
                 continue
             both = len(sets[a] & sets[b])
-            near = sets[a] and sets[b] and 100 * both >= 90 * len(sets[a] | sets[b])
+            near = sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b])
             if near or rows[a][0] == rows[b][0]:
                 root[find(a)] = find(b)
     least = {}
@@ -87,3 +88,37 @@ def test_components_of_links(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 540)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def pairs_verified(monkeypatch):
+    """The pairs that every call of the last test gets."""
+    seen, plain = [], jaccard_join.verified
+
+    def verified(pairs, sets, percent):
+        seen.append({(bytes(r.a), bytes(r.b)) for r in pairs.collect()})
+        return plain(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "verified", verified)
+    return seen
+
+
+def test_no_pair_is_verified_twice(frame, copies, monkeypatch):
+    seen = pairs_verified(monkeypatch)
+    assert answer(similar_documents(frame(copies))) == brute(copies)
+    assert len(seen) == 2 and not seen[0] & seen[1]
+
+
+def test_templated_texts_make_few_pairs(frame, prose, monkeypatch):
+    """One frame, six slots of eight values: all share frequent n-grams, and hardly any two are similar."""
+    rng, frames = random.Random(5), [prose(60 + k, 9) for k in range(7)]
+    values = [[prose(1000 + 10 * s + v, 4) for v in range(8)] for s in range(6)]
+    rows = [(i, " ".join(p for s in range(6) for p in (frames[s], rng.choice(values[s]))) + " " + frames[6]) for i in range(500)]
+    seen = pairs_verified(monkeypatch)
+    assert answer(similar_documents(frame(rows))) == brute(rows)
+    assert sum(map(len, seen)) < 3 * len(rows) and not seen[0] & seen[1]
+
+
+@pytest.mark.parametrize("n,percent", [(5, 80), (1, 60), (3, 100)])
+def test_other_sizes_and_similarities(frame, copies, odd_rows, n, percent):
+    rows = copies + [(i, t) for i, t in odd_rows if i != 4]
+    assert answer(similar_documents(frame(rows), n, percent)) == brute(rows, n, percent)
