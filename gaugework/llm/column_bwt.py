@@ -313,8 +313,29 @@ def least_documents(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed_places(s: Shared) -> bytes:
+    """Where a block's segments lie and which distinct one each is, byte by byte of the numbers."""
+    import zstandard
+
+    own = s.segments
+    numbers = np.stack([s.which, own.first, own.windows, own.doc]).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked_places(raw: bytes) -> np.ndarray:
+    """(which, first, windows, doc), a row each."""
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(4, -1).astype(np.int64)
+
+
 def collection_answers(blocks: DataFrame, collections: int) -> DataFrame:
-    """(block_id, range, part): per block and collection, the least document of each window of its distinct segments."""
+    """(block_id, range, part): per block and collection, the least document of each window of its distinct segments.
+
+    A part of a range below 0 says where these segments lie in the block, so that they need not be found again. It takes
+    the same way, past the collections.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,15 +343,18 @@ def collection_answers(blocks: DataFrame, collections: int) -> DataFrame:
                 s = Shared(block, joined_bytes(row, "classes"), collections)
                 full, first = np.unique(s.group, return_index=True)
                 cuts = np.append(first, len(s.group))
+                aside = -1 - block.block_id % collections
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(full, pa.int32()), pa.array([block.block_id] * len(full), pa.int64()),
-                    pa.array([packed(s.rows[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                    pa.array([s.least[a:b].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    pa.array([*full, aside], pa.int32()), pa.array([block.block_id] * (len(full) + 1), pa.int64()),
+                    pa.array([*(packed(s.rows[a:b]) for a, b in zip(cuts, cuts[1:])), packed_places(s)], pa.binary()),
+                    pa.array([*(s.least[a:b].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:])), b""], pa.binary()),
                 ], names=["range", "block_id", "rows", "docs"])
 
     def answer(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
+        if key[0] < 0:
+            return parts[["block_id", "range"]].assign(part=parts.rows)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         each = [unpacked(p) for p in parts.rows]
         rows = np.concatenate(each)
@@ -372,7 +396,7 @@ def unpacked(part: bytes) -> np.ndarray:
     return rows
 
 
-def cut_texts(blocks: DataFrame, collections: int) -> DataFrame:
+def cut_texts(blocks: DataFrame) -> DataFrame:
     """Per distinct text what is removed, and what is left as a digest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,16 +405,15 @@ def cut_texts(blocks: DataFrame, collections: int) -> DataFrame:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for block, row in opened(batch):
-                s = Shared(block, joined_bytes(row, "classes"), collections)
-                least = np.concatenate([np.frombuffer(expand(p), "<i8") for p in row["answers"] or []]
-                                       or [np.zeros(0, np.int64)])
-                windows = s.rows[:, LONGEST].astype(np.int64)
+                which, first, times, doc = unpacked_places(row["answers"][0])
+                least = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(expand(p), "<i8") for p in row["answers"][1:])])
+                windows = np.zeros(which.max(initial=-1) + 1, np.int64)
+                windows[which] = times
                 begins = np.concatenate([[0], np.cumsum(windows)[:-1]]).astype(np.int64)
-                times = s.segments.windows
                 inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                found = least[np.repeat(begins[s.which], times) + inside]
-                start = np.repeat(s.segments.first, times) + inside
-                start = start[found < block.ids[np.repeat(s.segments.doc, times)]]
+                found = least[np.repeat(begins[which], times) + inside]
+                start = np.repeat(first, times) + inside
+                start = start[found < block.ids[np.repeat(doc, times)]]
                 change = np.zeros(len(block.raw) + 1, np.int32)
                 np.add.at(change, start, 1)
                 np.add.at(change, start + WINDOW, -1)
@@ -424,7 +447,7 @@ def repeats_removed(docs: DataFrame, id_column: str = "doc_id", text_column: str
     total = marked.agg(F.sum("raw_bytes")).first()[0] or 0
     collections = 1 << max(0, int(total // collection_bytes).bit_length())
     answers = materialise(collection_answers(marked, collections), "answers")
-    firsts = cut_texts(with_parts(marked, answers, "answers"), collections).drop("digest")
+    firsts = cut_texts(with_parts(marked.drop("classes", "classes_range"), answers, "answers")).drop("digest")
 
     # copies of a text with a smaller id lose every byte if the text has one window; other rows outside the blocks keep all
     copies = rows.filter("doc_id IS NULL OR doc_id <> first_id")
