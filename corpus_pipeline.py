@@ -5,6 +5,10 @@
 3. Documents that hold a benchmark item go.
 4. Secrets in the texts are replaced by a mark.
 5. What is left is cut into pieces of tokens and packed.
+
+Defined cases: a null text is scored as an empty one, has no near-duplicate and no secret, and is packed as the end id
+alone; texts of any length are read whole; rows without an id are never near-duplicates of others; of rows that share an
+id, near-duplicates keep one; columns of other names are carried along to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +22,9 @@ from gaugework.llm import credential_links, edit_leaks, ftrl_quality, jaccard_jo
 from gaugework.llm.common import remainder, table
 from gaugework.session import materialise
 
+# Near-duplicates share so many percent of their n-grams of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -29,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by similar word n-grams."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
