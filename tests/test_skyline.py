@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from gaugework.operators.select import frontier_export, recommend_by_priority
-from gaugework.operators.skyline import _by_slabs, pareto_anti_frontier, pareto_frontier
+from gaugework.operators import skyline
+from gaugework.operators.skyline import _by_slabs, _keep_undominated, pareto_anti_frontier, pareto_frontier
 
 
 def dominates(a, b):
@@ -84,3 +85,37 @@ def test_export_flattens_config(spark):
                    "1.0D as latency_ms, 2.0D as cost_per_1m_tok, true as is_pareto_optimal")
     row = frontier_export(df).first()
     assert (row["quantization"], row["batch_size"], row["throughput"]) == ("int8", 4, 0.0)
+
+
+@pytest.mark.parametrize("k", [1, 2, 4, 5, 6, 7, 8])
+@pytest.mark.parametrize("rounded", [False, True])
+def test_kernel_equals_brute_force(k, rounded, monkeypatch):
+    """Tiny blocks, so that every kind of split happens; rounded vectors tie in many places."""
+    monkeypatch.setattr(skyline, "PAIRS_AT_ONCE", 6)
+    monkeypatch.setattr(skyline, "BLOCK_POINTS", 3)
+    for seed in range(4):
+        points = np.array(cloud(seed, 160, k, rounded))
+        if rounded:
+            points[:, 0] = np.round(points[:, 0] / 4)
+        kept = _keep_undominated(points)
+        distinct = {tuple(p) for p in points}
+        want = {p for p in distinct if not any(dominates(q, p) for q in distinct)}
+        assert {tuple(points[i]) for i in kept} == want and len(kept) == len(want)
+
+
+def test_kernel_grows_little_faster_than_its_vectors():
+    import time
+
+    def seconds(n):
+        points = np.array(cloud(3, n, 4, False))
+        start = time.process_time()
+        assert len(_keep_undominated(points)) > n / 3
+        return time.process_time() - start
+
+    seconds(2_000)
+    assert seconds(32_000) < 10 * max(seconds(8_000), 0.05)
+
+
+def test_infinite_objectives():
+    points = np.array([[1.0, np.inf, 0, 1], [1, 2, 0, 1], [-np.inf, np.inf, 5, 5], [0, 0, np.inf, -np.inf]] * 30)
+    assert sorted(_keep_undominated(points).tolist()) == [1, 2, 3]
