@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.scalars import BYTES_PER_GIB, half_even, parameters_billion, safe_div
+from gaugework.operators.bands import with_bands
 from gaugework.sources.catalog import BYTES_PER_PARAM, KV_CACHES, LOAD_TIERS, QUANTIZATIONS
 
 OVERHEAD = 1.2  # room for cache and activations
@@ -68,12 +69,13 @@ def kv_cache_estimate(df: DataFrame, caches: list[tuple] = KV_CACHES, pct_digits
     })
 
 
-def load_tier(df: DataFrame, rate: str = "requests_per_second", tiers: list[tuple] = LOAD_TIERS) -> DataFrame:
-    """The GPU tier whose load band holds the rate; the bands are a fixed list, so no join."""
-    tier = None
-    for lo, hi, name, instance, price in tiers:
-        inside = (F.col(rate) >= lo) & (F.col(rate) < hi)
-        value = F.struct(F.lit(name).alias("tier"), F.lit(instance).alias("instance"),
-                         F.lit(float(price)).alias("usd_per_hour"))
-        tier = F.when(inside, value) if tier is None else tier.when(inside, value)
-    return df.withColumn("__t", tier).select(*df.columns, "__t.*")
+def load_tier(df: DataFrame, rate: str = "requests_per_second", tiers: DataFrame | list[tuple] = LOAD_TIERS) -> DataFrame:
+    """The GPU tier whose load band holds the rate.
+
+    ``tiers`` is a table with ``low``, ``high``, ``tier``, ``instance`` and ``usd_per_hour``, or such rows; see ``with_bands``
+    for rates in a gap or in several bands.
+    """
+    if not isinstance(tiers, DataFrame):
+        tiers = df.sparkSession.createDataFrame(
+            [tuple(t) for t in tiers], "low double, high double, tier string, instance string, usd_per_hour double")
+    return with_bands(df, rate, tiers)
