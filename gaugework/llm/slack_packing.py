@@ -57,7 +57,7 @@ class WordIds:
     may hold a special token are encoded whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, known_words: int = KNOWN_WORDS) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -70,7 +70,7 @@ class WordIds:
             (text, _), = shown.pre_tokenize_str(chr(i))
             for byte, char in zip(chr(i).encode(), text):
                 self.shown[byte] = char
-        self.letters, self.tails, self.words = (Memo(f, KNOWN_WORDS) for f in (self.merged, self.encode, self.word))
+        self.letters, self.tails, self.words = (Memo(f, known_words) for f in (self.merged, self.encode, self.word))
 
     def encode(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -99,15 +99,18 @@ class WordIds:
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_column: str = "doc_id",
-                 text_column: str = "text") -> DataFrame:
-    """Pieces of at most ``capacity`` ids of every whole text, the end id included, with the crc32 of their ids."""
+                 text_column: str = "text", known_words: int = KNOWN_WORDS) -> DataFrame:
+    """Pieces of at most ``capacity`` ids of every whole text, the end id included, with the crc32 of their ids.
+
+    ``known_words`` bounds what a worker remembers; it changes time and memory, not results.
+    """
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = remembered(("word ids", path), lambda: WordIds(path))
+        coder = remembered(("word ids", path, known_words), lambda: WordIds(path, known_words))
         end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
