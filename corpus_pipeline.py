@@ -24,6 +24,8 @@ from gaugework.session import materialise
 
 # Near-duplicates share so many percent of their n-grams of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+# Words that a worker remembers while it packs: fewer than packing alone has room for, as executors come with full heaps.
+KNOWN_WORDS = 150_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,7 +57,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their sequence and place."""
-    return slack_packing.pack(slack_packing.token_pieces(docs, slack_packing.tokenizer_path()))
+    return slack_packing.pack(slack_packing.token_pieces(
+        docs, slack_packing.tokenizer_path(), known_words=KNOWN_WORDS))
 
 
 STAGES: list[tuple[str, Stage]] = [
