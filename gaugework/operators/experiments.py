@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,21 +38,38 @@ def amortised_latency(batched: DataFrame, group: list[str]) -> DataFrame:
     }).withColumn("amortised_ms", F.col("batch_ms") / F.col("batch_requests"))
 
 
+def batch_rows(batched: DataFrame, batches: list[str], keys: list[str] = ()) -> DataFrame:
+    """One row per batch, and value of ``keys`` in it: ``n`` requests that took ``amortised_ms`` each, tokens, start and end.
+
+    Requests of a batch lie together since they were numbered, so they are combined before the shuffle; what is shuffled
+    and written are batches.
+    """
+    batches, more = list(batches), [k for k in keys if k not in batches]
+    start = F.unix_micros("ts") if "ts" in batched.columns else F.lit(None).cast("long")
+    rows = batched.groupBy(*batches, "batch_no", *more).agg(
+        F.count(F.lit(1)).alias("n"), F.max("latency_ms").alias("batch_ms"), F.sum("output_tokens").alias("output_tokens"),
+        F.min(start).alias("run_from"), F.max(start + F.col("latency_ms") * 1000).alias("run_to"))
+    whole = F.col("n")
+    if more:
+        batch = W.partitionBy(*batches, "batch_no")
+        rows, whole = rows.withColumn("batch_ms", F.max("batch_ms").over(batch)), F.sum("n").over(batch)
+    return rows.withColumn("amortised_ms", F.col("batch_ms") / whole)
+
+
 def batch_experiment(batched: DataFrame, group: list[str] = ("batch_size",), batches: list[str] | None = None,
                      strategy: str = "static", sla_target_ms: float = 500.0, **kwargs) -> DataFrame:
     """Latency statistics, wall-clock rates and the SLA flag per batch size.
 
-    ``batches`` are the columns within which batches are numbered, those of ``group`` by default. The amortised rows
-    are written once, as they are read twice.
+    ``batches`` are the columns within which batches are numbered, those of ``group`` by default. The batches are written
+    once, as they are read twice.
     """
     group = list(group)
-    timed = materialise(amortised_latency(batched, batches or group).select(
-        *group, F.col("amortised_ms").alias("latency"), "latency_ms", "output_tokens", "ts"), "batches")
-    start = F.unix_micros("ts")
+    timed = materialise(batch_rows(batched, batches or group, group).select(
+        *group, F.col("amortised_ms").alias("latency"), "n", "output_tokens", "run_from", "run_to"), "batches")
     got = grouped_percentiles(timed, group, _RANKS, {
-        "latency_sum": ("sum", finite("latency")), "latency_n": ("count", finite("latency")),
-        "requests": ("count", F.lit(1)), "output_tokens": ("sum", F.col("output_tokens")),
-        "run_from": ("min", start), "run_to": ("max", start + F.col("latency_ms") * 1000)}, **kwargs)
+        "latency_sum": ("sum", finite("latency") * F.col("n")), "latency_n": _known("latency", "n"),
+        "requests": ("sum", F.col("n")), "output_tokens": ("sum", F.col("output_tokens")),
+        "run_from": ("min", F.col("run_from")), "run_to": ("max", F.col("run_to"))}, weight="n", **kwargs)
     stats = got.withColumn("duration_seconds", (F.col("run_to") - F.col("run_from")) / 1e6).withColumns({
         "mean_latency_ms": mean_of("latency_sum", "latency_n"),
         "strategy": F.lit(strategy),
@@ -64,6 +81,11 @@ def batch_experiment(batched: DataFrame, group: list[str] = ("batch_size",), bat
         "throughput_tokens_per_sec", "meets_sla", "sla_target_ms")
 
 
+def _known(value: str, weight: str) -> tuple[str, Column]:
+    """The rows that have a value, as an extra of the percentiles."""
+    return "sum", F.when(finite(value).isNotNull(), F.col(weight))
+
+
 def sla_passing(experiments: DataFrame) -> DataFrame:
     return experiments.filter("meets_sla")
 
@@ -78,16 +100,18 @@ def optimal_batch(experiments: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def quantization_performance(requests: DataFrame, keys: list[str] = ("model_name", "quantization"),
-                             latency: str = "latency_ms", digits: int = 2, **kwargs) -> DataFrame:
+                             latency: str = "latency_ms", digits: int = 2, weight: str | None = None,
+                             **kwargs) -> DataFrame:
     """Latency statistics and tokens per second of summed latency (at least 0.001 s).
 
-    ``latency`` is the request's share of its batch's time where requests were sent in batches.
+    Where requests were sent in batches, ``requests`` may be ``batch_rows``, ``latency`` their amortised time and ``weight``
+    the number of requests.
     """
-    keys = list(keys)
-    timed = requests.select(*keys, F.col(latency).alias("latency"), "output_tokens")
+    keys, times = list(keys), F.lit(1) if weight is None else F.col(weight)
+    timed = requests.select(*keys, F.col(latency).alias("latency"), "output_tokens", times.alias("n"))
     got = grouped_percentiles(timed, keys, _RANKS, {
-        "latency_sum": ("sum", finite("latency")), "latency_n": ("count", finite("latency")),
-        "tokens": ("sum", F.col("output_tokens"))}, **kwargs).withColumns({
+        "latency_sum": ("sum", finite("latency") * F.col("n")), "latency_n": _known("latency", "n"),
+        "tokens": ("sum", F.col("output_tokens"))}, weight=weight and "n", **kwargs).withColumns({
             "mean_latency_ms": mean_of("latency_sum", "latency_n"),
             "throughput_tok_s": F.col("tokens") / F.greatest(F.col("latency_sum") / 1000, F.lit(0.001))})
     stats = ["mean_latency_ms", *_RANKS, "throughput_tok_s"]

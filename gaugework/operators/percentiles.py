@@ -28,7 +28,7 @@ from gaugework.functions.buckets import coarse_bucket, fine_bucket
 from gaugework.functions.scalars import finite
 from gaugework.session import BROADCAST_ROWS, materialise
 
-_METRIC, _VALUE = "__metric", "__value"
+_METRIC, _VALUE, _WEIGHT = "__metric", "__value", "__weight"
 BUCKET_ROWS = 5_000_000  # a bucket up to this size is sorted in one task
 
 
@@ -41,37 +41,48 @@ def grouped_percentiles(
     outputs: dict[str, tuple[str, float]],
     extras: dict[str, tuple[str, Column]] | None = None,
     bucket_rows: int = BUCKET_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group of ``keys``.
 
     ``outputs`` maps a result name to (column, fraction), ``extras`` a result name to ("sum", "count", "min" or "max",
-    expression over the rows of ``df``).
+    expression over the rows of ``df``). A row counts as often as the whole number in ``weight`` says, once without one.
     """
     extras = extras or {}
     columns = list(dict.fromkeys(column for column, _ in outputs.values()))
     more = {f"__x{i}": (kind, value, name) for i, (name, (kind, value)) in enumerate(extras.items())}
-    slim = df.select(*keys, *[finite(c).alias(c) for c in columns], *[v.alias(x) for x, (_, v, _) in more.items()])
+    weights = [] if weight is None else [F.col(weight).alias(_WEIGHT)]
+    slim = df.select(
+        *keys, *weights, *[finite(c).alias(c) for c in columns], *[v.alias(x) for x, (_, v, _) in more.items()])
     for k in keys:
         slim = slim.filter(F.col(k).isNotNull())
     if len(columns) == 1:
         long = slim.withColumns({_METRIC: F.lit(columns[0]), _VALUE: F.col(columns[0])}).drop(*columns)
     else:
-        long = slim.unpivot([F.col(c) for c in [*keys, *more]], columns, _METRIC, _VALUE)
+        ids = [*keys, *more, *([] if weight is None else [_WEIGHT])]
+        long = slim.unpivot([F.col(c) for c in ids], columns, _METRIC, _VALUE)
     long = long.withColumn("__b1", coarse_bucket(F.col(_VALUE)))
     counted = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     buckets = materialise(
         long.groupBy(*keys, _METRIC, "__b1").agg(
-            F.count(_VALUE).alias("__n"), F.min(_VALUE).alias("__lo"), F.max(_VALUE).alias("__hi"),
+            _rows(weight).alias("__n"), F.min(_VALUE).alias("__lo"), F.max(_VALUE).alias("__hi"),
             *[counted[kind](x).alias(x) for x, (kind, _, _) in more.items()]),
         "percentile-buckets",
     )
     totals = buckets.filter(F.col(_METRIC) == columns[0]).groupBy(*keys, F.lit(1).alias("__one")).agg(
         *[ROLLUPS[kind](x).alias(name) for x, (kind, _, name) in more.items()], F.max("__n").alias("__any"))
-    ranks = _by_counting(long.drop(*more), buckets.drop(*more), keys, outputs, bucket_rows)
+    ranks = _by_counting(long.drop(*more), buckets.drop(*more), keys, outputs, bucket_rows, weight)
     return totals.join(ranks.withColumn("__one", F.lit(1)), [*keys, "__one"], "left").select(
         *keys, *outputs, *extras)
 
 
+def _rows(weight: str | None) -> Column:
+    """How many rows have a value."""
+    if weight is None:
+        return F.count(_VALUE)
+    return F.coalesce(F.sum(F.when(F.col(_VALUE).isNotNull(), F.col(_WEIGHT))), F.lit(0)).cast("long")
+
+
 def mean_of(extra_sum: str, extra_count: str) -> Column:
     """A mean from two extras; NULL without a value. Rounding takes off what the order of addition left."""
     return F.round(extra_sum, 9) / F.nullif(F.col(extra_count), F.lit(0))
@@ -94,7 +105,7 @@ def _holds_rank(outputs: dict[str, tuple[str, float]]) -> Column:
 
 
 def _by_counting(long: DataFrame, buckets: DataFrame, keys: list[str], outputs: dict[str, tuple[str, float]],
-                 bucket_rows: int) -> DataFrame:
+                 bucket_rows: int, weight: str | None = None) -> DataFrame:
     group = [*keys, _METRIC]
     long = long.filter(F.col(_VALUE).isNotNull())
     hits = (
@@ -111,7 +122,7 @@ def _by_counting(long: DataFrame, buckets: DataFrame, keys: list[str], outputs:
     values = (
         long.join(small_side.drop("__n"), place)
         .groupBy(*place, _VALUE)
-        .agg(F.count(F.lit(1)).alias("__n"),
+        .agg(_rows(weight).alias("__n"),
              *[F.first(c).alias(c) for c in ("__lo", "__hi", "__before", "__total")])
     )
     if (found["largest"] or 0) > bucket_rows:

@@ -251,10 +251,10 @@ performance AS (
 
 def _performance(spark, sf):
     slim = tables.requests(spark, sf).select("request_id", *QUANT_KEYS, "latency_ms", "output_tokens")
-    timed = experiments.amortised_latency(experiments.assign_batches(slim, QUANT_KEYS), QUANT_KEYS)
+    sent = experiments.batch_rows(experiments.assign_batches(slim, QUANT_KEYS), QUANT_KEYS)
     return experiments.quantization_performance(
-        materialise(timed.select("model_name", "quantization", "amortised_ms", "output_tokens"), "shared"),
-        latency="amortised_ms", digits=4)
+        materialise(sent.select("model_name", "quantization", "amortised_ms", "n", "output_tokens"), "shared"),
+        latency="amortised_ms", digits=4, weight="n")
 
 
 @query(with_tables("requests", f", {_PERFORMANCE} SELECT * FROM performance"))

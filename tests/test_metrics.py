@@ -126,6 +126,22 @@ def test_batches(spark):
         assert row["throughput_tokens_per_sec"] == pytest.approx(50 / 9.019) and row["meets_sla"] is False
 
 
+def test_batch_rows_equal_amortised_requests(spark):
+    """Also by a column that varies within a batch, and where a batch's requests have no latency."""
+    df = spark.range(200).selectExpr(
+        "id as request_id", "id % 3 as run", "if(id % 2 = 0, 4, 8) as batch_size", "id % 5 as q",
+        "if(id between 40 and 90, null, cast(id * 7 % 31 as double)) as latency_ms", "id as output_tokens", "timestamp_seconds(id) as ts")
+    batched = experiments.assign_batches(df, ["run", "batch_size"])
+    timed = experiments.amortised_latency(batched, ["run", "batch_size"])
+    for keys in (["batch_size"], ["q"], ["run", "q"]):
+        rows = experiments.batch_rows(batched, ["run", "batch_size"], keys)
+        got = rows.groupBy(*keys).agg(F.sum("n"), F.sum(F.col("n") * F.col("amortised_ms")), F.sum("output_tokens")).collect()
+        want = timed.groupBy(*keys).agg(F.count(F.lit(1)), F.sum("amortised_ms"), F.sum("output_tokens")).collect()
+        assert len(got) == len(want)
+        for g, w in zip(sorted(map(tuple, got)), sorted(map(tuple, want))):
+            assert g == pytest.approx(w)
+
+
 def test_optimal_batch(spark):
     schema = "batch_size int, throughput_tokens_per_sec double, meets_sla boolean"
     df = spark.createDataFrame([(4, 500.0, True), (16, 1200.0, True), (32, 9000.0, False)], schema)

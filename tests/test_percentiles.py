@@ -87,3 +87,19 @@ def test_box_whiskers(spark):
     df = spark.createDataFrame([("m", float(v)) for v in [1, 2, 3, 4, 5, 100]], "model_name string, latency_ms double")
     row = box_summary(df).first()
     assert (row["low"], row["high"], row["lower_whisker"], row["upper_whisker"]) == (1.0, 100.0, 1.0, 5.0)
+
+
+@pytest.mark.parametrize("bucket_rows", [5_000_000, 3])
+def test_weights_equal_repeated_rows(spark, bucket_rows):
+    import random
+
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), rng.choice([1.0, 2.5, rng.uniform(0, 50), None]), rng.uniform(-3, 3), rng.randint(1, 6)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "g string, v double, u double, w int")
+    outputs = {"p0": ("v", 0.0), "p50": ("v", 0.5), "p95": ("v", 0.95), "u90": ("u", 0.9)}
+    repeated = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("w"))))
+
+    def found(df, **kwargs):
+        return sorted(tuple(r) for r in grouped_percentiles(df, ["g"], outputs, bucket_rows=bucket_rows, **kwargs).collect())
+
+    assert found(df, weight="w") == found(repeated)
