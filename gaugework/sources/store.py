@@ -96,9 +96,11 @@ def check_store(runs: DataFrame, results: DataFrame, path: str | None = None) ->
         wanted = orphans.select(F.concat(F.lit("id "), F.col("run_id").cast("string")).alias("key"), "run_id")
         there = _stored_keys(wanted.select("key"), path, batches)
         orphans = wanted.join(there, "key", "left_anti").select("run_id")
-    orphan = results.join(orphans, "run_id", "left_semi").limit(1).collect()
-    if orphan:
-        raise ValueError(f"result {orphan[0]['id']} refers to run {orphan[0]['run_id']}, which is not stored")
+    missing = orphans.limit(1).collect()
+    if missing:
+        run = missing[0]["run_id"]
+        orphan = results.filter(F.col("run_id").eqNullSafe(F.lit(run))).limit(1).collect()
+        raise ValueError(f"result {orphan[0]['id']} refers to run {run}, which is not stored")
 
 
 def _run_keys(runs: DataFrame) -> DataFrame:

@@ -104,6 +104,8 @@ def test_second_append_is_checked_against_the_first(spark, tmp_path):
         store.save_store(again, result_rows(spark, (3, 101)), path)
     with pytest.raises(ValueError, match="result 4 refers to run 100"):
         store.save_store(run_rows(spark, 102), result_rows(spark, (3, 5), (4, 100)), path)
+    with pytest.raises(ValueError, match="result 9 refers to run None"):
+        store.save_store(run_rows(spark), result_rows(spark, (3, 5), (9, None)), path)
     # later results of stored runs, with and without new runs
     store.save_store(run_rows(spark, 103), result_rows(spark, (3, 5), (4, 103)), path)
     store.save_store(run_rows(spark), result_rows(spark, (5, 103), (6, 0)), path)
