@@ -205,9 +205,9 @@ def no_match_reasons(spark, sf):
 
 @query(with_tables("reqs configs", _SELECTION + """
 SELECT f.req_id, concat_ws(' | ',
-  'Filtered to p95 latency ≤ ' || format('{:.1f}', r.max_latency_p95_ms) || 'ms (' || n_latency || '/' || n_configs || ' configs)',
-  'Filtered to quality ≥ ' || CAST(round(r.min_quality_score * 100) AS INTEGER) || '% (' || n_quality || ' configs)',
-  'Filtered to monthly cost ≤ $' || format('{:,}', CAST(round_even(r.monthly_budget_usd, 0) AS BIGINT)) || ' (' || n_budget || ' configs)',
+  printf('""" + catalog.REASONS["latency"] + """', format('{:.1f}', r.max_latency_p95_ms), n_latency, n_configs),
+  printf('""" + catalog.REASONS["quality"] + """', CAST(CAST(round(r.min_quality_score * 100) AS INTEGER) AS VARCHAR), n_quality),
+  printf('""" + catalog.REASONS["budget"] + """', format('{:,}', CAST(round_even(r.monthly_budget_usd, 0) AS BIGINT)), n_budget),
   CASE WHEN f.own THEN '""" + catalog.REASONS["self_hosted"] + """' END,
   CASE r.workload_type """ + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in catalog.GOALS.items()) + f"""
     ELSE '{catalog.REASONS["default"]}' END) AS reasoning
