@@ -6,7 +6,7 @@ axes turn the cells into cumulative ones: cell (i, j, k) sums up all rows below
 * one cumulative cell, for everything that lies in parts that pass as a whole, and
 * the rows of three strips, the part of each axis that the limit itself runs through, compared one by one.
 
-With n rows the grid has about 8 n cells, so a strip has about n^(2/3) rows. Cells and strips meet their limits by equality
+With n rows the grid has about n cells, so a strip has about n^(2/3) rows. Cells and strips meet their limits by equality
 of part numbers, and the limits are not shuffled where those fit a broadcast; no other pair is made. A value that is
 heavy among the rows has a part of its own, which passes or fails as a whole and is in no strip. The result is exact and
 the same for every grid.
@@ -51,7 +51,7 @@ class Grid:
 def grid_over(rows: DataFrame, axes: tuple[str, str, str], strip_rows: int | None = None) -> Grid:
     """A grid over written ``rows``; with ``strip_rows``, strips of about so many rows unless that takes too many cells."""
     n = rows.count()
-    per_axis = math.ceil(max(8 * n, LEAST_CELLS) ** (1 / 3))
+    per_axis = math.ceil(max(n, LEAST_CELLS) ** (1 / 3))
     if strip_rows:
         per_axis = min(max(1, math.ceil(n / strip_rows)), per_axis)
     fractions = [(i + 1) / per_axis for i in range(per_axis)]
