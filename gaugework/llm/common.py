@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,5 +94,15 @@ def remembered(name: object, make: Callable):
     """
     if _REMEMBERED[0] != name:
         _REMEMBERED[:] = [None, None]
+        give_back()
         _REMEMBERED[:] = [name, make()]
     return _REMEMBERED[1]
+
+
+def give_back() -> None:
+    """Return what is free in this worker to the system: an executor's JVM and its workers share one allowance."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library; elsewhere there is nothing to do
+    if trim:
+        trim(0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import documents, small_batches, table
+from gaugework.llm.common import documents, remembered, small_batches, table
 from gaugework.llm.registry import query
 
 # Items of up to so many words are searched by their parts.
@@ -307,16 +307,10 @@ def blocks(items: DataFrame, id_column: str, text_column: str) -> Iterator[list[
         yield block
 
 
-_INDEXES: dict[int, Index] = {}
-
-
 def index_of(block: list[tuple[int, str]], similarity: float) -> Index:
     """The block's index, made once per worker."""
     key = zlib.crc32(repr((block, similarity)).encode("utf-8", "replace"))
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = Index(block, similarity)
-    return _INDEXES[key]
+    return remembered(("leaks", key), lambda: Index(block, similarity))
 
 
 def portions(texts: list[str | None]) -> Iterator[slice]:
