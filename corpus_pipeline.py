@@ -25,7 +25,7 @@ from gaugework.session import materialise
 # Near-duplicates share so many percent of their n-grams of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 # Words that a worker remembers while it packs: fewer than packing alone has room for, as executors come with full heaps.
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 80_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
