@@ -19,8 +19,9 @@ def safe_div(num: Column | str, den: Column | str) -> Column:
 
 
 def half_even(c: Column | str, digits: int) -> Column:
-    """Round half to even, on doubles."""
-    return F.bround(col(c).cast("double"), digits)
+    """Round half to even, on doubles; a negative number that rounds to zero keeps its sign."""
+    number = col(c).cast("double")
+    return F.bround(F.abs(number), digits) * F.signum(number)
 
 
 def finite(c: Column | str) -> Column:

@@ -60,8 +60,8 @@ def monthly_cost(df: DataFrame) -> DataFrame:
 def tco_savings(costs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Savings of an optimised over a baseline cost model, from their rounded monthly totals.
 
-    ``costs`` is the result of ``monthly_cost`` with a unique ``cost_model_id``;
-    ``pairs`` has ``baseline_id`` and ``optimized_id``. Both breakdowns come along.
+    ``costs`` is the result of ``monthly_cost``; ``pairs`` has ``baseline_id`` and ``optimized_id``, each pair once. Both
+    breakdowns come along. Where an id has several cost models, each of them is compared.
     """
     def side(name: str) -> DataFrame:
         return costs.select(

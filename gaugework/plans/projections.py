@@ -92,9 +92,9 @@ def monthly_cost(spark, sf):
 
 
 def _model_pairs(costs):
-    """Each cost model against the next one by id."""
+    """Each cost model against the next one by id; an id that occurs more than once makes one pair."""
     return costs.select(F.col("cost_model_id").alias("baseline_id"),
-                        (F.col("cost_model_id") + 1).alias("optimized_id"))
+                        (F.col("cost_model_id") + 1).alias("optimized_id")).distinct()
 
 
 @query(with_tables("monthly", """

@@ -68,6 +68,26 @@ def test_monthly_cost_and_savings(spark):
     assert got[3]["savings_pct"] == 0.0
 
 
+def test_savings_of_repeated_ids(spark, tmp_path):
+    """An id with several cost models: each of them against each of the next id, once, as in the SQL."""
+    from gaugework.plans.all import ORACLE_SQL, QUERIES
+    from tests.agreement import compare, connect
+
+    rows = [(0, "a", 2, 4703.96), (1, "b", 8, 1264.03), (1, "b", 8, 1264.03), (1, "c", 9, 264.03), (2, "d", 17, 6633.93),
+            (2, "d", 17, 6633.93), (3, "e", 10, 1773.36)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").toPandas().to_parquet(
+        str(tmp_path / "supplier.parquet"))
+    found, problems = compare(spark, connect(str(tmp_path)), QUERIES["tco_savings"], ORACLE_SQL["tco_savings"], str(tmp_path))
+    assert found == 3 + 3 * 2 + 2 and not problems
+
+
+def test_rounding_keeps_the_sign(spark):
+    values = [-0.047, 0.047, -0.05, 0.0, -0.0, -12.25, 12.25, -3.07]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
+    assert [repr(r["x"]) for r in df.select(half_even("v", 1).alias("x")).collect()] == [
+        "-0.0", "0.0", "-0.0", "0.0", "-0.0", "-12.2", "12.2", "-3.1"]
+
+
 def test_frontier_savings_break_even_scenarios(spark):
     pairs = spark.createDataFrame([(2.0, 0.5), (0.0, 1.0)], "baseline_cost_per_1m_tok double, optimized_cost_per_1m_tok double")
     rows = cost.frontier_savings(pairs).orderBy("optimized_cost_per_1m_tok").collect()
