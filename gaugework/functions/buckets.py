@@ -18,8 +18,8 @@ FINE_STEPS = 1 << 20
 _OFFSET = 1 << 21  # larger than any |log2(double)| * STEPS_PER_OCTAVE
 
 
-def coarse_bucket(v: Column) -> Column:
-    magnitude = F.least(F.log2(F.abs(v)), F.lit(1025.0)) * STEPS_PER_OCTAVE
+def coarse_bucket(v: Column, steps: int = STEPS_PER_OCTAVE) -> Column:
+    magnitude = F.least(F.log2(F.abs(v)), F.lit(1025.0)) * steps
     step = F.floor(magnitude).cast("long") + _OFFSET
     return F.when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0).cast("long"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugework.functions.buckets import coarse_bucket, fine_bucket
+from gaugework.functions.buckets import STEPS_PER_OCTAVE, coarse_bucket, fine_bucket
 from gaugework.operators.percentiles import BUCKET_ROWS
 from gaugework.session import materialise
 
@@ -73,6 +73,6 @@ def values_at_ranks(values: DataFrame, keys: list[str], outputs: dict[str, float
         for name, f in outputs.items()])
 
 
-def bucketed(df: DataFrame, value: str) -> DataFrame:
+def bucketed(df: DataFrame, value: str, steps: int = STEPS_PER_OCTAVE) -> DataFrame:
     """Adds __bucket: NULL for a missing value."""
-    return df.withColumn("__bucket", F.when(F.col(value).isNotNull(), coarse_bucket(F.col(value))))
+    return df.withColumn("__bucket", F.when(F.col(value).isNotNull(), coarse_bucket(F.col(value), steps)))

@@ -21,12 +21,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.functions.buckets import STEPS_PER_OCTAVE
 from gaugework.functions.scalars import finite, safe_div
 from gaugework.operators.cost import cost_projection, with_prices
 from gaugework.operators.order_statistics import bucketed, values_at_ranks, wanted_buckets
-from gaugework.session import materialise, small_side
+from gaugework.operators.percentiles import BUCKET_ROWS
+from gaugework.session import is_small, materialise
 
 SESSION_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+# Buckets per doubling of the value that windows are first counted by, finer ones only where too many values share one;
+# and the length of a block of windows, in windows.
+WIDE_STEPS = 4
+BLOCK_WINDOWS = 6
 UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
 
 
@@ -66,7 +72,7 @@ def seconds_of(interval: str) -> int:
 
 
 def latency_windows(stream: DataFrame, size: str = "1 hour", slide: str | None = None,
-                    delay: str = "10 minutes") -> DataFrame | Closing:
+                    delay: str = "10 minutes", percentiles: tuple[int, ...] = (50, 95, 99)) -> DataFrame | Closing:
     """Requests, latency percentiles, error rate and rates per model and window.
 
     Batch input gives a DataFrame with all windows, a stream what ``drain`` or ``follow`` complete. A row is late once the
@@ -85,44 +91,64 @@ def latency_windows(stream: DataFrame, size: str = "1 hour", slide: str | None =
     )
 
     def finish(counts: DataFrame, until: object = None) -> DataFrame:
-        return _ranked(counts, long, step, pane, until)
+        return _ranked(counts, long, step, pane, until, percentiles)
 
     if stream.isStreaming:
         return Closing(counted, finish, pane == long)
     return finish(materialise(counted, "pane-counts"))
 
 
-def _ranked(counts: DataFrame, long: int, step: int, pane: int, until: object) -> DataFrame:
-    """Windows of ``long`` seconds every ``step`` from written counts per pane, model and value."""
-    keys, outputs = ["start", "model_name"], {f"latency_p{p}_ms": p / 100 for p in (50, 95, 99)}
-    counts = bucketed(counts, "value")
-    by_pane = counts.groupBy("pane", "model_name", "__bucket").agg(
-        F.sum("n").alias("__n"), F.min("value").alias("__low"), F.max("value").alias("__high"),
-        F.count(F.lit(1)).alias("__rows"), *[F.sum(c).alias(c) for c in ("errors", "known", "tokens")])
-    # the windows that cover a pane; a row here is a bucket of a pane, not a request
-    first = F.ceil((F.col("pane") + (pane - long)) / step) * step
-    by_window = by_pane.withColumn("start", F.explode(F.sequence(
-        first.cast("long"), (F.floor(F.col("pane") / step) * step).cast("long"), F.lit(step).cast("long"))))
+def _ranked(counts: DataFrame, long: int, step: int, pane: int, until: object, percentiles: tuple[int, ...]) -> DataFrame:
+    """Windows of ``long`` seconds every ``step`` from written counts per pane, model and value.
+
+    A window sees a pane as few wide buckets; only the values of the buckets that hold a rank are looked at one by one.
+    """
+    keys, outputs = ["start", "model_name"], {f"latency_p{p}_ms": p / 100 for p in percentiles}
+    # the windows that cover a pane
+    first = (F.ceil((F.col("pane") + (pane - long)) / step) * step).cast("long")
+    last = (F.floor(F.col("pane") / step) * step).cast("long")
     if until is not None and pane < long:
-        by_window = by_window.filter(F.col("start") + long <= F.unix_seconds(F.lit(until).cast("timestamp")))
-    buckets = materialise(by_window.groupBy(*keys, "__bucket").agg(
-        F.min("__low").alias("__low"), F.max("__high").alias("__high"),
-        *[F.sum(c).alias(c) for c in ("__n", "__rows", "errors", "known", "tokens")]), "window-buckets")
-    totals = buckets.groupBy(*keys).agg(
-        F.sum("__n").alias("requests"), F.sum("tokens").alias("tokens"),
+        last = F.least(last, F.floor((F.unix_seconds(F.lit(until).cast("timestamp")) - long) / step).cast("long") * step)
+
+    def covering(df: DataFrame, low: Column, high: Column) -> DataFrame:
+        starts = F.when(low <= high, F.sequence(low, high, F.lit(step).cast("long")))
+        return df.withColumn("start", F.explode(starts))
+
+    additive = ["errors", "known", "tokens"]
+    by_pane = counts.groupBy("pane", "model_name").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in additive])
+    totals = covering(by_pane, first, last).groupBy(*keys).agg(
+        F.sum("n").alias("requests"), F.sum("tokens").alias("tokens"),
         (F.sum("errors") / F.nullif(F.sum("known"), F.lit(0))).alias("error_rate"))
 
-    hits = materialise(wanted_buckets(buckets, keys, list(outputs.values())), "window-ranks")
-    largest = hits.agg(F.max("__rows")).first()[0] or 0
-    wanted = hits.drop("__n", "__rows", "errors", "known", "tokens").withColumn(
+    # Windows that start within a block are counted by the task that has the block, so a pane is sent to two tasks at most
+    # and not to one per window. A block has as many rows as it has panes and buckets, however many its requests.
+    block = long if pane == long else step * math.ceil(BLOCK_WINDOWS * long / step)
+    for steps in (WIDE_STEPS, STEPS_PER_OCTAVE):
+        placed = bucketed(counts, "value", steps).filter("__bucket IS NOT NULL")
+        panes = placed.groupBy("pane", "model_name", "__bucket").agg(
+            F.sum("n").alias("__n"), F.min("value").alias("__low"), F.max("value").alias("__high"), F.count(F.lit(1)).alias("__rows"))
+        blocks = panes.withColumn("__block", F.explode(F.sequence(
+            F.floor(first / block).cast("long"), F.floor(F.floor(F.col("pane") / step) * step / block).cast("long"))))
+        within = covering(blocks.repartition("__block", "model_name"), F.greatest(first, F.col("__block") * block),
+                          F.least(last, F.col("__block") * block + (block - step)))
+        buckets = within.groupBy("__block", *keys, "__bucket").agg(
+            F.min("__low").alias("__low"), F.max("__high").alias("__high"), F.sum("__n").alias("__n"), F.sum("__rows").alias("__rows"))
+        hits = materialise(wanted_buckets(buckets, ["__block", *keys], list(outputs.values())), "window-ranks")
+        many, largest = hits.agg(F.count(F.lit(1)), F.max("__rows")).first()
+        if (largest or 0) <= BUCKET_ROWS:
+            break
+
+    wanted = hits.drop("__block", "__n", "__rows").withColumn(
         "__pane", F.explode(F.sequence("start", F.col("start") + (long - pane), F.lit(pane).cast("long")))
     ).withColumnsRenamed({"model_name": "__model", "__bucket": "__b"})
-    values = counts.filter("value IS NOT NULL").select("pane", "model_name", "__bucket", "value", "n").join(
-        small_side(wanted), (F.col("pane") == F.col("__pane")) & (F.col("__bucket") == F.col("__b"))
+    if is_small(wanted, many * (long // pane)):
+        wanted = F.broadcast(wanted)
+    values = placed.select("pane", "model_name", "__bucket", "value", "n").join(
+        wanted, (F.col("pane") == F.col("__pane")) & (F.col("__bucket") == F.col("__b"))
         & F.col("model_name").eqNullSafe(F.col("__model")))
     values = values.groupBy(*keys, "__bucket", F.col("value").alias("__value")).agg(
         F.sum("n").alias("__n"), *[F.first(c).alias(c) for c in ("__before", "__total", "__low", "__high")])
-    ranks = values_at_ranks(values, keys, outputs, largest).withColumnsRenamed({"start": "__start", "model_name": "__model"})
+    ranks = values_at_ranks(values, keys, outputs, largest or 0).withColumnsRenamed({"start": "__start", "model_name": "__model"})
     both = totals.join(ranks, (F.col("start") == F.col("__start")) & F.col("model_name").eqNullSafe(F.col("__model")), "left")
     return both.select(
         F.timestamp_seconds("start").alias("window_start"), F.timestamp_seconds(F.col("start") + long).alias("window_end"),
@@ -134,7 +160,7 @@ def sliding_p95(stream: DataFrame, size: str = "10 minutes", slide: str = "1 min
                 delay: str = "10 minutes") -> DataFrame | Closing:
     """p95 latency per model over a sliding window."""
     columns = ["window_start", "window_end", "model_name", "requests", "latency_p95_ms"]
-    found = latency_windows(stream, size, slide, delay)
+    found = latency_windows(stream, size, slide, delay, (95,))
     return found.then(lambda df: df.select(*columns)) if isinstance(found, Closing) else found.select(*columns)
 
 

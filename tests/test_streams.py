@@ -178,6 +178,29 @@ def test_windows_from_panes(spark, tmp_path, size, slide):
     assert found(drain(windows.latency_windows(again, size, slide), path=path)) == done
 
 
+@pytest.mark.parametrize("most", [windows.BUCKET_ROWS, 3])
+def test_sliding_windows_write_no_copies(spark, monkeypatch, most):
+    """Ten windows cover a row, yet what is written grows with the windows and not with ten times the rows."""
+    rows = [row(i, (i * 37 % 2003) * 0.06, 1.0 + (i * 7919 % 3001) * 0.25) for i in range(2000)]
+    written, keep = {}, windows.materialise
+
+    def counted(df, label="step"):
+        written[label] = (table := keep(df, label)).count()
+        return table
+
+    monkeypatch.setattr(windows, "materialise", counted)
+    monkeypatch.setattr(windows, "BUCKET_ROWS", most)
+    got = {r["window_start"]: (r["requests"], r["latency_p95_ms"])
+           for r in windows.sliding_p95(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {}
+    for start in (START + datetime.timedelta(minutes=m) for m in range(-10, 130)):
+        own = sorted(r[3] for r in rows if start <= r[1] < start + datetime.timedelta(minutes=10))
+        if own:
+            want[start] = (len(own), own[-(-95 * len(own) // 100) - 1])
+    assert got == want and len(got) > 100
+    assert written.pop("pane-counts") == len(rows) and sum(written.values()) <= len(want)
+
+
 def test_following_a_stream(spark, tmp_path):
     rows = [row(i, i * 1.7, float(i % 50)) for i in range(400)]
     stream = write(spark, tmp_path / "in", rows[:150], rows[150:300], rows[300:])
